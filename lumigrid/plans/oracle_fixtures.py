@@ -193,13 +193,14 @@ CTES = {
 def needed(sql: str, ctes: dict[str, str]) -> list[str]:
     """Names of the expressions that ``sql`` uses, directly or not, in dependency order."""
     order: list[str] = []
+    seen: set[str] = set()
 
     def visit(text: str) -> None:
         for name, body in ctes.items():
-            if name not in order and re.search(rf"\b(FROM|JOIN|,)\s*{name}\b", text):
+            if name not in seen and re.search(rf"\b(FROM|JOIN|,)\s*{name}\b", text):
+                seen.add(name)
                 visit(body)
-                if name not in order:
-                    order.append(name)
+                order.append(name)
 
     visit(sql)
     return order
