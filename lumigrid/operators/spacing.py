@@ -14,9 +14,10 @@ Inside a task the rows are Arrow batches and the work is vectorised over all blo
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby, islice
+from operator import itemgetter
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
@@ -137,68 +138,80 @@ def _steps(gap: int, length: int):
     return run
 
 
-def _blocks_of(pdf: pd.DataFrame) -> list[tuple[int, np.ndarray, np.ndarray]]:
-    """(block, upto, exit) in time order."""
-    pdf = pdf.sort_values(["block", "upto"])
-    return [(int(b), g["upto"].to_numpy(), g["exit"].to_numpy())
-            for b, g in pdf.groupby("block", sort=True)]
-
-
-def _through(clock: int, gap: int, upto: np.ndarray, leave: np.ndarray) -> int:
-    i = int(np.searchsorted(upto, clock + gap, "left"))
-    return int(leave[i]) if i < len(upto) else clock
-
-
-def _compose(gap: int, fan: int):
-    """The step function of a run of ``fan`` blocks."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        blocks = _blocks_of(pdf)
-        out, highest = [], NEVER
-        for k, (_, upto, leave) in enumerate(blocks):
-            for u, clock in zip(upto, leave):
-                if u <= highest:
-                    continue  # an earlier block has already answered for these clocks
-                for _, later_upto, later_leave in blocks[k + 1:]:
-                    clock = _through(clock, gap, later_upto, later_leave)
-                out.append((int(u), int(clock)))
-                highest = u
-            # No clock on entry reaches past the first gap of a later block.
-            if k or highest == ALWAYS:
-                break
-        first = pdf.iloc[0]
-        steps = pd.DataFrame(out, columns=["upto", "exit"], dtype="int64")
-        steps.insert(0, "block", int(first["block"]) // fan)
-        steps.insert(0, "session", int(first["session"]))
-        return steps
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """(session, run, blocks) with blocks as (block, [(upto, exit), ...]), all in order, from rows
+    sorted that way."""
+    names = ("session", "_run", "block", "upto", "exit")
+    rows = (row for batch in batches
+            for row in zip(*[batch.column(name).to_pylist() for name in names]))
+    for (session, run), of_run in groupby(rows, itemgetter(0, 1)):
+        yield session, run, ((block, [row[3:] for row in of_block])
+                             for block, of_block in groupby(of_run, itemgetter(2)))
+
+
+def _through(clock: int, gap: int, steps: list[tuple[int, int]]) -> int:
+    """Clock on exit from a block."""
+    return next((leave for upto, leave in steps if upto >= clock + gap), clock)
+
+
+def _batched(rows: Iterator[tuple], names: list[str], size: int = 10_000) -> Iterator[pa.RecordBatch]:
+    while chunk := list(islice(rows, size)):
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*chunk)], names)
 
-    return run
+
+def _compose(gap: int):
+    """Step functions of whole runs of blocks."""
+
+    def composed(batches):
+        for session, run, blocks in _runs(batches):
+            futures: list[tuple[int, int]] = []  # (upto, clock so far)
+            for k, (_, steps) in enumerate(blocks):
+                futures = [(upto, _through(clock, gap, steps)) for upto, clock in futures]
+                # Clocks that no row of the first block answers meet the second block unchanged, and
+                # none of them reaches past its first row.
+                if k == 0:
+                    futures = steps
+                elif k == 1 and futures[-1][0] < ALWAYS:
+                    futures.append((max(steps[0][0], futures[-1][0]), steps[0][1]))
+                futures = [f for f, g in zip(futures, [*futures[1:], (None, None)]) if f[1] != g[1]]
+            for upto, clock in futures:
+                yield session, run, upto, clock
+
+    return lambda batches: _batched(composed(batches), ["session", "block", "upto", "exit"])
 
 
 def _walk(gap: int):
-    """Clock on entry to each block, starting from the clock in column ``clock``."""
+    """Clock on entry to each block of a run.  A row without block carries the clock on entry to
+    the run; without it nothing was kept before."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        clock, out = int(pdf["clock"].iloc[0]), []
-        for block, upto, leave in _blocks_of(pdf):
-            out.append((block, clock))
-            clock = _through(clock, gap, upto, leave)
-        entries = pd.DataFrame(out, columns=["block", "clock"], dtype="int64")
-        entries.insert(0, "session", int(pdf["session"].iloc[0]))
-        return entries
+    def walked(batches):
+        for session, _, blocks in _runs(batches):
+            clock = int(NEVER)
+            for block, steps in blocks:
+                if block is None:
+                    clock = steps[0][1]
+                    continue
+                yield session, block, clock
+                clock = _through(clock, gap, steps)
 
-    return run
+    return lambda batches: _batched(walked(batches), ["session", "block", "clock"])
 
 
 def entry_clocks(steps: DataFrame, gap: int, fan: int) -> DataFrame:
     """(session, block, clock): the clock on entry to every block, by way of runs of blocks."""
-    entries = "session BIGINT, block BIGINT, clock BIGINT"
-    run = F.floor(F.col("block") / fan).alias("_run")
-    runs = steps.groupBy("session", run).applyInPandas(_compose(gap, fan), STEPS)
-    into_runs = (runs.withColumn("clock", F.lit(int(NEVER))).groupBy("session")
-                 .applyInPandas(_walk(gap), entries).withColumnRenamed("block", "_run"))
-    return (steps.withColumn("_run", run).join(into_runs, ["session", "_run"])
-            .groupBy("session", "_run").applyInPandas(_walk(gap), entries))
+
+    def by_run(df: DataFrame) -> DataFrame:
+        return df.repartition("session", "_run").sortWithinPartitions(
+            "session", "_run", "block", "upto")
+
+    clocks = "session BIGINT, block BIGINT, clock BIGINT"
+    in_runs = steps.withColumn("_run", F.floor(F.col("block") / fan))
+    runs = by_run(in_runs).mapInArrow(_compose(gap), STEPS)
+    into_runs = by_run(runs.withColumn("_run", F.lit(0).cast("bigint"))).mapInArrow(
+        _walk(gap), clocks)
+    heads = into_runs.select("session", F.col("block").alias("_run"), F.col("clock").alias("exit"))
+    return by_run(in_runs.unionByName(heads, allowMissingColumns=True)).mapInArrow(
+        _walk(gap), clocks)
 
 
 def _keep(gap: int, length: int, columns: list[str]):
