@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lumigrid.functions import labels, names, text
-from lumigrid.operators import catalog, pixels, reports, resample, resolve, selection
+from lumigrid.operators import catalog, reports, resample, resolve, selection
 from lumigrid.plans.oracle_fixtures import (alias, group_of, human, match_channel, match_rgba,
-                                            rgba8, trim, upper, with_ctes)
+                                            trim, upper, with_ctes)
 from lumigrid.plans.registry import checked
 from lumigrid.sources import fixtures, listing
 
@@ -599,11 +599,3 @@ def layer_status(spark, sf):
     "SELECT file_id, path, file_name, size_bytes FROM files WHERE contains(lower(file_name), 'ring')"))
 def _(spark, sf):
     return reports.filter_names(fixtures.files(spark, sf), "RING")
-
-
-# From files to 8-bit images in one plan ----------------------------------------------------------
-
-@checked("J05_J07_open_files", with_ctes(
-    f"SELECT file_id, layer, y, x, {rgba8(3.0, 2.2)} FROM assembled", _RESOLVE))
-def open_files(spark, sf):
-    return pixels.tone_map(assembled(spark, sf), 3.0, 2.2)
