@@ -64,3 +64,15 @@ def is_read(source: Column, scale: Column, size: Column, target_size: Column) ->
         hit = hit | ((t >= 0) & (t < target_size)
                      & (source_coordinate(t, scale, size) == source))
     return hit | (source == size - 1)
+
+
+def pack_position(part: Column, channel: Column) -> Column:
+    """Place of a channel in its file as one number, ordered by part, then channel.  Minima of a
+    number aggregate by hashing, minima of a struct only by sorting."""
+    return F.shiftleft(part.cast("bigint"), 32) + channel
+
+
+def unpack_position(position: Column) -> tuple[Column, Column]:
+    """(part, channel)."""
+    return (F.shiftright(position, 32).cast("int"),
+            position.bitwiseAND(F.lit(0xFFFFFFFF)).cast("int"))

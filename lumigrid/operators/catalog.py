@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumigrid.functions import names
+from lumigrid.functions import grid, names
 from lumigrid.scale import grouped_index
 
 # Channels of one part that are ranked or joined into text together.
@@ -19,15 +19,20 @@ def channel_layers(channels: DataFrame) -> DataFrame:
                                  "short": names.short_name(full)})
 
 
+def _found_layers(channels: DataFrame) -> DataFrame:
+    place = grid.pack_position(F.col("part_idx"), F.col("channel_idx"))
+    return channel_layers(channels).groupBy("file_id", "layer").agg(
+        F.min(place).alias("first"), F.count(F.lit(1)).alias("n_channels"),
+        names.has_rgb(F.col("short")).alias("has_rgb"))
+
+
 def layers(channels: DataFrame) -> DataFrame:
     """One row per (file, layer), in order of first appearance: ``layer_order``, the position of
     the first channel, ``n_channels`` and ``has_rgb``."""
-    found = channel_layers(channels).groupBy("file_id", "layer").agg(
-        F.min(F.struct("part_idx", "channel_idx")).alias("_first"),
-        F.count(F.lit(1)).alias("n_channels"), names.has_rgb(F.col("short")).alias("has_rgb"))
-    placed = found.select("file_id", "layer", F.col("_first.part_idx").alias("first_part"),
-                          F.col("_first.channel_idx").alias("first_channel"),
-                          "n_channels", "has_rgb")
+    first_part, first_channel = grid.unpack_position(F.col("first"))
+    placed = _found_layers(channels).select(
+        "file_id", "layer", first_part.alias("first_part"), first_channel.alias("first_channel"),
+        "n_channels", "has_rgb")
     block = {"_part": F.col("first_part"),
              "_block": F.floor(F.col("first_channel") / CHANNEL_BLOCK)}
     return grouped_index(placed, ["file_id"], ["first_part", "first_channel"], block,
@@ -53,9 +58,6 @@ def best_layer(channels: DataFrame, files: DataFrame | None = None) -> DataFrame
     With ``files``, files without any layer get a stand-in name.
     """
     # One row per layer; its minimum over files needs no window and shrinks map-side.
-    found = channel_layers(channels).groupBy("file_id", "layer").agg(
-        F.min(F.struct("part_idx", "channel_idx")).alias("first"),
-        names.has_rgb(F.col("short")).alias("has_rgb"))
     lower = F.lower("layer")
     priority = F.lit(None).cast("int")
     for i, word in reversed(list(enumerate(names.PRIORITY_LAYERS))):
@@ -64,7 +66,7 @@ def best_layer(channels: DataFrame, files: DataFrame | None = None) -> DataFrame
             .when(priority.isNotNull(), 1).when(F.col("has_rgb"), 2).otherwise(3))
     rank = F.struct(plan.alias("plan"), F.when(plan == 1, priority).otherwise(0).alias("priority"),
                     "first", "layer")
-    best = (found.groupBy("file_id").agg(F.min(rank).alias("_best"))
+    best = (_found_layers(channels).groupBy("file_id").agg(F.min(rank).alias("_best"))
             .select("file_id", F.col("_best.layer").alias("best_layer"),
                     F.col("_best.plan").alias("plan")))
     if files is None:

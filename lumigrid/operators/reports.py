@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumigrid.functions import labels, names, text
+from lumigrid.functions import grid, labels, names, text
 from lumigrid.operators import catalog
 
 # Report labels, as emitted.
@@ -135,10 +135,9 @@ def channel_tree(channels: DataFrame) -> DataFrame:
     named = catalog.channel_layers(channels).withColumn(
         "letter", names.ascii_upper(F.substring("short", 1, 1)))
     # Position of the first channel per letter: four minima per layer, made next to the layer rows.
+    at = grid.pack_position(F.col("part_idx"), F.col("channel_idx"))
     firsts = named.groupBy("file_id", "layer").agg(*[
-        F.min(F.when(F.col("letter") == c, F.struct("part_idx", "channel_idx"))).alias(f"_{c}")
-        for c in letters])
-    at = F.struct("part_idx", "channel_idx")
+        F.min(F.when(F.col("letter") == c, at)).alias(f"_{c}") for c in letters])
     slot = F.lit(len(letters))
     for i, c in enumerate(letters):
         slot = F.when(at == F.col(f"_{c}"), F.lit(i)).otherwise(slot)

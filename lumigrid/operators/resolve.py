@@ -9,11 +9,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from lumigrid.functions import names
-from lumigrid.operators.catalog import channel_layers
-from lumigrid.scale import salted_join
+from lumigrid.operators.catalog import CHANNEL_BLOCK, channel_layers
+from lumigrid.scale import materialize, salted_join
 
 ROLES = ("r", "g", "b", "a")
 
@@ -28,36 +27,44 @@ def _pieces(text: Column, lengths: Column, prefixes_only: bool) -> Column:
                                        lambda i: F.substring(text, i, n)))))
 
 
-def _containing(outer: DataFrame, o: str, inner: DataFrame, i: str,
-                prefixes_only: bool = False) -> DataFrame:
-    """Pairs (file_id, o, i) of distinct non-empty names where ``o`` contains ``i``."""
-    # At most as many lengths as the longest name has characters.
-    lengths = inner.groupBy("file_id").agg(F.collect_set(F.length(i)).alias("_lengths"))
-    pieces = outer.join(lengths, "file_id").select(
-        "file_id", o, F.explode(_pieces(F.col(o), F.col("_lengths"), prefixes_only)).alias(i))
-    return pieces.join(inner, ["file_id", i]).select("file_id", o, i)
-
-
-def matching_layers(layer_names: DataFrame, wanted_names: DataFrame, rule: str) -> DataFrame:
-    """Pairs (file_id, lo, wa) of lower-cased names that match.
+def matching_layers(named: DataFrame, requests: DataFrame, rule: str) -> DataFrame:
+    """Distinct (file_id, lo, wanted): lower-cased layer names and the requested names they match.
 
     ``rule='rgba'``: either contains the other.  ``rule='channel'``: the layer contains the wanted
     name or is a prefix of it.  The empty name matches only itself.
     """
-    forward = _containing(layer_names, "lo", wanted_names, "wa")
-    backward = _containing(wanted_names, "wa", layer_names, "lo", rule == "channel")
-    empty = (layer_names.filter("lo = ''")
-             .join(wanted_names.filter("wa = ''"), "file_id").select("file_id", "lo", "wa"))
-    return forward.unionByName(backward).unionByName(empty).distinct()
-
-
-def _layer_pairs(named: DataFrame, requests: DataFrame, rule: str) -> DataFrame:
-    """(file_id, lo, layer) for each distinct requested layer name."""
-    lo = named.select("file_id", F.lower("layer").alias("lo")).distinct()
-    wanted = requests.select("file_id", F.col("layer").alias("wanted"),
-                             F.lower("layer").alias("wa")).distinct()
-    pairs = matching_layers(lo, wanted.select("file_id", "wa").distinct(), rule)
-    return pairs.join(wanted, ["file_id", "wa"]).select("file_id", "lo", "wanted")
+    # Written once: lengths and both kinds of keys start from it.
+    sides = materialize(
+        named.select("file_id", F.lit("layer").alias("side"), F.lower("layer").alias("text"),
+                          F.lit(None).cast("string").alias("wanted"))
+             .unionByName(requests.select("file_id", F.lit("wanted").alias("side"),
+                                          F.lower("layer").alias("text"),
+                                          F.col("layer").alias("wanted")))
+             .distinct())
+    length_of = lambda side: F.collect_set(F.when(F.col("side") == side, F.length("text")))
+    # Per file at most as many lengths as the longest name has characters.
+    lengths = sides.groupBy("file_id").agg(length_of("layer").alias("layer_lengths"),
+                                           length_of("wanted").alias("wanted_lengths"))
+    sized = sides.join(lengths, "file_id")
+
+    def keys(side: str, other: str, prefixes_only: bool) -> DataFrame:
+        """A name under its own text for the other side's pieces, and under its pieces for the
+        other side's whole names.  The empty name has only itself."""
+        text = F.col("text")
+        key = lambda kind: lambda t: F.struct(F.lit(kind).alias("kind"), t.alias("key"))
+        pieces = F.transform(_pieces(text, F.col(f"{other}_lengths"), prefixes_only), key(side))
+        whole = F.array(key(other)(text))
+        return sized.filter(F.col("side") == side).select(
+            "file_id", "text", "wanted",
+            F.inline(F.when(text == "", F.array(key("empty")(text)))
+                     .otherwise(F.concat(whole, pieces))))
+
+    layer_keys = keys("layer", "wanted", False).select(
+        "file_id", "kind", "key", F.col("text").alias("lo"))
+    wanted_keys = keys("wanted", "layer", rule == "channel").select(
+        "file_id", "kind", "key", "wanted")
+    return layer_keys.join(wanted_keys, ["file_id", "kind", "key"]).select(
+        "file_id", "lo", "wanted").distinct()
 
 
 def resolve_rgba(channels: DataFrame, requests: DataFrame) -> DataFrame:
@@ -67,43 +74,42 @@ def resolve_rgba(channels: DataFrame, requests: DataFrame) -> DataFrame:
     part with plain R, G, B) or null (nothing to show).  Size columns are those of the part.
     """
     named = channel_layers(channels).withColumn("lo", F.lower("layer"))
-    pairs = _layer_pairs(named, requests, "rgba")
+    pairs = matching_layers(named, requests, "rgba")
     upper = names.ascii_upper(F.col("short"))
     matched = (named.select("file_id", "lo", "part_idx", "channel_idx", "width", "height",
                             upper.alias("su"))
                .join(pairs, ["file_id", "lo"]))
-    position = F.col("channel_idx")
-    exact = {r: F.max(F.when(F.col("su").isin(r, w), position))
-             for r, w in names.ROLE_NAMES.items()}
-    begins = {r: F.min(F.when(F.col("su").startswith(r) & ~F.col("su").isin(
-        *names.ROLE_NAMES, *names.ROLE_NAMES.values()), position)) for r in "RGB"}
-    found = [F.coalesce(exact[r], begins[r]).alias(r.lower()) for r in "RGB"]
-    parts = matched.groupBy("file_id", "wanted", "part_idx").agg(
-        *found, exact["A"].alias("a"), F.first("width").alias("width"),
-        F.first("height").alias("height"))
-    first_part = parts.groupBy("file_id", "wanted").agg(
-        F.min(F.struct("part_idx", *ROLES, "width", "height")).alias("p")).select(
-        "file_id", "wanted", "p.*")
-    # First three channels in (part, channel) order; the row limit is applied before the shuffle.
-    place = F.row_number().over(Window.partitionBy("file_id", "wanted")
-                                .orderBy("part_idx", "channel_idx"))
-    leading = (matched.select("file_id", "wanted", "part_idx", "channel_idx", place.alias("place"))
-               .filter("place <= 3")
-               .groupBy("file_id", "wanted", "part_idx")
-               .agg(*[F.max(F.when(F.col("place") == i + 1, position)).alias(f"_{i}")
-                      for i in range(3)]))
-    r = F.coalesce("r", "_0")
-    g = F.coalesce("g", "_1", r)
-    b = F.coalesce("b", "_2", g)
-    by_layer = first_part.join(leading, ["file_id", "wanted", "part_idx"]).select(
-        "file_id", F.col("wanted").alias("layer"), "part_idx", r.alias("r"), g.alias("g"),
-        b.alias("b"), "a", "width", "height")
-    plain = first_rgba(channels)
-    asked = requests.select("file_id", "layer").distinct()
-    unmatched = asked.join(by_layer, ["file_id", "layer"], "left_anti")
-    return (by_layer.withColumn("source", F.lit("layer"))
-            .unionByName(unmatched.join(plain, "file_id", "left").withColumn(
-                "source", F.when(F.col("part_idx").isNotNull(), F.lit("first_rgba")))))
+    position, su = F.col("channel_idx"), F.col("su")
+    full_words = [*names.ROLE_NAMES, *names.ROLE_NAMES.values()]
+    # The last exact name wins, else the first that begins with the letter; alpha has no such rule.
+    exact = {r: F.max(F.when(su.isin(r, w), position)) for r, w in names.ROLE_NAMES.items()}
+    begins = {r: F.min(F.when(su.startswith(r) & ~su.isin(*full_words), position)) for r in "RGB"}
+    # A part is aggregated block by block; three leading channels per block are enough.
+    leading = lambda indexes: F.slice(F.array_sort(indexes), 1, 3)
+    blocks = matched.groupBy("file_id", "wanted", "part_idx",
+                             F.floor(position / CHANNEL_BLOCK).alias("_block")).agg(
+        *[e.alias(f"exact_{r}") for r, e in exact.items()],
+        *[b.alias(f"begins_{r}") for r, b in begins.items()],
+        leading(F.collect_list("channel_idx")).alias("lead"),
+        F.max("width").alias("width"), F.max("height").alias("height"))
+    parts = blocks.groupBy("file_id", "wanted", "part_idx").agg(
+        *[F.coalesce(F.max(f"exact_{r}"), F.min(f"begins_{r}")).alias(r.lower()) for r in "RGB"],
+        F.max("exact_A").alias("a"), leading(F.flatten(F.collect_list("lead"))).alias("lead"),
+        F.max("width").alias("width"), F.max("height").alias("height"))
+    # What is missing is filled from the leading channels, then from the role before.
+    r = F.coalesce("r", F.get("lead", F.lit(0)))
+    g = F.coalesce("g", F.get("lead", F.lit(1)), r)
+    b = F.coalesce("b", F.get("lead", F.lit(2)), g)
+    view = lambda *cols: F.struct("part_idx", *cols, "a", "width", "height")
+    first_part = parts.groupBy("file_id", F.col("wanted").alias("layer")).agg(
+        F.min(view(r.alias("r"), g.alias("g"), b.alias("b"))).alias("by_layer"))
+    plain = first_rgba(channels).select("file_id", view("r", "g", "b").alias("plain"))
+    return (requests.select("file_id", "layer").distinct()
+            .join(first_part, ["file_id", "layer"], "left").join(plain, "file_id", "left")
+            .select("file_id", "layer", F.coalesce("by_layer", "plain").alias("v"),
+                    F.when(F.col("by_layer").isNotNull(), F.lit("layer"))
+                    .when(F.col("plain").isNotNull(), F.lit("first_rgba")).alias("source"))
+            .select("file_id", "layer", "v.*", "source"))
 
 
 def first_rgba(channels: DataFrame) -> DataFrame:
@@ -126,7 +132,7 @@ def resolve_channel(channels: DataFrame, requests: DataFrame) -> DataFrame:
     channels.  Requests without an answer are in ``unresolved_channels``.
     """
     named = channel_layers(channels).withColumn("lo", F.lower("layer"))
-    pairs = _layer_pairs(named, requests, "channel")
+    pairs = matching_layers(named, requests, "channel")
 
     def key(kind: str, value: Column, step: int, when: Column | None = None) -> Column:
         made = F.struct(F.lit(kind).alias("kind"), value.alias("key"), F.lit(step).alias("step"))
@@ -174,7 +180,7 @@ def _roles(resolved: DataFrame, alpha_part: Column) -> DataFrame:
     return (resolved.select("file_id", "layer", F.explode(each).alias("e"))
             .select("file_id", "layer", "e.*").filter("channel_idx IS NOT NULL")
             .groupBy("file_id", "layer", "part_idx", "channel_idx")
-            .agg(F.collect_set("role").alias("roles")))  # four roles at most
+            .agg(*[F.max(F.col("role") == r).alias(f"is_{r}") for r in ROLES]))
 
 
 def assemble_pixels(samples: DataFrame, resolved: DataFrame,
@@ -186,7 +192,7 @@ def assemble_pixels(samples: DataFrame, resolved: DataFrame,
     """
     roles = _roles(resolved, F.col(alpha_part))
     used = salted_join(samples, roles, ["file_id", "part_idx", "channel_idx"], ["y", "x"])
-    value = lambda r: F.max(F.when(F.array_contains("roles", r), F.col("v"))).cast("float")
+    value = lambda r: F.max(F.when(F.col(f"is_{r}"), F.col("v"))).cast("float")
     return used.groupBy("file_id", "layer", "y", "x").agg(
         *[value(r).alias(r) for r in "rgb"],
         F.coalesce(value("a"), F.lit(1.0).cast("float")).alias("a"))
