@@ -25,14 +25,14 @@ def shared_dir(spark: SparkSession) -> str:
 
     Only a local session, which is one machine anyway, may fall back to a scratch folder.
     """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    made = tempfile.mkdtemp(prefix="spark-lumigrid-")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
+    context = spark.sparkContext
+    configured = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not configured:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-lumigrid-"))
+        configured = context.getCheckpointDir()
+    return configured.rstrip("/")
 
 
 def materialize(df: DataFrame) -> DataFrame:
