@@ -40,30 +40,25 @@ def source_coordinate(target: Column, scale: Column, size: Column) -> Column:
     return F.least(F.floor(f32_div(target, scale)).cast("int"), size - 1)
 
 
-def targets_of(source: Column, scale: Column, size: Column, target_size: Column) -> Column:
-    """All target rows or columns that read from ``source``, as an array (often empty).
+def first_target(source: Column, scale: Column) -> Column:
+    """First target row or column that reads ``source`` or a later source.
 
-    Candidates are an interval two wider than exact arithmetic needs; the exact rule decides.
+    Single-precision quotients grow with the target, and differ from exact ones by less than one
+    target step, so of the three targets around the exact bound the right one is counted off.
     """
-    lo = F.greatest(F.floor(source * scale).cast("int") - 2, F.lit(0))
-    hi = F.when(source == size - 1, target_size - 1) \
-        .otherwise(F.least(F.floor((source + 1) * scale).cast("int") + 2, target_size - 1))
-    candidates = F.when(lo <= hi, F.sequence(lo, hi)).otherwise(F.array().cast("array<int>"))
-    return F.filter(candidates, lambda t: source_coordinate(t, scale, size) == source)
+    bound = F.ceil(source * scale)
+    reaches = lambda t: F.when(f32_div(t, scale) >= source, F.lit(1)).otherwise(F.lit(0))
+    return (bound + 1 - reaches(bound) - reaches(bound - 1)).cast("int")
 
 
-def is_read(source: Column, scale: Column, size: Column, target_size: Column) -> Column:
-    """Cheap exact test, for ``scale <= 1`` only, that some target reads ``source``.
+def target_range(source: Column, scale: Column, size: Column,
+                 target_size: Column) -> tuple[Column, Column]:
+    """(first, last) target row or column read from ``source``; first > last if there is none.
 
-    At most a handful of candidates exist when shrinking, so plain arithmetic is enough.
+    The last source also serves all targets that would read past it.
     """
-    base = F.floor(source * scale).cast("int")
-    hit = F.lit(False)
-    for step in (-1, 0, 1, 2):
-        t = base + step
-        hit = hit | ((t >= 0) & (t < target_size)
-                     & (source_coordinate(t, scale, size) == source))
-    return hit | (source == size - 1)
+    last = F.when(source == size - 1, target_size).otherwise(first_target(source + 1, scale)) - 1
+    return F.greatest(first_target(source, scale), F.lit(0)), F.least(last, target_size - 1)
 
 
 def pack_position(part: Column, channel: Column) -> Column:

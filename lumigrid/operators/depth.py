@@ -26,19 +26,17 @@ def depth_bounds(pixels: DataFrame, value: str = "r", image: Sequence[str] = IMA
     not finite or coincide, the minimum and maximum with non-finite values read as 0 are used.
     """
     n = F.col("n")
+    safe = color.finite_or(F.col(value), 0.0)
     stats = order_statistics(
         pixels, image, value,
-        {"p01": F.floor(n / 100), "p99": F.greatest(F.floor((n * 99 + 99) / 100) - 1, F.lit(0))})
-    safe = color.finite_or(F.col(value), 0.0)
-    extremes = pixels.groupBy(*image).agg(F.min(safe).alias("lowest"),
-                                          F.max(safe).alias("highest"))
+        {"p01": F.floor(n / 100), "p99": F.greatest(F.floor((n * 99 + 99) / 100) - 1, F.lit(0))},
+        minima={"lowest": safe}, maxima={"highest": safe})
     p01, p99 = F.col("p01").cast("double"), F.col("p99").cast("double")
     finite = lambda c: ~F.isnan(c) & (F.abs(c) < math.inf)
     usable = finite(p01) & finite(p99) & (F.abs(p99 - p01) >= FLAT_PERCENTILES)
     lo = F.when(usable, p01).otherwise(F.col("lowest"))
     hi = F.when(usable, p99).otherwise(F.col("highest"))
-    return (stats.join(extremes, list(image))
-            .select(*image, lo.alias("lo"), hi.alias("_hi"))
+    return (stats.select(*image, lo.alias("lo"), hi.alias("_hi"))
             .select(*image, "lo",
                     F.when(F.abs(F.col("_hi") - F.col("lo")) < FLAT_RANGE, F.col("lo") + 1.0)
                     .otherwise(F.col("_hi")).alias("hi")))

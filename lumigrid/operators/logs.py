@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumigrid.scale import order_statistics
+from lumigrid.scale import materialize, order_statistics
 
 # Shapes of log lines.
 EVENT_SCHEMA = "event STRING, type STRING, op STRING, pixels BIGINT, ms BIGINT"
@@ -55,19 +55,22 @@ def _percentile(lower: str, upper: str, percent: int) -> Column:
 def timing_summary(parsed: DataFrame) -> DataFrame:
     """Per op, count, extremes, mean and percentiles of ``ms``, and pixels per second.
 
-    Percentiles come from counts of distinct values, so a hot op does not gather in one task.
+    Lines shrink map-side to counts of distinct (op, ms), which are written once; everything else
+    starts from these, so lines are parsed once and a hot op does not gather in one task.
     """
-    timed = parsed.filter("op IS NOT NULL AND ms IS NOT NULL").select("op", "ms", "pixels")
+    timed = materialize(
+        parsed.filter("op IS NOT NULL AND ms IS NOT NULL").groupBy("op", "ms")
+        .agg(F.count(F.lit(1)).alias("c"), F.sum("pixels").alias("pixels"),
+             F.sum(F.when(F.col("pixels").isNotNull(), F.col("ms"))).alias("pixel_ms")))
     totals = timed.groupBy("op").agg(
-        F.count(F.lit(1)).alias("n_timings"), F.min("ms").alias("min_ms"),
-        F.avg("ms").alias("avg_ms"), F.max("ms").alias("max_ms"),
-        F.sum("pixels").alias("pixels"),
-        F.sum(F.when(F.col("pixels").isNotNull(), F.col("ms"))).alias("_pixel_ms"))
+        F.sum("c").alias("n_timings"), F.min("ms").alias("min_ms"),
+        (F.sum(F.col("ms") * F.col("c")) / F.sum("c")).alias("avg_ms"), F.max("ms").alias("max_ms"),
+        F.sum("pixels").alias("pixels"), F.sum("pixel_ms").alias("_pixel_ms"))
     last = F.col("n") - 1
     at = lambda percent: F.expr(f"(n - 1) * {percent} div 100")
     stats = order_statistics(timed, ["op"], "ms", {
         "_50": at(50), "_50_next": F.least(at(50) + 1, last),
-        "_95": at(95), "_95_next": F.least(at(95) + 1, last)})
+        "_95": at(95), "_95_next": F.least(at(95) + 1, last)}, weight=F.col("c"))
     return totals.join(stats, "op").select(
         "op", "n_timings", "min_ms", "avg_ms", "max_ms",
         _percentile("_50", "_50_next", 50).alias("p50_ms"),

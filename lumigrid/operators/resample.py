@@ -55,14 +55,14 @@ def resample(pixels: DataFrame, target: DataFrame) -> DataFrame:
     """Nearest-neighbour pixels at the sizes of ``target`` (as made by ``*_dims``)."""
     sizes = materialize(target.select("image_id", "width", "height", "scale", "t_width",
                                       "t_height"))
-    x, y, scale = F.col("x"), F.col("y"), F.col("scale")
-    across = (x, scale, F.col("width"), F.col("t_width"))
-    down = (y, scale, F.col("height"), F.col("t_height"))
+    scale = F.col("scale")
+    top, bottom = grid.target_range(F.col("y"), scale, F.col("height"), F.col("t_height"))
+    left, right = grid.target_range(F.col("x"), scale, F.col("width"), F.col("t_width"))
     kept = [c for c in pixels.columns if c not in ("x", "y")]
     return (pixels.join(sizes, "image_id")
-            .filter((scale > 1.0) | (grid.is_read(*down) & grid.is_read(*across)))
-            .withColumn("_y", F.explode(grid.targets_of(*down)))
-            .withColumn("_x", F.explode(grid.targets_of(*across)))
+            .filter(top <= bottom).filter(left <= right)
+            .withColumn("_y", F.explode(F.sequence(top, bottom)))
+            .withColumn("_x", F.explode(F.sequence(left, right)))
             .select(*kept, F.col("_y").alias("y"), F.col("_x").alias("x")))
 
 

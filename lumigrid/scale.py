@@ -95,36 +95,47 @@ def value_bucket(v: Column) -> Column:
 
 
 def order_statistics(df: DataFrame, group: Sequence[str], value: str,
-                     positions: Mapping[str, Column]) -> DataFrame:
-    """Exact order statistics per group, without sorting the rows of a group.
+                     positions: Mapping[str, Column], weight: Column | None = None,
+                     minima: Mapping[str, Column] | None = None,
+                     maxima: Mapping[str, Column] | None = None) -> DataFrame:
+    """Exact order statistics per group, without sorting or shuffling the rows of a group.
 
     ``positions`` maps output names to 0-based indexes written in terms of the column ``n`` (rows
-    of the group).  Rows shrink map-side to (value, count); the coarse histogram locates the bucket
-    of every index, and only the values of those buckets are ordered.  NaN sorts last, as in Spark.
+    of the group, or total ``weight``); ``minima`` and ``maxima`` are taken along.  A first scan
+    counts coarse buckets, which shrink map-side to a few thousand rows per group, and locates the
+    bucket of every index.  A second scan counts the values of the located buckets only.  NaN sorts
+    last, as in Spark.
     """
     group = list(group)
-    histogram = (df.groupBy(*group, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
-                 .withColumn("_bucket", value_bucket(F.col("_v"))))
-    coarse = histogram.groupBy(*group, "_bucket").agg(F.sum("_c").alias("_c"))
+    weighted = F.count(F.lit(1)) if weight is None else F.sum(weight)
+    extremes = [*[(n, c, F.min) for n, c in (minima or {}).items()],
+                *[(n, c, F.max) for n, c in (maxima or {}).items()]]
+    bucketed = df.withColumn("_bucket", value_bucket(F.col(value)))
+    coarse = bucketed.groupBy(*group, "_bucket").agg(
+        weighted.alias("_c"), *[f(c).alias(n) for n, c, f in extremes])
     per_group = Window.partitionBy(*group)
     upto = per_group.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)
     wanted = F.array(*[F.struct(F.lit(name).alias("name"), idx.cast("long").alias("idx"))
                        for name, idx in positions.items()])
-    located = (coarse
-               .withColumns({"n": F.sum("_c").over(per_group), "_upto": F.sum("_c").over(upto)})
-               .withColumn("_want", F.explode(wanted))
-               .filter((F.col("_want.idx") < F.col("_upto"))
-                       & (F.col("_want.idx") >= F.col("_upto") - F.col("_c")))
-               .select(*group, "n", "_bucket", F.col("_want.name").alias("_name"),
-                       (F.col("_want.idx") - F.col("_upto") + F.col("_c")).alias("_rest")))
+    taken = [n for n, _, _ in extremes]
+    located = materialize(
+        coarse.withColumns({"n": F.sum("_c").over(per_group), "_upto": F.sum("_c").over(upto),
+                            **{n: f(n).over(per_group) for n, _, f in extremes}})
+        .withColumn("_want", F.explode(wanted))
+        .filter((F.col("_want.idx") < F.col("_upto"))
+                & (F.col("_want.idx") >= F.col("_upto") - F.col("_c")))
+        .select(*group, "n", *taken, "_bucket", F.col("_want.name").alias("_name"),
+                (F.col("_want.idx") - F.col("_upto") + F.col("_c")).alias("_rest")))
+    values = (bucketed.join(located.select(*group, "_bucket").distinct(), [*group, "_bucket"])
+              .groupBy(*group, "_bucket", F.col(value).alias("_v")).agg(weighted.alias("_c")))
     fine = Window.partitionBy(*group, "_bucket", "_name").orderBy("_v") \
         .rowsBetween(Window.unboundedPreceding, 0)
-    hits = (histogram.join(located, [*group, "_bucket"])
+    hits = (values.join(located, [*group, "_bucket"])
             .withColumn("_upto", F.sum("_c").over(fine))
             .filter((F.col("_rest") < F.col("_upto"))
                     & (F.col("_rest") >= F.col("_upto") - F.col("_c"))))
     return hits.groupBy(*group).agg(
-        F.max("n").alias("n"),
+        F.max("n").alias("n"), *[F.max(n).alias(n) for n in taken],
         *[F.max(F.when(F.col("_name") == name, F.col("_v"))).alias(name) for name in positions])
 
 
