@@ -230,7 +230,7 @@ def _keep(gap: int, length: int, columns: list[str]):
 
 
 def keep_spaced(events: DataFrame, gap_us: int, restart: Column, free: Column,
-                block_gaps: int = 64, fan: int = 256) -> DataFrame:
+                block_gaps: int = 1024, fan: int = 256) -> DataFrame:
     """Rows of ``events`` (session, event_id, ts, ...) that are at least ``gap_us`` after the last
     kept row of the session.
 

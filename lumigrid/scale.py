@@ -51,13 +51,14 @@ def salted_join(big: DataFrame, small: DataFrame, on: Sequence[str], spread: Seq
                 salts: int = 16, how: str = "inner") -> DataFrame:
     """Equi join in which every key of ``big`` is spread over ``salts`` partitions.
 
-    ``small`` (few rows per key) is repeated once per salt; ``spread`` are columns of ``big`` that
-    vary inside a key.  If the optimizer broadcasts ``small``, the salt costs next to nothing.
+    ``small`` (few rows per key) is written first, so its size is known: below the broadcast
+    threshold ``big`` is not shuffled at all.  Above it every row of ``small`` is repeated once per
+    salt; ``spread`` are columns of ``big`` that vary inside a key.
     """
     if how not in ("inner", "left"):
         raise ValueError("salted_join supports inner and left joins")
     salted = big.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int"))
-    repeated = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    repeated = materialize(small).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return salted.join(repeated, [*on, "_salt"], how).drop("_salt")
 
 
@@ -139,6 +140,13 @@ def order_statistics(df: DataFrame, group: Sequence[str], value: str,
         *[F.max(F.when(F.col("_name") == name, F.col("_v"))).alias(name) for name in positions])
 
 
+def event_order(micros: Column, event_id: Column) -> Column:
+    """(time, id) as one number.  Like other fixed-width values it can be an ordering inside a hash
+    aggregate, where a struct forces a sort of all rows."""
+    place = micros.cast("decimal(19,0)") * F.lit("10000000000000000000").cast("decimal(20,0)")
+    return (place + event_id).cast("decimal(38,0)")
+
+
 def carry_last(df: DataFrame, group: Sequence[str], order: Sequence[str],
                block: Mapping[str, Column], carried: Mapping[str, str]) -> DataFrame:
     """Add, for each ``carried[new] = old``, the last non-null ``old`` up to and including the row.
@@ -147,7 +155,7 @@ def carry_last(df: DataFrame, group: Sequence[str], order: Sequence[str],
     """
     blocked = df.withColumns(dict(block))
     keys = [*group, *block]
-    position = F.struct(*order)
+    position = F.col(order[0]) if len(order) == 1 else F.struct(*order)
     ends = blocked.groupBy(*keys).agg(
         *[F.max_by(old, F.when(F.col(old).isNotNull(), position)).alias(f"_end_{new}")
           for new, old in carried.items()])
