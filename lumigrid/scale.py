@@ -73,13 +73,28 @@ def grouped_index(df: DataFrame, group: Sequence[str], order: Sequence[str],
     keys = [*group, *block]
     before = (Window.partitionBy(*group).orderBy(*block)
               .rowsBetween(Window.unboundedPreceding, -1))
-    offsets = (blocked.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-               .select(*keys, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before")))
-    inside = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-    return (blocked.withColumn("_inside", inside)
-            .join(offsets, keys)
-            .withColumn(name, (F.col("_before") + F.col("_inside") - 1).cast("int"))
-            .drop("_inside", "_before", *block))
+    heads = (blocked.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+             .select(*keys, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before")))
+    inside = F.row_number().over(Window.partitionBy(*keys).orderBy(_head_first(), *order))
+    offset = F.max("_before").over(Window.partitionBy(*keys))
+    return _without_heads(_with_heads(blocked, heads)
+                          .withColumn(name, (offset + inside - 2).cast("int"))
+                          .drop("_before", *block))
+
+
+# A block's head row brings what the block needs to know of the blocks before it.  It travels in the
+# same shuffle as the rows of the block, where a join would need one shuffle per side.
+def _head_first() -> Column:
+    return F.col("_head").desc()
+
+
+def _with_heads(rows: DataFrame, heads: DataFrame) -> DataFrame:
+    return rows.withColumn("_head", F.lit(False)).unionByName(
+        heads.withColumn("_head", F.lit(True)), allowMissingColumns=True)
+
+
+def _without_heads(rows: DataFrame) -> DataFrame:
+    return rows.filter(~F.col("_head")).drop("_head")
 
 
 def value_bucket(v: Column) -> Column:
@@ -161,14 +176,12 @@ def carry_last(df: DataFrame, group: Sequence[str], order: Sequence[str],
           for new, old in carried.items()])
     before = (Window.partitionBy(*group).orderBy(*block)
               .rowsBetween(Window.unboundedPreceding, -1))
-    starts = ends.select(*keys, *[F.last(f"_end_{new}", ignorenulls=True).over(before)
-                                  .alias(f"_start_{new}") for new in carried])
-    upto = (Window.partitionBy(*keys).orderBy(*order)
+    heads = ends.select(*keys, *[F.last(f"_end_{new}", ignorenulls=True).over(before)
+                                 .alias(f"_at_{new}") for new in carried])
+    rows = blocked.withColumns({f"_at_{new}": F.col(old) for new, old in carried.items()})
+    upto = (Window.partitionBy(*keys).orderBy(_head_first(), *order)
             .rowsBetween(Window.unboundedPreceding, 0))
-    inside = blocked.withColumns({f"_in_{new}": F.last(old, ignorenulls=True).over(upto)
-                                  for new, old in carried.items()})
-    return (inside.join(starts, keys)
-            .withColumns({new: F.coalesce(F.col(f"_in_{new}"), F.col(f"_start_{new}"))
-                          for new in carried})
-            .drop(*[f"_in_{new}" for new in carried], *[f"_start_{new}" for new in carried],
-                  *block))
+    return _without_heads(
+        _with_heads(rows, heads)
+        .withColumns({new: F.last(f"_at_{new}", ignorenulls=True).over(upto) for new in carried})
+        .drop(*[f"_at_{new}" for new in carried], *block))
