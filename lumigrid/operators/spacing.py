@@ -20,7 +20,7 @@ from operator import itemgetter
 import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 import lumigrid
@@ -32,6 +32,8 @@ cloudpickle.register_pickle_by_value(lumigrid)
 NEVER = np.iinfo(np.int64).min // 4
 ALWAYS = np.iinfo(np.int64).max // 4
 STEPS = "session BIGINT, block BIGINT, upto BIGINT, exit BIGINT"
+# With the times of the first and last row of the block.
+BLOCK_STEPS = f"{STEPS}, first BIGINT, last BIGINT"
 
 
 def whole_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -130,10 +132,11 @@ def _steps(gap: int, length: int):
             # Neighbouring steps with the same exit are one step.
             final = np.append((group[1:] != group[:-1]) | (leave[1:] != leave[:-1]), True)
             at = orbit.starts[group[final]]
+            columns = [_ints(table, "session")[at], _ints(table, "_block")[at], upto[final],
+                       leave[final], orbit.us[at], orbit.us[orbit.end[at] - 1]]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(_ints(table, "session")[at]), pa.array(_ints(table, "_block")[at]),
-                 pa.array(upto[final]), pa.array(leave[final])],
-                ["session", "block", "upto", "exit"])
+                [pa.array(c) for c in columns],
+                ["session", "block", "upto", "exit", "first", "last"])
 
     return run
 
@@ -197,7 +200,25 @@ def _walk(gap: int):
     return lambda batches: _batched(walked(batches), ["session", "block", "clock"])
 
 
-def entry_clocks(steps: DataFrame, gap: int, fan: int) -> DataFrame:
+def mark_chained(steps: DataFrame, gap: int, fan: int) -> DataFrame:
+    """Add the run of each block and whether its step has to be ``chained``.
+
+    A block of one step that begins at least a gap after the block before keeps its first row
+    whatever the clock.  Such a block needs no clock on entry, and unless a less certain block
+    follows it, nobody asks for its clock on exit.  In sparse sessions hardly any step is left.
+    """
+    by_run = Window.partitionBy("session", "_run").orderBy("block", "upto")
+    lag, lead = (lambda c: F.lag(c).over(by_run)), (lambda c: F.lead(c).over(by_run))
+    single = ~F.coalesce(lag("block") == F.col("block"), F.lit(False)) \
+        & ~F.coalesce(lead("block") == F.col("block"), F.lit(False))
+    certain = single & F.coalesce(F.col("first") - lag("last") >= gap, F.lit(False))
+    return (steps.withColumn("_run", F.floor(F.col("block") / fan))
+            .withColumn("certain", certain)
+            .withColumn("chained", ~F.col("certain") | ~F.coalesce(lead("certain"), F.lit(False)))
+            .drop("first", "last", "certain"))
+
+
+def entry_clocks(marked: DataFrame, gap: int) -> DataFrame:
     """(session, block, clock): the clock on entry to every block, by way of runs of blocks."""
 
     def by_run(df: DataFrame) -> DataFrame:
@@ -205,13 +226,15 @@ def entry_clocks(steps: DataFrame, gap: int, fan: int) -> DataFrame:
             "session", "_run", "block", "upto")
 
     clocks = "session BIGINT, block BIGINT, clock BIGINT"
-    in_runs = steps.withColumn("_run", F.floor(F.col("block") / fan))
-    runs = by_run(in_runs).mapInArrow(_compose(gap), STEPS)
+    chained = marked.filter("chained").drop("chained")
+    runs = by_run(chained).mapInArrow(_compose(gap), STEPS)
     into_runs = by_run(runs.withColumn("_run", F.lit(0).cast("bigint"))).mapInArrow(
         _walk(gap), clocks)
     heads = into_runs.select("session", F.col("block").alias("_run"), F.col("clock").alias("exit"))
-    return by_run(in_runs.unionByName(heads, allowMissingColumns=True)).mapInArrow(
+    walked = by_run(chained.unionByName(heads, allowMissingColumns=True)).mapInArrow(
         _walk(gap), clocks)
+    free = marked.filter("NOT chained").select("session", "block", F.lit(int(NEVER)).alias("clock"))
+    return walked.unionByName(free)
 
 
 def _keep(gap: int, length: int, columns: list[str]):
@@ -242,11 +265,12 @@ def keep_spaced(events: DataFrame, gap_us: int, restart: Column, free: Column,
     timed = events.withColumns({"_us": F.unix_micros("ts"), "_restart": restart, "_free": free}) \
         .withColumn("_block", F.expr(f"(_us - pmod(_us, {length})) div {length}"))
     clocked = timed.filter(~F.col("_free")).drop("_free")
-    steps = materialize(clocked.select(*order, "_restart")
-                        .repartition(*keys).sortWithinPartitions(*order)
-                        .mapInArrow(_steps(gap_us, length), STEPS))
+    steps = (clocked.select(*order, "_restart")
+             .repartition(*keys).sortWithinPartitions(*order)
+             .mapInArrow(_steps(gap_us, length), BLOCK_STEPS))
+    marked = materialize(mark_chained(steps, gap_us, fan))
     # The clock on entry travels as the first row of its block, so one shuffle brings both together.
-    heads = entry_clocks(steps, gap_us, fan).withColumnRenamed("block", "_block")
+    heads = entry_clocks(marked, gap_us).withColumnRenamed("block", "_block")
     kept = (clocked.unionByName(heads, allowMissingColumns=True)
             .repartition(*keys).sortWithinPartitions(*order)
             .mapInArrow(_keep(gap_us, length, events.columns), events.schema))
