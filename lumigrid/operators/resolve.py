@@ -159,7 +159,7 @@ def resolve_channel(channels: DataFrame, requests: DataFrame) -> DataFrame:
 
 
 def unresolved_channels(requests: DataFrame, resolved: DataFrame) -> DataFrame:
-    """Requests that name no channel; the reference reports these as errors."""
+    """Requests that name no channel."""
     return requests.join(resolved, ["file_id", "layer", "channel"], "left_anti")
 
 
