@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lumigrid.llm import bpe, token_files
+from lumigrid.llm import bpe, simhash, token_files
 from lumigrid.llm.common import table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -19,5 +19,9 @@ def op8_bpe_segment_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), TOKENIZER)
 
 
-QUERIES = {f.__name__: f for f in (op1_rans_token_files, op8_bpe_segment_tree)}
+def op10_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_rans_token_files, op8_bpe_segment_tree, op10_simhash_pivots)}
 ORACLES: dict[str, str] = {}
