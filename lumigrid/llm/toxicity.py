@@ -103,7 +103,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = ROWS, chars: int = CHARS
     table = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
              .filter(F.length("text") <= chars)
              .join(F.broadcast(chosen), "doc_id")  # at most 2 * rows ids
-             .dropDuplicates(["doc_id"])
+             .groupBy("doc_id", "label").agg(F.min("text").alias("text"))  # one row of a repeated id
              .select("doc_id", "label", _bags("text").alias("bags")).toArrow().sort_by("doc_id"))
     label = table["label"].to_numpy().astype(float)
     if not (label == 0).any() or not (label == 1).any():

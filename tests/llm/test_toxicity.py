@@ -56,8 +56,8 @@ def test_held_out_labels_are_not_used(spark):
 
 def test_odd_rows(spark):
     docs, labels = made(spark)
-    odd = spark.createDataFrame([(None, None, None, None), (1, "", None, None), (1, "vilea " * 30_000, "x", "x"),
-                                 (2, "é 🙂 vileb", "x", "x"), (2, "é 🙂 vileb", "x", "x")], SCHEMA)
+    odd = spark.createDataFrame([(None, None, None, None), (1, "", None, None), (1001, "vilea " * 30_000, "x", "x"),
+                                 (1002, "é 🙂 vileb", "x", "x"), (1002, "é 🙂 vileb", "x", "x")], SCHEMA)
     both = docs.unionByName(odd)
     more = labels.unionByName(spark.createDataFrame([(None, 1, 1), (7, None, None), (9, 1, 0)], labels.schema))
     rows = toxicity.score(both, more).collect()
@@ -65,7 +65,7 @@ def test_odd_rows(spark):
     assert [r["held_out"] for r in rows if r["doc_id"] is None] == [False]
     kept = toxicity.without_toxic(both, more)
     assert kept.columns == docs.columns and kept.filter("text is null or text = ''").count() == 2
-    assert kept.filter("text like '%vileb%' and doc_id is not null").count() == 0
+    assert kept.filter("text like '%vile%'").count() == 0
 
 
 def test_empty(spark):
