@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lumigrid.llm import bpe, quality, simhash, token_files, toxicity
+from lumigrid.llm import bpe, pii, quality, simhash, token_files, toxicity
 from lumigrid.llm.common import table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -27,10 +27,14 @@ def op8_bpe_segment_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), TOKENIZER)
 
 
+def op9_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(table(spark, sf_dir, "documents"))
+
+
 def op10_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {f.__name__: f for f in (op1_rans_token_files, op3_toxicity_noisy_or, op4_quality_decision_list,
-                                   op8_bpe_segment_tree, op10_simhash_pivots)}
+                                   op8_bpe_segment_tree, op9_pii_spans, op10_simhash_pivots)}
 ORACLES: dict[str, str] = {}
