@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lumigrid.llm import bpe, pii, quality, simhash, token_files, toxicity
+from lumigrid.llm import bpe, mixing, pii, quality, simhash, token_files, toxicity
 from lumigrid.llm.common import table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -23,6 +23,15 @@ def op4_quality_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+#: Shares of the tokens that the mixture shall have.
+MIXTURE = {"en": 0.55, "de": 0.15, "fr": 0.15, "es": 0.13, "poor": 0.02}
+
+
+def op7_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return mixing.rates(docs, mixing.quality_domains(docs, table(spark, sf_dir, "labels")), MIXTURE)
+
+
 def op8_bpe_segment_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), TOKENIZER)
 
@@ -36,5 +45,6 @@ def op10_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_rans_token_files, op3_toxicity_noisy_or, op4_quality_decision_list,
-                                   op8_bpe_segment_tree, op9_pii_spans, op10_simhash_pivots)}
+                                   op7_soft_mixing, op8_bpe_segment_tree,
+                                   op9_pii_spans, op10_simhash_pivots)}
 ORACLES: dict[str, str] = {}
