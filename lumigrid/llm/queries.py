@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lumigrid.llm import bpe, mixing, pii, quality, simhash, token_files, toxicity
+from lumigrid.llm import bpe, mixing, pii, quality, simhash, token_files, topk, toxicity
 from lumigrid.llm.common import table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -23,6 +23,10 @@ def op4_quality_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_block_max_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"))
+
+
 #: Shares of the tokens that the mixture shall have.
 MIXTURE = {"en": 0.55, "de": 0.15, "fr": 0.15, "es": 0.13, "poor": 0.02}
 
@@ -45,6 +49,21 @@ def op10_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_rans_token_files, op3_toxicity_noisy_or, op4_quality_decision_list,
-                                   op7_soft_mixing, op8_bpe_segment_tree,
-                                   op9_pii_spans, op10_simhash_pivots)}
-ORACLES: dict[str, str] = {}
+                                   op6_block_max_top_k, op7_soft_mixing, op8_bpe_segment_tree, op9_pii_spans,
+                                   op10_simhash_pivots)}
+ORACLES: dict[str, str] = {
+    "op6_block_max_top_k": """
+WITH v AS (
+  SELECT row_number() OVER () AS r, vec_id,
+         list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.r, q.vec_id AS query_id, c.vec_id,
+         CAST(list_inner_product(CAST(q.v AS DOUBLE[]), CAST(c.v AS DOUBLE[])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.r <> c.r WHERE q.vec_id % 50 = 0)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id) AS rank FROM s)
+WHERE rank <= 5""",
+}
