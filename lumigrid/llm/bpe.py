@@ -3,7 +3,8 @@
 Every leaf of the tree stands for a place in a pre-token and holds the rank of the pair that starts
 there; every inner node holds the least of its two children.  The root therefore names the leftmost
 pair of lowest rank.  A merge changes at most three leaves, each in a logarithmic number of steps,
-and the work ends when the root says that no pair can be merged.
+and the work ends when the root says that no pair can be merged.  Short pre-tokens that a worker meets
+for the first time are merged together, as rows of one array of trees.
 
 Null texts count as empty and give no ids.  Texts of any length are encoded whole: a pre-token of n
 bytes costs O(n log n).  Columns of the input, whatever their names, are left as they are.
@@ -27,15 +28,6 @@ from lumigrid.llm.common import free_name, whole_text
 _NONE = 1 << 62
 
 
-def _byte_characters() -> list[str]:
-    """The printable character that byte-level vocabularies write for each byte: bytes that are
-    printable in Latin-1 stand for themselves, the others follow from 256 on, in order."""
-    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    others = [b for b in range(256) if b not in set(printable)]
-    table = {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(others)}
-    return [table[b] for b in range(256)]
-
-
 class Vocabulary:
     """Ids, merges and bytes from a tokenizer file."""
 
@@ -48,9 +40,9 @@ class Vocabulary:
         for x in data["added_tokens"]:
             if x["single_word"] or x["lstrip"] or x["rstrip"]:
                 raise ValueError("added tokens must match as plain text")
-        characters = _byte_characters()
+        characters = tokens.byte_characters()
         value = {c: b for b, c in enumerate(characters)}
-        self.of_character = {c: ids[c] for c in characters}
+        self.of_byte = [ids[c] for c in characters]
         self.added = {x["content"]: x["id"] for x in data["added_tokens"]}
         self.merges = {}
         for rank, pair in enumerate(model["merges"]):
@@ -69,69 +61,170 @@ def merge_all(ids: list[int], merges: dict[tuple[int, int], tuple[int, int]]) ->
     n = len(ids)
     if n < 2:
         return ids
-    width = 1 << (n - 1).bit_length()
+    width = 1 << (n - 2).bit_length()
     tree = [_NONE] * (2 * width)
-    for i in range(n - 1):
-        found = merges.get((ids[i], ids[i + 1]))
+    find = merges.get
+    for i, pair in enumerate(zip(ids, ids[1:])):
+        found = find(pair)
         if found:
             tree[width + i] = found[0] * n + i
     for k in range(width - 1, 0, -1):
         left, right = tree[2 * k], tree[2 * k + 1]
         tree[k] = left if left < right else right
     after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-    ids = ids[:]
-    alive = n
-
-    def put(place: int, value: int) -> None:
-        k = width + place
-        tree[k] = value
-        while k > 1:
-            other = tree[k ^ 1]
-            least = value if value < other else other
-            k >>= 1
-            if tree[k] == least:
-                return
-            tree[k] = value = least
-
-    def rank_at(i: int) -> int:
-        j = after[i]
-        found = merges.get((ids[i], ids[j])) if j < n else None
-        return found[0] * n + i if found else _NONE
-
-    while tree[1] < _NONE:
+    while tree[1] != _NONE:
         i = tree[1] % n
         j = after[i]
         ids[i] = merges[ids[i], ids[j]][1]
         ids[j] = -1
-        after[i] = after[j]
-        if after[j] < n:
-            before[after[j]] = i
-        alive -= 1
-        put(j, _NONE)
-        put(i, rank_at(i))
-        if before[i] >= 0:
-            put(before[i], rank_at(before[i]))
-    out, i = [], 0
-    for _ in range(alive):
-        out.append(ids[i])
-        i = after[i]
-    return out
+        k = after[i] = after[j]
+        if k < n:
+            before[k] = i
+        changed = []
+        if j < n - 1:
+            changed.append((j, _NONE))
+        found = find((ids[i], ids[k])) if k < n else None
+        changed.append((i, found[0] * n + i if found else _NONE))
+        h = before[i]
+        if h >= 0:
+            found = find((ids[h], ids[i]))
+            changed.append((h, found[0] * n + h if found else _NONE))
+        for place, value in changed:  # up to the root, or to a node that keeps its value
+            k = width + place
+            tree[k] = value
+            while k > 1:
+                other = tree[k ^ 1]
+                if other < value:
+                    value = other
+                k >>= 1
+                if tree[k] == value:
+                    break
+                tree[k] = value
+    return [x for x in ids if x >= 0]
+
+
+class Forest:
+    """The same trees for many pre-tokens at once: one row each, one merge in every row a round."""
+
+    #: Pre-tokens of more bytes are merged alone.
+    WIDEST = 64
+
+    def __init__(self, of_byte: list[int], merges: dict[tuple[int, int], tuple[int, int]]):
+        self.of_byte = np.array(of_byte, np.int64)
+        pairs = sorted((left << 32 | right, rank, new) for (left, right), (rank, new) in merges.items())
+        code, rank, new = (np.array(c, np.int64) for c in zip(*pairs, strict=True))
+        # A table by a multiplicative hash; the few pairs that share a slot are found by steps.
+        self.bits = max(4, int(len(code)).bit_length() + 3)
+        self.code = np.full(1 << self.bits, -1, np.int64)
+        self.rank, self.new = np.zeros_like(self.code), np.zeros_like(self.code)
+        self.steps, left = 0, np.arange(len(code))
+        while len(left):
+            slot = (self._slot(code[left]) + self.steps) & (len(self.code) - 1)
+            free = self.code[slot] < 0
+            self.code[slot[free]] = code[left[free]]
+            here = self.code[slot] == code[left]
+            self.rank[slot[here]], self.new[slot[here]] = rank[left[here]], new[left[here]]
+            left = left[~here]
+            self.steps += 1
+
+    def _slot(self, code: np.ndarray) -> np.ndarray:
+        mixed = code.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        return (mixed >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def found(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rank (or -1) and slot of each pair."""
+        code = left << 32 | right
+        slot = self._slot(code)
+        for _ in range(self.steps - 1):
+            other = np.flatnonzero((self.code[slot] != code) & (self.code[slot] >= 0))
+            if not len(other):
+                break
+            slot[other] = (slot[other] + 1) & (len(self.code) - 1)
+        return np.where(self.code[slot] == code, self.rank[slot], -1), slot
+
+    def merge(self, pieces: list[bytes], width: int) -> list[bytes]:
+        """Little-endian ids of pieces of at most ``width`` bytes, a power of two."""
+        n, none = len(pieces), np.int64(_NONE)
+        length = np.fromiter(map(len, pieces), np.int64, n)
+        raw = np.frombuffer(b"".join([p.ljust(width, b"\0") for p in pieces]), np.uint8).reshape(n, width)
+        column = np.arange(width)
+        ids = np.where(column < length[:, None], self.of_byte[raw], -1)
+        tree = np.full((n, 2 * width), none)
+        rank, _ = self.found(ids[:, :-1].ravel(), np.maximum(ids[:, 1:], 0).ravel())
+        rank = rank.reshape(n, width - 1)
+        usable = (rank >= 0) & (column[1:] < length[:, None])
+        tree[:, width:-1] = np.where(usable, rank * width + column[:-1], none)
+        k = width
+        while k > 1:
+            tree[:, k // 2:k] = np.minimum(tree[:, k:2 * k:2], tree[:, k + 1:2 * k:2])
+            k //= 2
+        tree = tree.ravel()
+        after = np.broadcast_to(column + 1, (n, width)).copy()
+        before = np.broadcast_to(column - 1, (n, width)).copy()
+        ids, after, before = ids.ravel(), after.ravel(), before.ravel()
+        rows = np.arange(n)
+        while True:
+            root = tree[rows * 2 * width + 1]
+            rows, root = rows[root != none], root[root != none]
+            if not len(rows):
+                break
+            base, top, end = rows * width, rows * 2 * width, length[rows]
+            i = root % width
+            j = after[base + i]
+            _, slot = self.found(ids[base + i], ids[base + j])
+            ids[base + i], ids[base + j] = self.new[slot], -1
+            k = after[base + j]
+            after[base + i] = k
+            inside = k < end
+            before[(base + k)[inside]] = i[inside]
+            h = before[base + i]
+            # The last leaf never starts a pair: it stands in where there is no pair before.
+            places = [j, i, np.where(h >= 0, h, width - 1)]
+            right, _ = self.found(ids[base + i], np.where(inside, ids[base + np.minimum(k, width - 1)], 0))
+            left, _ = self.found(np.where(h >= 0, ids[base + np.maximum(h, 0)], 0), ids[base + i])
+            values = [np.full(len(rows), none), np.where(inside & (right >= 0), right * width + i, none),
+                      np.where((h >= 0) & (left >= 0), left * width + h, none)]
+            at = [p + width for p in places]
+            for a, v in zip(at, values, strict=True):
+                tree[top + a] = v
+            while at[0][0] > 1:  # all leaves lie equally deep
+                at = [a >> 1 for a in at]
+                for a in at:
+                    tree[top + a] = np.minimum(tree[top + 2 * a], tree[top + 2 * a + 1])
+        ids = ids.reshape(n, width)
+        alive = ids >= 0
+        blob = ids[alive].astype("<u4").tobytes()
+        ends = (4 * np.cumsum(alive.sum(axis=1))).tolist()
+        return [blob[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
 
 
 class Encoder:
-    """Texts to little-endian 32-bit ids.  The library only splits texts into pre-tokens."""
+    """Texts to little-endian 32-bit ids.  The library at most splits texts into pre-tokens."""
 
     def __init__(self, path: str):
         self.vocabulary = v = Vocabulary(path)
-        self.pretokens = tokens.load(path).pre_tokenizer.pre_tokenize_str
-        self.pieces = tokens.Remembered(self._piece)
-        self.text = tokens.UnitEncoder(
-            lambda part: b"".join([self.pieces[p] for p, _ in self.pretokens(part)]),
-            {t: struct.pack("<I", i) for t, i in v.added.items()})
-
-    def _piece(self, piece: str) -> bytes:
+        self.forest = Forest(v.of_byte, v.merges)
+        self.texts = tokens.TextEncoder(tokens.load(path), self.pieces,
+                                        {t: struct.pack("<I", i) for t, i in v.added.items()})
+
+    def pieces(self, pieces: list[str]) -> list[bytes]:
+        raw = [p.encode() for p in pieces]
+        out: list[bytes] = [b""] * len(raw)
+        by_width: dict[int, list[int]] = {}
+        for k, p in enumerate(raw):
+            by_width.setdefault(max(2, 1 << (len(p) - 1).bit_length()), []).append(k)
+        for width, places in by_width.items():
+            if width <= self.forest.WIDEST:
+                found = self.forest.merge([raw[k] for k in places], width)
+            else:
+                found = [self._alone(raw[k]) for k in places]
+            for k, ids in zip(places, found, strict=True):
+                out[k] = ids
+        return out
+
+    def _alone(self, piece: bytes) -> bytes:
         v = self.vocabulary
-        ids = merge_all([v.of_character[c] for c in piece], v.merges)
+        ids = merge_all([v.of_byte[b] for b in piece], v.merges)
         return struct.pack(f"<{len(ids)}I", *ids)
 
 
@@ -150,8 +243,7 @@ def ids_column(text: Column, path: str) -> Column:
 
     @F.arrow_udf(T.BinaryType())
     def bpe_ids(texts: pa.Array) -> pa.Array:
-        encode = _encoder(path).text
-        return pa.array([encode(t.as_py()) for t in texts], pa.binary())
+        return pa.array(_encoder(path).texts(t.as_py() for t in texts), pa.binary())
 
     return bpe_ids(text)
 

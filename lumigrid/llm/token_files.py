@@ -38,18 +38,18 @@ END = 0
 # --- ids by the tokenizers library ---------------------------------------------------------------
 
 class LibraryEncoder:
-    """Texts to little-endian ids: the library's pre-tokens, and its model on each new one."""
+    """Texts to little-endian ids: the library's model on each pre-token that is new to a worker."""
 
     def __init__(self, path: str):
-        self.tokenizer = t = tokens.load(path)
-        self.pieces = tokens.Remembered(self._piece)
-        self.text = tokens.UnitEncoder(
-            lambda part: b"".join([self.pieces[p] for p, _ in t.pre_tokenizer.pre_tokenize_str(part)]),
-            {a.content: struct.pack("<I", i) for i, a in t.get_added_tokens_decoder().items()})
+        tokenizer = tokens.load(path)
+        character, model = tokens.byte_characters(), tokenizer.model
 
-    def _piece(self, piece: str) -> bytes:
-        ids = [x.id for x in self.tokenizer.model.tokenize(piece)]
-        return struct.pack(f"<{len(ids)}I", *ids)
+        def pieces(texts: list[str]) -> list[bytes]:
+            found = [[x.id for x in model.tokenize("".join([character[b] for b in t.encode()]))] for t in texts]
+            return [struct.pack(f"<{len(ids)}I", *ids) for ids in found]
+
+        self.texts = tokens.TextEncoder(tokenizer, pieces, {
+            a.content: struct.pack("<I", i) for i, a in tokenizer.get_added_tokens_decoder().items()})
 
 
 @functools.cache
@@ -184,7 +184,7 @@ def _raw_blocks(docs: DataFrame, path: str, size: int) -> DataFrame:
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
-        part, encode = TaskContext.get().partitionId(), _encoder(path).text
+        part, encode = TaskContext.get().partitionId(), _encoder(path).texts
         state = {"held": [], "n": 0, "docs": [], "block": 0, "before": 0}
 
         def flush() -> pa.RecordBatch:
@@ -196,8 +196,9 @@ def _raw_blocks(docs: DataFrame, path: str, size: int) -> DataFrame:
 
         row = 0
         for batch in batches:
-            for doc_id, text in zip(batch.column(0), batch.column(1), strict=True):
-                ids = encode(text.as_py()) + struct.pack("<I", END)
+            coded = encode(t.as_py() for t in batch.column(1))
+            for doc_id, ids in zip(batch.column(0), coded, strict=True):
+                ids += struct.pack("<I", END)
                 total, done = len(ids) // 4, 0
                 while done < total:
                     take = min(size - state["n"], total - done)

@@ -12,11 +12,12 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from lumigrid.llm import bpe, queries, token_files
+from lumigrid.llm import bpe, queries, token_files, tokens
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 LIBRARY = Tokenizer.from_file(PATH)
-MINE, THEIRS = bpe.Encoder(PATH).text, token_files.LibraryEncoder(PATH).text
+ENCODERS = bpe.Encoder(PATH).texts, token_files.LibraryEncoder(PATH).texts
+MINE, THEIRS = ((lambda text, e=e: next(e([text]))) for e in ENCODERS)
 ODD = ["", " ", "  ", "a", " a", "a ", "a  b", "a\n b", "\n", " \n x", "don't we'll", "x" * 5000, "ab" * 3000 + " c",
        "<|endoftext|>", "a <|endoftext|> b<|endoftext|><|endof", "é ñ ß 漢字 🙂🙂", "a  b  c", "1 22  333\t4",
        "\x1c \x85 ​", "tab\t \t end ", "Ġ Ċ", "a ́b"]
@@ -43,6 +44,30 @@ def test_random_texts(parts):
     assert unpack(MINE(text)) == unpack(THEIRS(text)) == library(text)
 
 
+def test_pre_tokens_of_every_latin_character():
+    for c in map(chr, range(0x180)):
+        text = f"a{c}b 1{c} x  {c}'s{c}{c}! {c}\n{c}"
+        assert unpack(MINE(text)) == library(text)
+
+
+def test_memory_is_bounded():
+    held = tokens.Remembered(lambda keys: [k.encode() for k in keys], room=10)
+    for i in range(100):
+        keys = {str(i), "x", "y" * 1000}
+        found = held.hold(keys)
+        assert all(found[k] == k.encode() for k in keys)
+        assert len(held.known) <= 13 and len(held.older) <= 13 and "y" * 1000 not in held.older
+
+
+def test_forest_equals_single_trees():
+    v = bpe.Vocabulary(PATH)
+    encoder = bpe.Encoder(PATH)
+    random.seed(2)
+    pieces = ["".join(random.choice(" thequandé1.-ingtionx") for _ in range(random.randrange(1, 70))) for _ in range(3000)]
+    for piece, ids in zip(pieces, encoder.pieces(pieces), strict=True):
+        assert unpack(ids) == bpe.merge_all([v.of_byte[b] for b in piece.encode()], v.merges)
+
+
 def test_merges_by_brute_force():
     random.seed(1)
     for _ in range(200):
@@ -56,7 +81,7 @@ def test_merges_by_brute_force():
                 break
             _, i = min(found)
             want[i:i + 2] = [merges[want[i], want[i + 1]][1]]
-        assert bpe.merge_all(ids, merges) == want
+        assert bpe.merge_all(list(ids), merges) == want
 
 
 @pytest.mark.parametrize("n", [1, 63, 64, 1000, 100_000])
