@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lumigrid.llm import bpe, mixing, pii, quality, simhash, token_files, topk, toxicity
+from lumigrid.llm import bpe, mixing, pii, quality, simhash, token_files, topk, toxicity, warc
 from lumigrid.llm.common import table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -23,6 +23,10 @@ def op4_quality_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_warc_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op6_block_max_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"))
 
@@ -49,7 +53,7 @@ def op10_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_rans_token_files, op3_toxicity_noisy_or, op4_quality_decision_list,
-                                   op6_block_max_top_k, op7_soft_mixing, op8_bpe_segment_tree, op9_pii_spans,
+                                   op5_warc_shards, op6_block_max_top_k, op7_soft_mixing, op8_bpe_segment_tree, op9_pii_spans,
                                    op10_simhash_pivots)}
 ORACLES: dict[str, str] = {
     "op6_block_max_top_k": """
