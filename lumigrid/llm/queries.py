@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lumigrid.llm import bpe, mixing, pii, quality, simhash, token_files, topk, toxicity, warc
+from lumigrid.llm import bpe, mixing, pii, quality, repeats, simhash, token_files, topk, toxicity, warc
 from lumigrid.llm.common import table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -15,6 +15,10 @@ def op1_rans_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(table(spark, sf_dir, "documents"), TOKENIZER)
 
 
+def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.report(table(spark, sf_dir, "documents"))
+
+
 def op3_toxicity_noisy_or(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -52,9 +56,9 @@ def op10_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_rans_token_files, op3_toxicity_noisy_or, op4_quality_decision_list,
-                                   op5_warc_shards, op6_block_max_top_k, op7_soft_mixing, op8_bpe_segment_tree, op9_pii_spans,
-                                   op10_simhash_pivots)}
+QUERIES = {f.__name__: f for f in (
+    op1_rans_token_files, op2_suffix_array_dedup, op3_toxicity_noisy_or, op4_quality_decision_list, op5_warc_shards,
+    op6_block_max_top_k, op7_soft_mixing, op8_bpe_segment_tree, op9_pii_spans, op10_simhash_pivots)}
 ORACLES: dict[str, str] = {
     "op6_block_max_top_k": """
 WITH v AS (
