@@ -56,9 +56,15 @@ def op10_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline  # it uses the operators of this package, so it is imported late
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES = {f.__name__: f for f in (
     op1_rans_token_files, op2_suffix_array_dedup, op3_toxicity_noisy_or, op4_quality_decision_list, op5_warc_shards,
-    op6_block_max_top_k, op7_soft_mixing, op8_bpe_segment_tree, op9_pii_spans, op10_simhash_pivots)}
+    op6_block_max_top_k, op7_soft_mixing, op8_bpe_segment_tree, op9_pii_spans, op10_simhash_pivots, pipeline)}
 ORACLES: dict[str, str] = {
     "op6_block_max_top_k": """
 WITH v AS (
