@@ -34,8 +34,8 @@ FEATURES = 1 << 20
 STEMS = (4, 5, 6)
 #: A feature needs so many documents of the sample, and shares of toxic and other documents that
 #: differ by so many standard errors.
-SUPPORT = 5
-CONTRAST = 4.0
+SUPPORT = 3
+CONTRAST = 3.5
 STEPS = 150
 PENALTY = 1e-5
 THRESHOLD = 0.5
