@@ -18,8 +18,6 @@ GAMMA_22_INVERSE = 0.45454545
 GAMMA_TOLERANCE = 0.001
 DEFAULT_EXPOSURE = 0.0
 DEFAULT_GAMMA = 2.2
-EXPOSURE_RANGE = (-5.0, 5.0)
-GAMMA_RANGE = (0.5, 4.5)
 
 Number = float | int | Column
 
@@ -29,8 +27,9 @@ def _is_number(p: Number) -> bool:
 
 
 def clamp01(c: Column) -> Column:
-    """Into 0..1."""
-    return F.greatest(F.least(c, F.lit(1.0)), F.lit(0.0))
+    """Into 0..1; NaN stays NaN."""
+    bounded = F.greatest(F.least(c, F.lit(1.0)), F.lit(0.0))
+    return F.when(F.isnan(c.cast("double")), c.cast("double")).otherwise(bounded)
 
 
 def finite_or(c: Column, default: float) -> Column:
@@ -80,9 +79,9 @@ def gamma_encode(t: Column, gamma: Number = DEFAULT_GAMMA, mode: str = "referenc
 
 
 def quantize(t: Column, levels: int) -> Column:
-    """Round ``t`` in 0..1 to 0..levels, halves up.  Adding a half and truncating stays in generated
-    code, where ``round`` would go through a decimal per value."""
-    return (clamp01(t) * float(levels) + 0.5).cast("int")
+    """Round ``t`` in 0..1 to 0..levels, halves up; NaN gives 0.  Adding a half and truncating stays in
+    generated code, where ``round`` would go through a decimal per value."""
+    return (F.nanvl(clamp01(t), F.lit(0.0)) * float(levels) + 0.5).cast("int")
 
 
 def quantize8(t: Column) -> Column:
@@ -104,7 +103,7 @@ def dither_noise(x: Column, y: Column) -> Column:
 
 def quantize8_dithered(t: Column, x: Column, y: Column) -> Column:
     """Rounding threshold taken from the noise instead of one half."""
-    return F.least((clamp01(t) * 255.0 + dither_noise(x, y)).cast("int"), F.lit(255))
+    return F.least((F.nanvl(clamp01(t), F.lit(0.0)) * 255.0 + dither_noise(x, y)).cast("int"), F.lit(255))
 
 
 def encode_colour(c: Column, exposure: Number, gamma: Number, curve: str = "aces",
@@ -125,7 +124,7 @@ def gray_max(r8: Column, g8: Column, b8: Column) -> Column:
 
 
 def depth_map(v: Column, lo: Column, hi: Column, invert: bool) -> Column:
-    """Linear map of lo..hi to 0..255.  NaN gives 0, inverted or not."""
+    """Linear map of lo..hi to 0..255.  NaN gives 0, inverted or not, and NULL gives NULL."""
     d = v.cast("double")
     t = clamp01((d - lo) / (hi - lo))
-    return F.when(F.isnan(d), F.lit(0)).otherwise(quantize8(1.0 - t if invert else t))
+    return F.when(F.isnan(d), F.lit(0)).when(d.isNotNull(), quantize8(1.0 - t if invert else t))

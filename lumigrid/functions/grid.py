@@ -17,7 +17,8 @@ def f32(c: Column) -> Column:
 
 
 def f32_div(a: Column, b: Column) -> Column:
-    return f32(f32(a) / f32(b))
+    """NULL where ``b`` is zero."""
+    return f32(F.try_divide(f32(a), f32(b)))
 
 
 def f32_mul(a: Column, b: Column) -> Column:
@@ -31,13 +32,8 @@ def pixel_index(x: Column, y: Column, width: Column) -> Column:
 
 def pixel_xy(index: Column, width: Column) -> tuple[Column, Column]:
     """E25, inverse: (x, y)."""
-    y = F.floor(index / width)
-    return F.pmod(index, width).cast("int"), y.cast("int")
-
-
-def source_coordinate(target: Column, scale: Column, size: Column) -> Column:
-    """Source row or column that a target row or column is read from."""
-    return F.least(F.floor(f32_div(target, scale)).cast("int"), size - 1)
+    row = F.pmod(index, width)
+    return row.cast("int"), F.floor((index - row) / width).cast("int")
 
 
 def first_target(source: Column, scale: Column) -> Column:

@@ -35,10 +35,6 @@ def ascii_upper(c: Column) -> Column:
     return F.translate(c, LOWER_ASCII, UPPER_ASCII)
 
 
-def ascii_lower(c: Column) -> Column:
-    return F.translate(c, UPPER_ASCII, LOWER_ASCII)
-
-
 def short_name(full: Column) -> Column:
     """E01, second half: the text after the last dot."""
     return F.substring_index(full, ".", -1)
@@ -51,8 +47,8 @@ def layer_name(full: Column, part_name: Column) -> Column:
 
 
 def file_name(path: Column, fallback: str = "?") -> Column:
-    """Last segment of a path; ``fallback`` where there is none."""
-    last = F.element_at(F.split(path, "/"), -1)
+    """Last segment of a path, slashes and ``/.`` at its end aside; ``fallback`` where there is none."""
+    last = F.element_at(F.split(F.regexp_replace(path, r"(?:/\.?)++$", ""), "/"), -1)
     return F.when(last.isNull() | last.isin("", "..", "."), F.lit(fallback)).otherwise(last)
 
 

@@ -52,7 +52,8 @@ def normalize_depth(pixels: DataFrame, invert: bool = True, value: str = "r",
     bounds = materialize(depth_bounds(pixels, value, image))
     g8 = color.depth_map(F.col(value), F.col("lo"), F.col("hi"), invert)
     scene = [c for c in ("r", "g", "b", "a", value) if c in pixels.columns]
-    return (pixels.join(bounds, list(image))
+    # An image of nothing but NULL has no bounds; its pixels stay, and are NULL.
+    return (pixels.join(bounds, list(image), "left")
             .withColumns({"r8": g8, "a8": F.lit(255)})
             .withColumns({"g8": F.col("r8"), "b8": F.col("r8")})
             .drop("lo", "hi", *scene))

@@ -55,9 +55,3 @@ def tone_map_dithered(pixels: DataFrame, exposure: color.Number = color.DEFAULT_
         color.encode_colour(F.col(c), exposure, gamma), x, y) for c in COLOUR}
     out["a8"] = color.quantize8(color.encode_alpha(F.col("a")))
     return pixels.withColumns(out).drop(*SCENE)
-
-
-def gray_pixels(samples: DataFrame, value: str = "v") -> DataFrame:
-    """One channel as r = g = b, alpha 1."""
-    v = F.col(value).cast("float")
-    return samples.withColumns({"r": v, "g": v, "b": v, "a": F.lit(1.0).cast("float")}).drop(value)

@@ -51,10 +51,33 @@ def auto_dims(dims: DataFrame, max_size: int = PREVIEW_SIZE,
     return scaled_dims(dims, F.when(many, _fit_scale(max_size)).otherwise(F.lit(1.0)))
 
 
+def sized(dims: DataFrame) -> DataFrame:
+    """Image sizes that can be scaled."""
+    return dims.filter((F.col("width") > 0) & (F.col("height") > 0))
+
+
+def unsized_images(pixels: DataFrame, dims: DataFrame) -> DataFrame:
+    """Images that have pixels but no size above zero, with their number of pixels; they give no
+    thumbnail.  Pixels are counted on the map side, so none is shuffled."""
+    counted = pixels.groupBy("image_id").agg(F.count(F.lit(1)).alias("n_pixels"))
+    return counted.join(sized(dims).select("image_id"), "image_id", "left_anti")
+
+
+def pixels_outside(pixels: DataFrame, dims: DataFrame) -> DataFrame:
+    """Pixels beyond the size of their image; no thumbnail reads them."""
+    x, y = F.col("x"), F.col("y")
+    within = (x >= 0) & (x < F.col("width")) & (y >= 0) & (y < F.col("height"))
+    return (pixels.join(materialize(sized(dims).select("image_id", "width", "height")), "image_id")
+            .filter(~within).drop("width", "height"))
+
+
 def resample(pixels: DataFrame, target: DataFrame) -> DataFrame:
-    """Nearest-neighbour pixels at the sizes of ``target`` (as made by ``*_dims``)."""
-    sizes = materialize(target.select("image_id", "width", "height", "scale", "t_width",
-                                      "t_height"))
+    """Nearest-neighbour pixels at the sizes of ``target`` (as made by ``*_dims``).
+
+    ``unsized_images`` and ``pixels_outside`` list what has no place in the result.
+    """
+    sizes = materialize(sized(target).select("image_id", "width", "height", "scale", "t_width",
+                                             "t_height"))
     scale = F.col("scale")
     top, bottom = grid.target_range(F.col("y"), scale, F.col("height"), F.col("t_height"))
     left, right = grid.target_range(F.col("x"), scale, F.col("width"), F.col("t_width"))

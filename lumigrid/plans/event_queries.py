@@ -82,14 +82,11 @@ def _event_stream(spark, sf):
         {"ts": F.col("ts").cast("timestamp"), "session": F.col("user_id")})
 
 
-# In append mode a window appears once the watermark, which has milliseconds, has passed its end.
-_CLOSED = ("us // {0} * {0} + {0} <= (SELECT max({1}) // 1000 * 1000 - 600000000 FROM {2})")
-
-
-@checked("T5_log_timing_stream", _timing_sql(_CLOSED.format(HOUR_US, "us", "loglines")))
+@checked("T5_log_timing_stream", _timing_sql("true"))
 def _(spark, sf):
     lines = fixtures.log_lines(spark, sf, _event_stream(spark, sf))
-    result = runs.run_available(timings.log_timing(lines, watermark=timings.WATERMARK))
+    result = runs.run_with_open_windows(timings.log_timing(lines, watermark=timings.WATERMARK),
+                                        ["window_start", "op"])
     return _micros(result, "window_start", "window_end")
 
 
@@ -114,43 +111,70 @@ def conflate(spark, sf):
                    "tick_start", "tick_end")
 
 
-@checked("T1_conflate_16ms", _conflated_sql(16000))
-def _(spark, sf):
-    return _micros(events.conflate(fixtures.param_events(spark, sf)), "tick_start", "tick_end")
+# Times pressed together by this factor, so that events meet within milliseconds.
+SQUEEZE = 2_000_000
+_SQUEEZED = f"(SELECT * REPLACE (us // {SQUEEZE} AS us) FROM pev)"
+
+
+def _squeezed(spark, sf):
+    return fixtures.param_events(spark, sf).withColumn(
+        "ts", F.timestamp_micros(F.expr(f"unix_micros(ts) div {SQUEEZE}")))
 
 
-@checked("T1_conflate_stream", _conflated_sql(HOUR_US, _CLOSED.format(HOUR_US, "us", "pev")))
+@checked("T1_conflate_16ms", _conflated_sql(16000).replace("FROM pev WHERE", f"FROM {_SQUEEZED} WHERE"))
 def _(spark, sf):
+    return _micros(events.conflate(_squeezed(spark, sf)), "tick_start", "tick_end")
+
+
+def _tick_table(spark, sf):
     source = fixtures.param_events(spark, sf, _event_stream(spark, sf))
-    result = runs.run_available(events.conflate(source, "1 hour", timings.WATERMARK))
-    return _micros(result, "tick_start", "tick_end")
+    return runs.run_with_open_windows(events.conflate(source, "1 hour", timings.WATERMARK),
+                                      ["session", "tick_start"])
 
 
-@checked("T2_carry_forward", with_ctes(
-    """SELECT session, tick_start, exposure_now, gamma_now, change, '🔄 ' || CASE change
-        WHEN 'both' THEN format('Exposure: {:.2f} EV, Gamma: {:.2f}', exposure_now, gamma_now)
-        WHEN 'exposure' THEN format('Exposure: {:.2f} EV', exposure_now)
-        ELSE format('Gamma: {:.2f}', gamma_now) END AS status FROM carried""", {
-        "ticks": _ticks(HOUR_US),
-        "carried": """SELECT session, tick_start,
+@checked("T1_conflate_stream", _conflated_sql(HOUR_US))
+def _(spark, sf):
+    return _micros(_tick_table(spark, sf), "tick_start", "tick_end")
+
+
+_TICKS_CARRIED = """SELECT session, tick_start,
             coalesce(last_value(exposure IGNORE NULLS) OVER w, 0) AS exposure_now,
             coalesce(last_value(gamma IGNORE NULLS) OVER w, 2.2) AS gamma_now,
             CASE WHEN exposure IS NOT NULL AND gamma IS NOT NULL THEN 'both'
                 WHEN exposure IS NOT NULL THEN 'exposure' ELSE 'gamma' END AS change
             FROM ticks WINDOW w AS (PARTITION BY session ORDER BY tick_start
-            ROWS UNBOUNDED PRECEDING)"""}))
+            ROWS UNBOUNDED PRECEDING)"""
+_CARRIED = with_ctes(
+    """SELECT session, tick_start, exposure_now, gamma_now, change, '🔄 ' || CASE change
+        WHEN 'both' THEN format('Exposure: {:.2f} EV, Gamma: {:.2f}', exposure_now, gamma_now)
+        WHEN 'exposure' THEN format('Exposure: {:.2f} EV', exposure_now)
+        ELSE format('Gamma: {:.2f}', gamma_now) END AS status FROM carried""", {
+        "ticks": _ticks(HOUR_US),
+        "carried": _TICKS_CARRIED})
+
+
+@checked("T2_carry_forward", _CARRIED)
 def carry_forward(spark, sf):
     ticks = events.conflate(fixtures.param_events(spark, sf), "1 hour")
     return _micros(events.carry_forward(ticks), "tick_start")
 
 
+@checked("T2_carry_forward_stream", _CARRIED)
+def _(spark, sf):
+    ticks = _tick_table(spark, sf)
+    carried = runs.run_available(rates.carry_forward_stream(runs.table_stream(ticks)))
+    return _micros(carried, "tick_start")
+
+
 # Rate limits -------------------------------------------------------------------------------------
 
-def _spaced_sql(source: str, select: str, restart: str, free: str, gap: int) -> str:
+def _spaced_sql(source: str, select: str, restart: str, free: str, gap: int,
+                first: dict[str, str] | None = None) -> str:
     """One event after the other, by recursion over the position in the session."""
     return with_ctes(
         f"SELECT {select} FROM walked w JOIN numbered n ON n.session = w.session AND n.i = w.i "
         "WHERE w.keep", {
+            **(first or {}),
             "numbered": f"SELECT *, {restart} AS restart, {free} AS free, row_number() OVER "
                         f"(PARTITION BY session ORDER BY us, event_id) AS i FROM {source}",
             "walked": f"""SELECT session, 0::BIGINT AS i, NULL::BIGINT AS clock, false AS keep
@@ -173,9 +197,9 @@ def min_gap(spark, sf):
 
 
 @checked("T3_min_gap_300ms", _spaced_sql(
-    "pev", "n.session, n.event_id, n.us AS ts, n.exposure, n.gamma", "false", "false", 300000))
+    _SQUEEZED, "n.session, n.event_id, n.us AS ts, n.exposure, n.gamma", "false", "false", 300000))
 def _(spark, sf):
-    return _micros(events.min_gap(fixtures.param_events(spark, sf)), "ts")
+    return _micros(events.min_gap(_squeezed(spark, sf)), "ts")
 
 
 @checked("T3_min_gap_stream", _SPACED_PARAMS)
@@ -184,14 +208,43 @@ def _(spark, sf):
     return _micros(runs.run_available(rates.min_gap_stream(source, DAY_MS)), "ts")
 
 
-_CLAMPED = "greatest(least(p, 1::DOUBLE), 0::DOUBLE)"
+_CLAMPED = "CASE WHEN isnan(p) THEN p ELSE greatest(least(p, 1::DOUBLE), 0::DOUBLE) END"
+_NOT_SHOWN = -9.0  # written for NaN, so that results can be compared
+
+
+_FORCED = _spaced_sql(
+    "prog", f"n.session, n.event_id, n.us AS ts, n.kind, CASE WHEN isnan(n.p) THEN {_NOT_SHOWN}::DOUBLE ELSE n.p END "
+    "AS p, n.message, CASE WHEN n.kind = 'start' THEN -1::DOUBLE WHEN n.kind = 'finish' THEN 1::DOUBLE "
+    f"WHEN isnan(n.p) THEN {_NOT_SHOWN}::DOUBLE ELSE {_CLAMPED} END AS shown",
+    "kind = 'start' OR (kind = 'set' AND (message IS NOT NULL OR (NOT isnan(p) AND (p >= 0.99 OR p <= 0.01))))",
+    "kind = 'finish'", DAY_US)
 
 
-@checked("T4_min_gap_forced", _spaced_sql(
-    "prog", "n.session, n.event_id, n.us AS ts, n.kind, n.p, n.message, CASE n.kind WHEN 'start' "
-    f"THEN -1::DOUBLE WHEN 'finish' THEN 1::DOUBLE ELSE {_CLAMPED} END AS shown",
-    f"kind = 'start' OR (kind = 'set' AND (message IS NOT NULL OR {_CLAMPED} >= 0.99 OR "
-    f"{_CLAMPED} <= 0.01))", "kind = 'finish'", DAY_US))
+def _compared(shown):
+    return _micros(shown.withColumns({c: F.nanvl(c, F.lit(_NOT_SHOWN)) for c in ("p", "shown")}), "ts")
+
+
+@checked("T4_min_gap_forced", _FORCED)
 def min_gap_forced(spark, sf):
-    return _micros(events.min_gap_forced(fixtures.progress_updates(spark, sf), DAY_MS,
-                                         block_gaps=2, fan=3), "ts")
+    return _compared(events.min_gap_forced(fixtures.progress_updates(spark, sf), DAY_MS,
+                                           block_gaps=2, fan=3))
+
+
+@checked("T4_min_gap_forced_stream", _FORCED)
+def _(spark, sf):
+    updates = fixtures.progress_updates(spark, sf, _event_stream(spark, sf))
+    return _compared(runs.run_available(rates.min_gap_forced_stream(updates, DAY_MS)))
+
+
+@checked("T123_chain_stream", _spaced_sql(
+    "carried", "n.session, n.us AS tick_start, n.exposure_now, n.gamma_now, n.change", "false", "false", DAY_US,
+    {"ticks": _ticks(HOUR_US), "carried": _TICKS_CARRIED.replace("tick_start,", "tick_start AS us, tick_start // 1000 AS event_id,", 1)}))
+def _(spark, sf):
+    """Conflated, carried forward, then reported at most once a day: each link a stream over the table
+    that the one before has written."""
+    carried = runs.run_available(rates.carry_forward_stream(runs.table_stream(_tick_table(spark, sf))))
+    ticks = runs.table_stream(carried).select(
+        "session", F.expr("unix_millis(tick_start)").alias("event_id"), F.col("tick_start").alias("ts"),
+        "exposure_now", "gamma_now", "change")
+    kept = runs.run_available(rates.min_gap_stream(ticks, DAY_MS)).withColumnRenamed("ts", "tick_start")
+    return _micros(kept.drop("event_id"), "tick_start")

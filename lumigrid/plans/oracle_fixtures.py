@@ -34,14 +34,17 @@ def alias(c: str) -> str:
     t = trim(c)
     u = upper(t)
     whens = " ".join(f"WHEN {u} = '{r}' OR starts_with({u}, '{w}') THEN '{r}'"
-                     for r, w in names.ROLE_NAMES.items())
+                     for r, w in [("R", "RED"), ("G", "GREEN"), ("B", "BLUE"), ("A", "ALPHA")])
     return f"CASE {whens} ELSE {t} END"
 
 
 def group_of(u: str) -> str:
-    whens = " ".join(f"WHEN regexp_matches({u}, '{p}') THEN '{g}'"
-                     for g, p in names.GROUP_PATTERNS.items())
-    return f"CASE {whens} ELSE '{names.CHANNEL_GROUPS[-1]}' END"
+    return (f"CASE WHEN {u} IN ('R', 'G', 'B') THEN 'RGB' WHEN {u} = 'A' OR starts_with({u}, 'ALPHA') THEN 'Alpha' "
+            f"WHEN {u} = 'Z' OR contains({u}, 'DEPTH') OR {u} = 'DISTANCE' THEN 'Depth' "
+            f"WHEN contains({u}, 'CRYPT') OR contains({u}, 'MATTE') THEN 'Cryptomatte' "
+            f"WHEN starts_with({u}, 'N') OR contains({u}, 'NORMAL') THEN 'Normals' "
+            f"WHEN ends_with({u}, 'VX') OR ends_with({u}, 'VY') OR ends_with({u}, 'VZ') OR contains({u}, 'MOTION') "
+            f"OR contains({u}, 'SPEED') THEN 'Motion' ELSE 'Inne' END")
 
 
 def match_rgba(lo: str, wa: str) -> str:
@@ -132,7 +135,7 @@ CTES = {
     "ranked": f"""SELECT *, CASE WHEN layer = '' AND has_rgb THEN 0
             WHEN prio IS NOT NULL THEN 1 WHEN has_rgb THEN 2 ELSE 3 END AS plan
         FROM (SELECT *, CASE {' '.join(f"WHEN contains(lower(layer), '{p}') THEN {i}"
-                                       for i, p in enumerate(names.PRIORITY_LAYERS))} END AS prio
+                                       for i, p in enumerate(["beauty", "rgba", "default", "combined"]))} END AS prio
               FROM lay)""",
     "best": """SELECT file_id, layer AS best_layer, plan FROM ranked QUALIFY row_number() OVER
         (PARTITION BY file_id ORDER BY plan, CASE WHEN plan = 1 THEN prio END, layer_order) = 1""",
@@ -175,7 +178,8 @@ CTES = {
         WHERE exposure IS NOT NULL OR gamma IS NOT NULL""",
     "prog": """SELECT user_id AS session, event_id, epoch_us(ts) AS us,
             CASE WHEN event_id % 17 = 0 THEN 'start' WHEN event_id % 19 = 0 THEN 'finish'
-                ELSE 'set' END AS kind, value / 500 AS p,
+                ELSE 'set' END AS kind,
+                CASE WHEN event_id % 23 = 0 THEN 'nan'::DOUBLE ELSE value / 500 END AS p,
             CASE WHEN event_id % 5 = 0 THEN event_type END AS message FROM events""",
     "loglines": r"""SELECT user_id AS session, event_id, epoch_us(ts) AS us, CASE event_id % 6
             WHEN 0 THEN '{"type":"timing","op":"' || event_type || '","pixels":' || event_id

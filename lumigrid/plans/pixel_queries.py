@@ -25,11 +25,15 @@ def _hdr(sql: str) -> str:
 
 # Expressions -------------------------------------------------------------------------------------
 
-@checked("E10_finite_or", _ldr("r::DOUBLE AS safe_r, a::DOUBLE AS safe_a"))
+# Three columns of every eight are given values that are not finite.
+@checked("E10_finite_or", _ldr("CASE WHEN x % 8 IN (0, 3, 5) THEN 0::DOUBLE ELSE r::DOUBLE END AS safe_r, "
+                               "CASE WHEN x % 8 IN (0, 3, 5) THEN 1::DOUBLE ELSE a::DOUBLE END AS safe_a"))
 def _(spark, sf):
+    odd = lambda c: (F.when(F.col("x") % 8 == 0, float("nan")).when(F.col("x") % 8 == 3, float("inf"))
+                     .when(F.col("x") % 8 == 5, float("-inf")).otherwise(F.col(c)))
     return fixtures.pixels(spark, sf).select(
-        "image_id", "y", "x", color.finite_or(F.col("r"), 0.0).alias("safe_r"),
-        color.finite_or(F.col("a"), 1.0).alias("safe_a"))
+        "image_id", "y", "x", color.finite_or(odd("r"), 0.0).alias("safe_r"),
+        color.finite_or(odd("a"), 1.0).alias("safe_a"))
 
 
 @checked("E11_expose", _ldr("r::DOUBLE * 8 AS exposed"))
@@ -93,10 +97,12 @@ def _(spark, sf):
 
 
 @checked("E26_clamp01", with_ctes(
-    f"SELECT session, event_id, {alpha('p * 1.5 - 0.1')} AS progress FROM prog"))
+    f"SELECT session, event_id, CASE WHEN event_id % 23 = 0 THEN -9::DOUBLE ELSE {alpha('p * 1.5 - 0.1')} END "
+    "AS progress FROM prog"))
 def _(spark, sf):
-    return fixtures.progress_updates(spark, sf).select(
-        "session", "event_id", color.clamp01(F.col("p") * 1.5 - 0.1).alias("progress"))
+    """NaN stays NaN; it is written as -9 here."""
+    return fixtures.progress_updates(spark, sf).select("session", "event_id", F.nanvl(
+        color.clamp01(F.col("p") * 1.5 - 0.1), F.lit(-9.0)).alias("progress"))
 
 
 # Tone mapping ------------------------------------------------------------------------------------
@@ -202,6 +208,33 @@ def _resampled_sql(scale: str, t_height: str, ev: float, g: float) -> str:
             "grid": "SELECT *, cast(unnest(range(tw)) AS INTEGER) AS x FROM rowgrid"})
 
 
+# Image 1 has no size, image 2 a height of zero, and image 3 is declared smaller than it is.
+def _odd_dims(spark, sf):
+    image, height = F.col("image_id"), F.col("height")
+    return fixtures.dims(spark, sf).filter(image != 1).select(
+        "image_id", F.when(image == 3, 12).otherwise(F.col("width")).alias("width"),
+        F.when(image == 2, 0).when(image == 3, height - 2).otherwise(height).alias("height"))
+
+
+@checked("J10_unsized_images", with_ctes(
+    "SELECT image_id, count(*) AS n_pixels FROM pixels WHERE image_id IN (1, 2) GROUP BY image_id"))
+def _(spark, sf):
+    return resample.unsized_images(fixtures.pixels(spark, sf), _odd_dims(spark, sf))
+
+
+@checked("J10_pixels_outside", with_ctes(
+    "SELECT p.* FROM pixels p JOIN dims d USING (image_id) WHERE image_id = 3 AND (x >= 12 OR y >= height - 2)"))
+def _(spark, sf):
+    return resample.pixels_outside(fixtures.pixels(spark, sf), _odd_dims(spark, sf))
+
+
+@checked("J10_file_thumbnails_odd_sizes", _resampled_sql("31::FLOAT / height::FLOAT", "31", EV, 2.2).replace(
+    "FROM dims", "FROM (SELECT image_id, CASE WHEN image_id = 3 THEN 12 ELSE width END AS width, "
+    "CASE WHEN image_id = 3 THEN height - 2 ELSE height END AS height FROM dims WHERE image_id NOT IN (1, 2))"))
+def _(spark, sf):
+    return resample.file_thumbnails(fixtures.pixels(spark, sf), _odd_dims(spark, sf), 31, EV, 2.2)
+
+
 def _fit(size: int) -> str:
     return f"least({size}::FLOAT / greatest(width, height)::FLOAT, 1::FLOAT)"
 

@@ -16,6 +16,10 @@ from pyspark.sql import functions as F
 
 # Buckets per octave of the value histogram; a bucket of 32-bit floats holds 2**23 / 256 values.
 BUCKETS_PER_OCTAVE = 256
+#: Decoded size up to which ``salted_join`` broadcasts its small side.
+BROADCAST_BYTES = 64 << 20
+FIXED_WIDTHS = {"boolean": 1, "tinyint": 1, "smallint": 2, "int": 4, "float": 4, "date": 4, "bigint": 8, "double": 8,
+                "timestamp": 8, "timestamp_ntz": 8}
 _ABOVE_ALL = 1 << 29
 _OFFSET = 1 << 20
 
@@ -47,19 +51,32 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def decoded_bytes(table: DataFrame) -> int:
+    """Estimated size of a written table in memory: its rows times the width of their columns, where
+    text and the like count by their mean length."""
+    fixed = [c for c, t in table.dtypes if t in FIXED_WIDTHS]
+    other = [c for c, _ in table.dtypes if c not in fixed]
+    row = table.agg(F.count(F.lit(1)), *[F.sum(F.octet_length(F.col(c).cast("string"))) for c in other]).first()
+    return row[0] * (16 + sum(FIXED_WIDTHS[t] for c, t in table.dtypes if c in fixed)) + sum(x or 0 for x in row[1:])
+
+
 def salted_join(big: DataFrame, small: DataFrame, on: Sequence[str], spread: Sequence[str],
-                salts: int = 16, how: str = "inner") -> DataFrame:
-    """Equi join in which every key of ``big`` is spread over ``salts`` partitions.
+                salts: int = 16, how: str = "inner", limit: int = BROADCAST_BYTES) -> DataFrame:
+    """Equi join of a table with hot keys and one with few rows per key.
 
-    ``small`` (few rows per key) is written first, so its size is known: below the broadcast
-    threshold ``big`` is not shuffled at all.  Above it every row of ``small`` is repeated once per
-    salt; ``spread`` are columns of ``big`` that vary inside a key.
+    ``small`` is written first and its decoded size is measured.  Up to ``limit`` bytes it is broadcast
+    as it is, and ``big`` is not shuffled.  Beyond, both sides are shuffled, every key of ``big`` is
+    spread over ``salts`` partitions and every row of ``small`` repeated once per salt; ``spread`` are
+    columns of ``big`` that vary inside a key.
     """
     if how not in ("inner", "left"):
         raise ValueError("salted_join supports inner and left joins")
+    known = materialize(small)
+    if decoded_bytes(known) <= limit:
+        return big.join(F.broadcast(known), list(on), how)
     salted = big.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int"))
-    repeated = materialize(small).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted.join(repeated, [*on, "_salt"], how).drop("_salt")
+    repeated = known.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return salted.join(repeated.hint("merge"), [*on, "_salt"], how).drop("_salt")
 
 
 def grouped_index(df: DataFrame, group: Sequence[str], order: Sequence[str],
@@ -120,9 +137,10 @@ def order_statistics(df: DataFrame, group: Sequence[str], value: str,
     of the group, or total ``weight``); ``minima`` and ``maxima`` are taken along.  A first scan
     counts coarse buckets, which shrink map-side to a few thousand rows per group, and locates the
     bucket of every index.  A second scan counts the values of the located buckets only.  NaN sorts
-    last, as in Spark.
+    last, as in Spark; NULL is no value and takes no part, so a group of nothing else has no row.
     """
     group = list(group)
+    df = df.filter(F.col(value).isNotNull())
     weighted = F.count(F.lit(1)) if weight is None else F.sum(weight)
     extremes = [*[(n, c, F.min) for n, c in (minima or {}).items()],
                 *[(n, c, F.max) for n, c in (maxima or {}).items()]]

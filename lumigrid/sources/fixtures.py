@@ -169,11 +169,14 @@ def param_events(spark: SparkSession, sf_dir: str, events: DataFrame | None = No
             .filter(F.col("exposure").isNotNull() | F.col("gamma").isNotNull()))
 
 
-def progress_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
+def progress_updates(spark: SparkSession, sf_dir: str, events: DataFrame | None = None) -> DataFrame:
+    """Every 23rd update has a progress of NaN."""
     kind = (F.when(F.col("event_id") % 17 == 0, "start")
             .when(F.col("event_id") % 19 == 0, "finish").otherwise("set"))
-    return _events(spark, sf_dir).select(
-        "session", "event_id", "ts", kind.alias("kind"), (F.col("value") / 500).alias("p"),
+    source = _events(spark, sf_dir) if events is None else events
+    p = F.when(F.col("event_id") % 23 == 0, float("nan")).otherwise(F.col("value") / 500)
+    return source.select(
+        "session", "event_id", "ts", kind.alias("kind"), p.alias("p"),
         F.when(F.col("event_id") % 5 == 0, F.col("event_type")).alias("message"))
 
 

@@ -63,13 +63,15 @@ def read_table(spark: SparkSession, path: str, table: str,
 
 
 def to_scanlines(samples: DataFrame) -> DataFrame:
-    """One row per line of a channel; a line holds as many values as the image is wide."""
-    cells = F.array_sort(F.collect_list(F.struct("x", "v")))
-    return samples.groupBy("file_id", "part_idx", "channel_idx", "y").agg(
-        F.transform(cells, lambda c: c["v"]).alias("line"))
+    """One row per line of a channel, from x = 0 to its last sample; places without one hold NULL."""
+    cells = F.map_from_entries(F.collect_list(F.struct("x", "v")))
+    return (samples.groupBy("file_id", "part_idx", "channel_idx", "y")
+            .agg(cells.alias("_cells"), F.max("x").alias("_last"))
+            .select("file_id", "part_idx", "channel_idx", "y", F.transform(
+                F.sequence(F.lit(0), F.col("_last")), lambda x: F.try_element_at("_cells", x)).alias("line")))
 
 
 def from_scanlines(scanlines: DataFrame) -> DataFrame:
-    """Back to one row per sample.  Narrow."""
+    """Back to one row per sample; NULL stands for none.  Narrow."""
     return scanlines.select("file_id", "part_idx", "channel_idx", "y",
-                            F.posexplode("line").alias("x", "v"))
+                            F.posexplode("line").alias("x", "v")).filter("v IS NOT NULL")

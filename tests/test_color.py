@@ -75,3 +75,10 @@ def test_gray_is_the_maximum(spark):
 def test_no_python_and_no_shuffle(spark):
     plan = pixels.tone_map(pixel_table(spark, VALUES), 1.0, 2.2)._jdf.queryExecution().toString()
     assert "Exchange" not in plan.split("== Physical Plan ==")[1] and "Python" not in plan
+
+
+def test_nan_stays_nan_and_is_black(spark):
+    df = spark.createDataFrame([(float("nan"),), (2.0,), (-1.0,)], "v double")
+    rows = df.select(color.clamp01(F.col("v")), color.quantize8(F.col("v"))).collect()
+    assert math.isnan(rows[0][0]) and [r[0] for r in rows[1:]] == [1.0, 0.0]
+    assert [r[1] for r in rows] == [0, 255, 0]

@@ -82,3 +82,12 @@ def test_hot_image_is_not_sorted_raw(spark):
                                     (F.col("id") % 500).cast("float").alias("r"))
     row = depth_bounds(df).first()
     assert (row.lo, row.hi) == (5.0, 494.0)
+
+
+def test_null_is_no_value(spark):
+    rows = [(1, v) for v in (None, None, 5.0, 9.0)] + [(2, None)]
+    df = spark.createDataFrame(rows, "image_id long, r double")
+    bounds = {b["image_id"]: (b["lo"], b["hi"]) for b in depth_bounds(df).collect()}
+    assert bounds == {1: (5.0, 9.0)}
+    got = sorted(((p["image_id"], p["r8"]) for p in normalize_depth(df, invert=False).collect()), key=str)
+    assert got == sorted([(1, None), (1, None), (1, 0), (1, 255), (2, None)], key=str)

@@ -58,9 +58,9 @@ def test_layer_matches(spark, layer, wanted, rgba, channel):
 
 
 def test_file_name(spark):
-    given = ["/a/b.exr", "b.exr", "/a/", "/", "..", None]
+    given = ["/a/b.exr", "b.exr", "/a/", "/a/b/.", "/a/.b", "a//./", "/", "..", "/a/..", ".", "./", None]
     assert column(spark, given, names.file_name(F.col("c"))) == [
-        "b.exr", "b.exr", "?", "?", "?", "?"]
+        "b.exr", "b.exr", "a", "b", ".b", "a", "?", "?", "?", "?", "?", "?"]
 
 
 def test_labels(spark):

@@ -83,3 +83,13 @@ def test_pixels_are_not_shuffled(spark):
     plan = scaled._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
     assert scaled.count() == 2 * 16 * 16
+
+
+def test_images_without_a_size_are_listed(spark):
+    pixels = spark.createDataFrame([(i, 0, x, .5, .5, .5, 1.) for i in (1, 2, 3) for x in (0, 1)],
+                                   "image_id long, y int, x int, r float, g float, b float, a float")
+    dims = spark.createDataFrame([(1, 1, 1), (2, 0, 0)], "image_id long, width int, height int")
+    assert sorted(map(tuple, resample.unsized_images(pixels, dims).collect())) == [(2, 2), (3, 2)]
+    assert [(r["image_id"], r["x"]) for r in resample.pixels_outside(pixels, dims).collect()] == [(1, 1)]
+    for job in (resample.file_thumbnails, resample.preview_thumbnails, resample.preview_auto):
+        assert {r["image_id"] for r in job(pixels, dims).collect()} == {1}

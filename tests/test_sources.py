@@ -80,3 +80,24 @@ def test_materialize(spark):
     written = materialize(spark.range(5).withColumn("k", F.lit("x")))
     assert written.count() == 5 and written.columns == ["id", "k"]
     assert "Range" not in written._jdf.queryExecution().executedPlan().toString()
+
+
+def test_scan_lines_keep_places_across_holes(spark):
+    rows = [(1, 0, 0, 0, 0, 1.0), (1, 0, 0, 0, 2, 3.0), (1, 0, 0, 1, 1, 5.0)]
+    samples = spark.createDataFrame(rows, "file_id long, part_idx int, channel_idx int, y int, x int, v float")
+    lines = tables.to_scanlines(samples)
+    assert {r["y"]: r["line"] for r in lines.collect()} == {0: [1.0, None, 3.0], 1: [None, 5.0]}
+    assert sorted(map(tuple, tables.from_scanlines(lines).collect())) == rows
+
+
+def test_salted_join_measures_its_small_side(spark, capsys):
+    big = spark.range(1000).selectExpr("id % 3 AS k", "id AS v")
+    small = spark.createDataFrame([(0, "a"), (1, "b")], "k long, name string")
+    plans = []
+    for limit in (1 << 20, 0):
+        joined = salted_join(big, small, ["k"], ["v"], limit=limit)
+        assert joined.count() == 667
+        joined.explain()
+        plans.append(capsys.readouterr().out)
+    assert "BroadcastHashJoin" in plans[0] and "_salt" not in plans[0]
+    assert "SortMergeJoin" in plans[1] and "_salt" in plans[1]
