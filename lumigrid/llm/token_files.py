@@ -30,7 +30,7 @@ from lumigrid.llm.common import scratch, whole_text, written
 BITS = 20
 LOW = np.uint64(1 << 31)
 BLOCK = 1 << 18
-LANES = 512
+LANES = 1024
 STEPS = 128
 END = 0
 
@@ -42,11 +42,15 @@ class LibraryEncoder:
 
     def __init__(self, path: str):
         tokenizer = tokens.load(path)
-        character, model = tokens.byte_characters(), tokenizer.model
+        spelling, tokenize = dict(enumerate(tokens.byte_characters())), tokenizer.model.tokenize
+        packed = [struct.Struct(f"<{n}I").pack for n in range(17)]
 
         def pieces(texts: list[str]) -> list[bytes]:
-            found = [[x.id for x in model.tokenize("".join([character[b] for b in t.encode()]))] for t in texts]
-            return [struct.pack(f"<{len(ids)}I", *ids) for ids in found]
+            out = []
+            for t in texts:
+                ids = [x.id for x in tokenize(t.encode().decode("latin-1").translate(spelling))]
+                out.append(packed[len(ids)](*ids) if len(ids) < 17 else struct.pack(f"<{len(ids)}I", *ids))
+            return out
 
         self.texts = tokens.TextEncoder(tokenizer, pieces, {
             a.content: struct.pack("<I", i) for i, a in tokenizer.get_added_tokens_decoder().items()})
@@ -189,7 +193,7 @@ def _raw_blocks(docs: DataFrame, path: str, size: int) -> DataFrame:
 
         def flush() -> pa.RecordBatch:
             row = {"part": part, "block": state["block"], "before": state["before"], "n_ids": state["n"],
-                   "ids": zlib.compress(b"".join(state["held"]), 1), "docs": state["docs"]}
+                   "ids": b"".join(state["held"]), "docs": state["docs"]}
             state.update(held=[], docs=[], block=state["block"] + 1,
                          before=state["before"] + state["n"], n=0)
             return pa.RecordBatch.from_pylist([row], schema=schema)
@@ -228,7 +232,7 @@ def _counted(raw: DataFrame) -> DataFrame:
         total = np.zeros(0, np.int64)
         for batch in batches:
             for blob in batch.column(0):
-                part = np.bincount(np.frombuffer(zlib.decompress(blob.as_py()), "<u4"), minlength=len(total))
+                part = np.bincount(np.frombuffer(blob.as_buffer(), "<u4"), minlength=len(total))
                 part[:len(total)] += total
                 total = part
         found = np.flatnonzero(total)
@@ -246,7 +250,7 @@ def write(docs: DataFrame, folder: str, path: str, block: int = BLOCK, lanes: in
     ``path`` names the vocabulary.  What reaches the driver is one count per id of the vocabulary.
     """
     spark = docs.sparkSession
-    raw = written(_raw_blocks(docs, path, block), "ids", "uncompressed")
+    raw = written(_raw_blocks(docs, path, block), "ids")
     counts = {r["symbol"]: r["n"] for r in _counted(raw).collect()}
     dense = np.zeros(1 + max(counts, default=-1), np.int64)
     for symbol, n in counts.items():
@@ -260,7 +264,7 @@ def write(docs: DataFrame, folder: str, path: str, block: int = BLOCK, lanes: in
         coder = Coder(frequency)
         for batch in batches:
             for row in _rows(batch):
-                ids = np.frombuffer(zlib.decompress(row.pop("ids")), "<u4")
+                ids = np.frombuffer(row.pop("ids"), "<u4")
                 yield pa.RecordBatch.from_pylist([row | coder.encode(ids, lanes, every)], schema=schema)
 
     raw.mapInArrow(code, _CODED).write.option("compression", "uncompressed").parquet(f"{folder}/blocks")
