@@ -39,6 +39,19 @@ def shared_dir(spark: SparkSession) -> str:
     return configured.rstrip("/")
 
 
+def scratch_dir(spark: SparkSession) -> str:
+    """The part of the shared folder that belongs to this application."""
+    return f"{shared_dir(spark)}/lumigrid-{spark.sparkContext.applicationId}"
+
+
+def drop_intermediates(spark: SparkSession) -> None:
+    """Deletes everything that this application has written there.  Results that were built on it can't
+    be computed any more, so write them out first."""
+    context = spark.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(scratch_dir(spark))
+    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
@@ -46,7 +59,7 @@ def materialize(df: DataFrame) -> DataFrame:
     table: it broadcasts the table if it is below ``spark.sql.autoBroadcastJoinThreshold`` and
     plans a shuffle join with skew handling otherwise.
     """
-    path = f"{shared_dir(df.sparkSession)}/lumigrid-{uuid.uuid4().hex}"
+    path = f"{scratch_dir(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

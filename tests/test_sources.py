@@ -1,7 +1,9 @@
+from pathlib import Path
+
 import pytest
 from pyspark.sql import functions as F
 
-from lumigrid.scale import materialize, salted_join, shared_dir
+from lumigrid.scale import drop_intermediates, materialize, salted_join, shared_dir
 from lumigrid.sources import fixtures, listing, tables
 
 
@@ -101,3 +103,10 @@ def test_salted_join_measures_its_small_side(spark, capsys):
         plans.append(capsys.readouterr().out)
     assert "BroadcastHashJoin" in plans[0] and "_salt" not in plans[0]
     assert "SortMergeJoin" in plans[1] and "_salt" in plans[1]
+
+
+def test_intermediates_can_be_dropped(spark):
+    path = materialize(spark.range(3)).inputFiles()[0].rpartition("/")[0].removeprefix("file:")
+    assert Path(path).exists()
+    drop_intermediates(spark)
+    assert not Path(path).exists()
