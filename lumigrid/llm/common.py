@@ -8,7 +8,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumigrid.scale import shared_dir
+from lumigrid.scale import scratch_dir
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,16 +17,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the folder that driver and executors share."""
-    return f"{shared_dir(spark)}/llm-{name}-{uuid.uuid4().hex}"
+    return f"{scratch_dir(spark)}/llm-{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
+def written(df: DataFrame, name: str, codec: str = "zstd", path: str | None = None) -> DataFrame:
     """``df`` as a table in the shared folder: cuts the lineage and survives lost executors."""
-    path = scratch(df.sparkSession, name)
+    path = path or scratch(df.sparkSession, name)
     df.write.option("compression", codec).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def removed(spark: SparkSession, *paths: str) -> None:
+    """Deletes written tables that nothing reads any more, and lets the driver's JVM collect plans that
+    nobody holds, so that their shuffle files go, too."""
+    jvm = spark.sparkContext._jvm
+    for path in paths:
+        place = jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+    jvm.System.gc()
+
+
 def free_name(taken: Iterable[str], wish: str) -> str:
     """``wish``, with underscores put before it until no column has that name (in any case)."""
     names = {n.lower() for n in taken}

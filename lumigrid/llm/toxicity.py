@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,7 +27,7 @@ from pyspark.sql import types as T
 from lumigrid.llm import labelled
 from lumigrid.llm.common import free_name, whole_text
 
-ROWS = 4000
+ROWS = 2000
 CHARS = 20_000
 #: Words are hashed to this many features.
 FEATURES = 1 << 20
@@ -107,25 +108,31 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = ROWS, chars: int = CHARS
              .select("doc_id", "label", _bags("text").alias("bags")).toArrow().sort_by("doc_id"))
     label = table["label"].to_numpy().astype(float)
     if not (label == 0).any() or not (label == 1).any():
-        return Model(-50.0, {})
+        return Model(float("-inf"), {})
     bags = table["bags"].combine_chunks()
-    flat = bags.flatten().to_pylist()
-    doc_of = np.repeat(np.arange(len(label)), np.diff(bags.offsets.to_numpy()))
-    sizes = np.array([len(b) // 4 for b in flat], np.int64)
-    ids = np.frombuffer(b"".join(flat), "<u4")
-    sentence_of = np.repeat(np.arange(len(flat)), sizes)
-    pairs = np.unique(doc_of[sentence_of].astype(np.int64) * FEATURES + ids)
-    used = _telling(pairs % FEATURES, label[pairs // FEATURES], label)
-    column = np.full(FEATURES, -1, np.int64)
+    del table
+    flat = bags.flatten()
+    doc_of = np.repeat(np.arange(len(label), dtype=np.int32), bags.value_lengths().to_numpy())
+    sizes = pa.compute.binary_length(flat).to_numpy() // 4
+    ids = np.frombuffer(b"".join(flat.to_pylist()), "<u4")
+    del bags, flat
+    many, some = np.zeros(FEATURES, np.int64), np.zeros(FEATURES)
+    ends = np.cumsum(np.bincount(doc_of, sizes, minlength=len(label)).astype(np.int64))
+    for y, a, b in zip(label, np.append(0, ends[:-1]), ends, strict=True):
+        found = np.unique(ids[a:b])
+        many[found] += 1
+        some[found] += y
+    used = _telling(many, some, label)
+    column = np.full(FEATURES, -1, np.int32)
     column[used] = np.arange(len(used))
     at = column[ids]
-    sentence_of, at = sentence_of[at >= 0], at[at >= 0]
-    return _trained(label, doc_of, sentence_of, at, used)
+    sentence_of = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)[at >= 0]
+    return _trained(label, doc_of, sentence_of, at[at >= 0], used)
 
 
-def _telling(feature: np.ndarray, toxic: np.ndarray, label: np.ndarray) -> np.ndarray:
-    """Features whose share of toxic documents stands out; one entry per document and feature."""
-    many, some = np.bincount(feature, minlength=FEATURES), np.bincount(feature, toxic, minlength=FEATURES)
+def _telling(many: np.ndarray, some: np.ndarray, label: np.ndarray) -> np.ndarray:
+    """Features whose share of toxic documents stands out, from their numbers of documents and of toxic
+    documents."""
     n, n1 = len(label), label.sum()
     share = many / n
     error = np.sqrt(np.maximum(share * (1 - share), 1e-12) * (1 / n1 + 1 / (n - n1)))
