@@ -28,22 +28,24 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lumigrid.llm import suffixes
-from lumigrid.llm.common import free_name, whole_text, written
+from lumigrid.llm.common import free_name, removed, scratch, whole_text, written
 
 LENGTH = 200
 GRAM = 40
 BUCKET = 16
 #: Windows of a text that are looked at together, and bytes of buckets sorted together.
 SEGMENT = 1 << 17
-TOGETHER = 1 << 22
+TOGETHER = 3 << 19
 
 _RUNS = "anchor long, whole long, k1 long, k2 long, first long, last long"
 _SPANS = "k1 long, k2 long, first long, last long"
+_CUT = "anchor long, many boolean, single boolean, k1 long, k2 long, first long, bytes binary"
+_WINDOWS = "h1 long, h2 long, single boolean, k1 long, k2 long, first long"
 
 
 def _schema(ddl: str) -> pa.Schema:
@@ -157,7 +159,7 @@ def _runs_of(length: int, gram: int):
 
 def _cut_out(length: int):
     """The bytes that the windows of runs cover, from (k1, k2, text, runs)."""
-    schema = _schema("anchor long, many boolean, single boolean, k1 long, k2 long, first long, bytes binary")
+    schema = _schema(_CUT)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -209,7 +211,7 @@ def _by_suffix_array(length: int):
 
 
 def _window_hashes(length: int):
-    schema = _schema("h1 long, h2 long, single boolean, k1 long, k2 long, first long")
+    schema = _schema(_WINDOWS)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -227,19 +229,17 @@ def _window_hashes(length: int):
     return find
 
 
-def _release(spark: SparkSession) -> None:
-    """Lets the driver's JVM collect plans that nobody holds, so that their shuffle files go now."""
-    spark.sparkContext._jvm.System.gc()
-
-
 def repeated_spans(keyed: DataFrame, length: int = LENGTH, gram: int = GRAM, bucket: int = BUCKET) -> DataFrame:
     """(k1, k2, first, last): spans of repeated windows of ``keyed`` (k1, k2, text), which may overlap."""
     spark = keyed.sparkSession
-    all_runs = written(keyed.mapInArrow(_runs_of(length, gram), _RUNS), "runs")
+    paths = {name: scratch(spark, name) for name in ("runs", "shared-runs", "kinds", "cut", "windows")}
+    keep = lambda df, name: written(df, name, path=paths[name])
+    all_runs = keep(keyed.mapInArrow(_runs_of(length, gram), _RUNS), "runs")
     common = all_runs.groupBy("anchor").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("anchor")
-    shared = written(all_runs.join(common, "anchor", "left_semi"), "shared-runs")
-    _release(spark)
-    kinds = written(shared.groupBy("anchor", "whole").agg(
+    shared = keep(all_runs.join(common, "anchor", "left_semi"), "shared-runs")
+    del all_runs, common
+    removed(spark, paths.pop("runs"))
+    kinds = keep(shared.groupBy("anchor", "whole").agg(
         F.count(F.lit(1)).alias("n"), *[F.first(c).alias(c) for c in ("k1", "k2", "first", "last")]), "kinds")
     alike = shared.join(kinds.filter("n > 1").select("anchor", "whole"), ["anchor", "whole"], "left_semi").select(
         "k1", "k2", "first", "last")
@@ -248,18 +248,20 @@ def repeated_spans(keyed: DataFrame, length: int = LENGTH, gram: int = GRAM, buc
     wanted = (kinds.join(unclear, "anchor")
               .groupBy("k1", "k2").agg(F.collect_list(F.struct(
                   "anchor", "many", (F.col("n") == 1).alias("single"), "first", "last")).alias("wanted")))
-    cut = written(keyed.join(wanted.hint("shuffle_hash"), ["k1", "k2"]).select("k1", "k2", "text", "wanted").mapInArrow(
-        _cut_out(length), "anchor long, many boolean, single boolean, k1 long, k2 long, first long, bytes binary"), "cut")
-    _release(spark)
+    cut = keep(keyed.join(wanted.hint("shuffle_hash"), ["k1", "k2"]).select("k1", "k2", "text", "wanted")
+               .mapInArrow(_cut_out(length), _CUT), "cut")
+    removed(spark)
     few = (cut.filter("not many").select("anchor", "single", "k1", "k2", "first", "bytes")
            .repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_by_suffix_array(length), _SPANS))
-    windows = written(cut.filter("many").select("single", "k1", "k2", "first", "bytes")
-                      .mapInArrow(_window_hashes(length), "h1 long, h2 long, single boolean, k1 long, k2 long, first long"),
-                      "windows")
+    windows = keep(cut.filter("many").select("single", "k1", "k2", "first", "bytes")
+                   .mapInArrow(_window_hashes(length), _WINDOWS), "windows")
     twice = windows.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("h1", "h2")
     many = windows.filter("single").join(twice, ["h1", "h2"], "left_semi").select(
         "k1", "k2", "first", F.col("first").alias("last"))
-    return written(alike.unionByName(few).unionByName(many), "spans")
+    spans = written(alike.unionByName(few).unionByName(many), "spans")
+    del shared, kinds, alike, unclear, wanted, cut, few, windows, twice, many
+    removed(spark, *paths.values())
+    return spans
 
 
 # --- texts ---------------------------------------------------------------------------------------
