@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lumigrid.llm import components
+from lumigrid.llm import components, resemblance
 from lumigrid.llm.common import free_name, whole_text, written
 
 SHINGLE = 4
@@ -209,15 +209,21 @@ def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with one document of each component: that of the least ``doc_id`` (nulls last), the
-    first such row if the id repeats.  Columns stay as they are."""
+    """``docs`` with one document of each component of texts that resemble each other (``resemblance``: five
+    words, Jaccard value 0.8): that of the least ``doc_id`` (nulls last), the first such row if the id
+    repeats.  Columns stay as they are."""
     names = docs.columns
-    row, fp = free_name(names, "row"), free_name(names, "fp")
+    row, made = free_name(names, "row"), free_name(names, "sketch")
     based = written(docs.withColumn(row, F.monotonically_increasing_id())
-                    .withColumn(fp, _fingerprints(whole_text(text))), "rows")
-    coded = based.select(F.col(row).alias("row"), F.col(fp).alias("fp"), F.col("doc_id").cast("long").alias("doc_id"))
-    found = components_of(_different(coded))
+                    .withColumn(made, resemblance.sketch(whole_text(text))), "rows")
+    coded = based.select(F.col(row).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col(f"{made}.*"))
+    nodes = written(coded.groupBy("words").agg(F.min("row").alias("node"), *[F.first(c).alias(c) for c in
+                                                                           ("fp", "size", "counts")]), "nodes")
+    texts = based.select(F.col(row).alias("node"), whole_text(text).alias("text"))
+    linked = resemblance.links(nodes, texts)
+    rooted = (nodes.select("words", "node").join(linked, F.col("node") == F.col("v"), "left")
+              .select("words", F.coalesce("w", "node").alias("root")))
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
-    kept = (coded.join(found, "fp").groupBy("root").agg(F.min(order).alias("first"))
-            .select(F.col("first.row").alias(row)))
+    kept = (coded.groupBy("words").agg(F.min(order).alias("first")).join(rooted, "words")
+            .groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row").alias(row)))
     return based.join(kept, row, "left_semi").select(*names)
