@@ -4,8 +4,8 @@ A sentence's score is a logistic function of its different words and their stems
 noisy-or of its sentences, 1 - prod(1 - p).  Only documents have labels, and the weights maximise the
 likelihood of these; the sentences that then carry a score of their own are the offending ones.
 
-The fit sees at most ``ROWS`` documents per label of at most ``CHARS`` characters each (the bound on
-what reaches the driver); scoring reads every whole text.  Held-out rows never take part in the fit.
+The fit sees at most ``ROWS`` documents per label of at most ``CHARS`` characters each; scoring reads every
+whole text.  What reaches the driver are counts by feature, and the few telling features of each sentence.  Held-out rows never take part in the fit.
 
 Null and empty texts have no sentence: score 0.  Without labelled rows of both kinds every score is 0.
 Repeated rows are scored each; other columns are neither read nor changed.
@@ -19,15 +19,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lumigrid.llm import labelled
-from lumigrid.llm.common import free_name, whole_text
+from lumigrid.llm.common import free_name, whole_text, written
 
-ROWS = 2000
+ROWS = 4000
 CHARS = 20_000
 #: Words are hashed to this many features.
 FEATURES = 1 << 20
@@ -60,14 +59,41 @@ def sentences(text: str) -> Iterator[tuple[int, int, set[str]]]:
             yield m.start(), m.end(), words
 
 
-@F.arrow_udf(T.ArrayType(T.BinaryType()))
-def _bags(texts: pa.Array) -> pa.Array:
-    """Features of each sentence as little-endian 32-bit integers."""
-    out = []
-    for t in texts:
-        out.append([np.array(sorted(f for w in words for f in features(w)), "<u4").tobytes()
-                    for _, _, words in sentences(t.as_py())])
-    return pa.array(out, pa.list_(pa.binary()))
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents and toxic documents by feature, of the rows (label, text) of a task."""
+    many, some = np.zeros(FEATURES, np.int64), np.zeros(FEATURES, np.int64)
+    for batch in batches:
+        for y, text in zip(batch["label"].to_pylist(), batch["text"]):
+            words = {w for _, _, found in sentences(text.as_py()) for w in found}
+            at = np.unique(np.fromiter((f for w in words for f in features(w)), np.int64))
+            many[at] += 1
+            some[at] += y
+    at = np.flatnonzero(many)
+    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(many[at]), pa.array(some[at])], ["feature", "many", "some"])
+
+
+def _bags(text: Column, used: np.ndarray) -> Column:
+    """struct(plain, sizes, at): how many sentences have no feature of ``used``; for each of the others
+    how many it has, and their positions in ``used``, as little-endian 32-bit integers."""
+    column = {f: i for i, f in enumerate(used.tolist())}
+    kind = pa.struct([("plain", pa.int64()), ("sizes", pa.binary()), ("at", pa.binary())])
+
+    @F.arrow_udf(T.StructType([T.StructField("plain", T.LongType()), T.StructField("sizes", T.BinaryType()),
+                               T.StructField("at", T.BinaryType())]))
+    def telling(texts: pa.Array) -> pa.Array:
+        out = []
+        for t in texts:
+            plain, sizes, at = 0, [], []
+            for _, _, words in sentences(t.as_py()):
+                found = sorted(column[f] for w in words for f in features(w) if f in column)
+                plain += not found
+                if found:
+                    sizes.append(len(found))
+                    at += found
+            out.append({"plain": plain, "sizes": np.array(sizes, "<i4").tobytes(), "at": np.array(at, "<i4").tobytes()})
+        return pa.array(out, kind)
+
+    return telling(text)
 
 
 class Model:
@@ -101,48 +127,47 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = ROWS, chars: int = CHARS
     """Weights from labelled documents outside the held-out fold."""
     chosen = labelled.sample(labels.filter(labelled.fold(F.col("doc_id")) != 0), "toxic", rows)
     text = whole_text()
-    table = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
-             .filter(F.length("text") <= chars)
-             .join(F.broadcast(chosen), "doc_id")  # at most 2 * rows ids
-             .groupBy("doc_id", "label").agg(F.min("text").alias("text"))  # one row of a repeated id
-             .select("doc_id", "label", _bags("text").alias("bags")).toArrow().sort_by("doc_id"))
-    label = table["label"].to_numpy().astype(float)
-    if not (label == 0).any() or not (label == 1).any():
+    rows = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
+                   .filter(F.length("text") <= chars)
+                   .join(F.broadcast(chosen), "doc_id")  # at most 2 * rows ids
+                   .groupBy("doc_id", "label").agg(F.min("text").alias("text")), "sample")  # one row of a repeated id
+    counts = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if len(counts) < 2:
         return Model(float("-inf"), {})
-    bags = table["bags"].combine_chunks()
-    del table
-    flat = bags.flatten()
-    doc_of = np.repeat(np.arange(len(label), dtype=np.int32), bags.value_lengths().to_numpy())
-    sizes = pa.compute.binary_length(flat).to_numpy() // 4
-    ids = np.frombuffer(b"".join(flat.to_pylist()), "<u4")
-    del bags, flat
-    many, some = np.zeros(FEATURES, np.int64), np.zeros(FEATURES)
-    ends = np.cumsum(np.bincount(doc_of, sizes, minlength=len(label)).astype(np.int64))
-    for y, a, b in zip(label, np.append(0, ends[:-1]), ends, strict=True):
-        found = np.unique(ids[a:b])
-        many[found] += 1
-        some[found] += y
-    used = _telling(many, some, label)
-    column = np.full(FEATURES, -1, np.int32)
-    column[used] = np.arange(len(used))
-    at = column[ids]
-    sentence_of = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)[at >= 0]
-    return _trained(label, doc_of, sentence_of, at[at >= 0], used)
-
-
-def _telling(many: np.ndarray, some: np.ndarray, label: np.ndarray) -> np.ndarray:
+    seen = (rows.select("label", "text").mapInArrow(_counts, "feature long, many long, some long")
+            .groupBy("feature").agg(F.sum("many").alias("many"), F.sum("some").alias("some"))
+            .filter(F.col("many") >= SUPPORT).toArrow().sort_by("feature"))  # at most FEATURES rows
+    many, some = np.zeros(FEATURES, np.int64), np.zeros(FEATURES, np.int64)
+    at = seen["feature"].to_numpy()
+    many[at], some[at] = seen["many"].to_numpy(), seen["some"].to_numpy()
+    used = _telling(many, some, counts[0] + counts[1], counts[1])
+    table = rows.select("doc_id", "label", _bags(F.col("text"), used).alias("bag")).toArrow().sort_by("doc_id")
+    label = table["label"].to_numpy().astype(float)
+    bags = table["bag"].combine_chunks()
+    sizes = [np.frombuffer(x, "<i4") for x in bags.field("sizes").to_pylist()]
+    # One more sentence for each document stands for those without telling features.
+    doc_of = np.concatenate([np.repeat(np.arange(len(label), dtype=np.int32), [len(x) for x in sizes]),
+                             np.arange(len(label), dtype=np.int32)])
+    flat = np.concatenate(sizes)
+    times = np.concatenate([np.ones(len(flat)), bags.field("plain").to_numpy(zero_copy_only=False)])
+    sentence_of = np.repeat(np.arange(len(flat), dtype=np.int32), flat)
+    found = np.frombuffer(b"".join(bags.field("at").to_pylist()), "<i4")
+    return _trained(label, doc_of, times, sentence_of, found, used)
+
+
+def _telling(many: np.ndarray, some: np.ndarray, n: int, n1: int) -> np.ndarray:
     """Features whose share of toxic documents stands out, from their numbers of documents and of toxic
-    documents."""
-    n, n1 = len(label), label.sum()
+    documents, and from those of the sample."""
     share = many / n
     error = np.sqrt(np.maximum(share * (1 - share), 1e-12) * (1 / n1 + 1 / (n - n1)))
     contrast = (some / n1 - (many - some) / (n - n1)) / error
     return np.flatnonzero((many >= SUPPORT) & (np.abs(contrast) >= CONTRAST))
 
 
-def _trained(label: np.ndarray, doc_of: np.ndarray, sentence_of: np.ndarray, at: np.ndarray,
+def _trained(label: np.ndarray, doc_of: np.ndarray, times: np.ndarray, sentence_of: np.ndarray, at: np.ndarray,
              used: np.ndarray) -> Model:
-    """Adam on the noisy-or likelihood with a small penalty on the sum of squares."""
+    """Adam on the noisy-or likelihood with a small penalty on the sum of squares.  A sentence counts
+    ``times``."""
     n = len(label)
     weights, bias = np.zeros(len(used)), -5.0
     balance = np.where(label > 0, n / (2 * label.sum()), n / (2 * (n - label.sum())))
@@ -150,10 +175,10 @@ def _trained(label: np.ndarray, doc_of: np.ndarray, sentence_of: np.ndarray, at:
     for step in range(1, STEPS + 1):
         z = bias + np.bincount(sentence_of, weights[at], minlength=len(doc_of))
         p = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
-        keep = np.bincount(doc_of, -np.logaddexp(0, np.clip(z, -40, 40)), minlength=n)
+        keep = np.bincount(doc_of, -times * np.logaddexp(0, np.clip(z, -40, 40)), minlength=n)
         some = np.maximum(-np.expm1(keep), 1e-12)
         per_doc = np.where(label > 0, -np.exp(keep) / some, 1.0) * balance / n
-        slope = p * per_doc[doc_of]
+        slope = times * p * per_doc[doc_of]
         grad = np.append(np.bincount(at, slope[sentence_of], minlength=len(used)) + PENALTY * weights, slope.sum())
         first = 0.9 * first + 0.1 * grad
         second = 0.99 * second + 0.01 * grad * grad

@@ -3,6 +3,7 @@
 import math
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -81,4 +82,18 @@ def test_accuracy_of_the_query(spark):
     rows = got.filter("held_out").select("toxic", "predicted").collect()
     right = sum(r["toxic"] == r["predicted"] for r in rows) / len(rows)
     found = sum(r["predicted"] for r in rows if r["toxic"]) / max(1, sum(r["toxic"] for r in rows))
-    assert len(rows) > 500 and right >= 0.97 and found >= 0.85, (right, found)
+    assert len(rows) > 500 and right >= 0.98 and found >= 0.9, (right, found)
+
+
+def test_size_of_the_sample():
+    assert toxicity.ROWS >= 4000
+
+
+def test_only_telling_features_reach_the_driver(spark):
+    text = "Vile w1 w2. Plain words here. Nothing; w3!\nvile again"
+    used = np.array(sorted(toxicity.features("vile")))
+    df = spark.createDataFrame([(text,), ("",)], "text string")
+    bags = [r["bag"] for r in df.select(toxicity._bags(F.col("text"), used).alias("bag")).collect()]
+    assert [b["plain"] for b in bags] == [2, 0]
+    n = len(toxicity.features("vile"))
+    assert np.frombuffer(bags[0]["sizes"], "<i4").tolist() == [n, n] and len(bags[0]["at"]) == 8 * n
