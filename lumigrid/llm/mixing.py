@@ -4,8 +4,8 @@ A labelled table names the domain of some documents.  From these a classifier ov
 (multinomial, add-one smoothing) is counted; for every document it gives posteriors over the domains,
 tempered by the square root of the document's length.  Rates r >= 0 are then fitted so that the
 expected tokens of each domain, the sum of r * tokens * posterior, match the targets in the least
-squares sense, by projected gradient from r = 1: the gradient is one sum per domain over all
-documents, scaled by each document's tokens, which leaves the projection a plain greatest(0, r).
+squares sense, by projected gradient from r = 1, scaled by the curvature: the gradient is one sum per domain
+over all documents, scaled by each document's tokens, which leaves the projection a plain greatest(0, r).
 
 Only DataFrame functions are used.  What reaches the driver are counts and sums: one per domain, or
 per domain and hash bucket.  The classifier sees at most ``ROWS`` labelled rows per domain (its bound).
@@ -17,7 +17,9 @@ are weighed each.  With no documents, or no labelled ones, every rate is 1.  Oth
 from __future__ import annotations
 
 import math
+import warnings
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,10 +27,16 @@ from lumigrid.llm.common import free_name, whole_text, written
 
 ROWS = 3000
 BUCKETS = 4096
-STEPS = 60
-WRITTEN = 15
-#: Largest relative miss of a domain's target at which the descent ends.
-TOLERANCE = 1e-4
+#: A bound only: some ten steps are usual, and a fit that has not ended by then fails.
+STEPS = 1000
+#: Largest gradient, relative to a domain's target, at which the descent ends.
+TOLERANCE = 1e-7
+#: Weight of a rate's distance from 1 against the misses.
+RIDGE = 1e-8
+#: Relative miss from which a target counts as not reached.
+MISS = 1e-4
+#: Lengths of a move that one scan tries.
+TRIALS = 4
 
 
 def _tokens(text: Column) -> Column:
@@ -100,14 +108,10 @@ def posteriors(rows: DataFrame, classifier: Classifier, row: str) -> DataFrame:
     return raised.select(row, "n_tokens", *[(F.col(f"e{i}") / whole).alias(f"p{i}") for i in range(k)])
 
 
-def descended(moves: list[list[float]], k: int) -> Column:
-    """The rate after the gradient steps ``moves`` (one number per domain and step)."""
-    rate = F.col("rate")
-    for move in moves:
-        down = sum((F.lit(float(move[i])) * F.col(f"p{i}") for i in range(1, k)),
-                   F.lit(float(move[0])) * F.col("p0"))
-        rate = F.greatest(F.lit(0.0), rate - down)
-    return rate
+def moved(moves: list[float]) -> Column:
+    """The rate after moves down that sum up to ``moves`` (one number per domain)."""
+    down = sum((F.lit(float(m)) * F.col(f"p{i}") for i, m in enumerate(moves[1:], 1)), F.lit(float(moves[0])) * F.col("p0"))
+    return F.greatest(F.lit(0.0), F.lit(1.0) - down)
 
 
 def _expected(members: DataFrame, rate: Column, k: int) -> list[float]:
@@ -117,46 +121,65 @@ def _expected(members: DataFrame, rate: Column, k: int) -> list[float]:
     return [x or 0.0 for x in row]
 
 
-def _largest_eigenvalue(m: list[list[float]]) -> float:
-    v = [1.0] * len(m)
-    value = 0.0
-    for _ in range(100):
-        w = [sum(a * b for a, b in zip(r, v, strict=True)) for r in m]
-        value = max(map(abs, w))
-        if not value:
-            return 0.0
-        v = [x / value for x in w]
-    return value
-
-
-def fit_rates(members: DataFrame, targets: list[float], steps: int = STEPS) -> DataFrame:
-    """``members`` with the column rate, which brings the expected tokens of each domain to ``targets``.
-
-    Errors are counted relative to the targets (to the mean target where one is zero); the step is one
-    over the largest curvature, which only depends on sums of posteriors.  Each step is one sum over
-    the table; the rates are written after every ``WRITTEN`` steps, so that expressions stay short.
+def _scan(members: DataFrame, trials: list[np.ndarray], k: int) -> list[tuple[float, np.ndarray, np.ndarray]]:
+    """For each of the summed moves ``trials``: half the tokens times rate squared, the expected tokens of each
+    domain, and the curvature, which is that of the rows with a rate above zero."""
+    sums = []
+    for trial in trials:
+        rate, t = moved(trial.tolist()), F.col("n_tokens")
+        sums.append(F.sum(t * rate * rate / 2))
+        sums += [F.sum(t * rate * F.col(f"p{i}")) for i in range(k)]
+        sums += [F.sum(F.when(rate > 0, t * F.col(f"p{i}") * F.col(f"p{j}"))) for i in range(k) for j in range(i + 1)]
+    found = np.array([x or 0.0 for x in members.agg(*sums).first()], float).reshape(len(trials), -1)
+    out = []
+    for row in found:
+        curve = np.zeros((k, k))
+        curve[np.tril_indices(k)] = row[1 + k:]
+        out.append((row[0], row[1:1 + k], curve + np.tril(curve, -1).T))
+    return out
+
+
+def fit_rates(members: DataFrame, targets: list[float], steps: int = STEPS) -> tuple[DataFrame, list[float]]:
+    """``members`` with the column rate, which brings the expected tokens of each domain to ``targets``, and
+    the relative miss that remains in each domain.
+
+    Errors are counted relative to the targets (to the mean target where one is zero).  Moves are summed up and
+    the sum is projected, so a rate is max(0, 1 - sum of moves * posteriors): of the rates of least squared
+    error, those nearest to 1.  Each move is the gradient scaled by the inverse of the curvature of the
+    rows above zero, at the first of several lengths that descends; all of these are one scan.  It ends when the
+    gradient, which includes a share ``RIDGE`` of the moves, is below ``TOLERANCE`` in every domain; otherwise it
+    fails.  Targets that no rates reach leave a miss, of which a warning tells.
     """
     k = len(targets)
-    unit = [t if t > 0 else sum(targets) / k or 1.0 for t in targets]
-    sums = members.agg(*[F.sum(F.col("n_tokens") * F.col(f"p{i}") * F.col(f"p{j}")) for i in range(k)
-                         for j in range(k)]).first()
-    top = _largest_eigenvalue([[(sums[i * k + j] or 0.0) / (unit[i] * unit[j]) ** 0.5 for j in range(k)]
-                               for i in range(k)])
-    rated, moves = members.withColumn("rate", F.lit(1.0)), []
-    for _ in range(steps if top else 0):
-        misses = [(a - t) / u for a, t, u in zip(_expected(rated, descended(moves, k), k), targets, unit, strict=True)]
-        if max(map(abs, misses)) < TOLERANCE:
+    t = np.array(targets, float)
+    unit = np.where(t > 0, t, t.sum() / k or 1.0)
+    ridge = RIDGE * unit * unit / unit.sum()
+    at = np.zeros(k)
+    half, reached, curve = _scan(members, [at], k)[0]
+    for _ in range(steps):
+        slope = t - reached + ridge * at
+        if np.abs(slope / unit).max() < TOLERANCE or not reached.sum() and not t.sum():
             break
-        moves.append([m / top for m in misses])
-        if len(moves) == WRITTEN:
-            rated, moves = written(rated.withColumn("rate", descended(moves, k)), "rated"), []
-    return rated.withColumn("rate", descended(moves, k))
+        # Scaled on both sides, so that small domains count like large ones.
+        step = -np.linalg.solve((curve + np.diag(ridge)) / np.outer(unit, unit), slope / unit) / unit
+        lengths = [0.25 ** i for i in range(TRIALS)]
+        value = half + t @ at + ridge @ (at * at) / 2
+        tried = _scan(members, [at + x * step for x in lengths], k)
+        values = [h + t @ (at + x * step) + ridge @ (at + x * step) ** 2 / 2 for x, (h, _, _) in zip(lengths, tried)]
+        good = [i for i, (x, v) in enumerate(zip(lengths, values))
+                if v <= value + 1e-4 * x * (slope @ step) + 1e-12 * abs(value)]
+        i = good[0] if good else len(lengths) - 1
+        at, (half, reached, curve) = at + lengths[i] * step, tried[i]
+    else:
+        if np.abs((t - reached + ridge * at) / unit).max() >= TOLERANCE:
+            raise RuntimeError(f"rates did not settle in {steps} steps: misses {((reached - t) / unit).tolist()}")
+    return members.withColumn("rate", moved(at.tolist())), ((reached - t) / unit).tolist()
 
 
 def weigh(docs: DataFrame, labelled: DataFrame, row: str, weights: dict[str, float] | None = None,
           factors: dict[str, float] | None = None) -> tuple[DataFrame, list[str]]:
     """(row, n_tokens, p0, ..., rate) for every row of ``docs``, whose column ``row`` is unique, and the
-    names of the domains.
+    names of the domains.  The columns miss0, ... hold the relative miss that remains in each domain.
 
     ``weights`` are shares of the present number of tokens that the domains shall have; ``factors``
     are multiples of each domain's present expected tokens (1 where a domain isn't named).
@@ -175,7 +198,11 @@ def weigh(docs: DataFrame, labelled: DataFrame, row: str, weights: dict[str, flo
         targets = [g / (sum(given) or 1.0) * sum(present) for g in given]
     else:
         targets = [(factors or {}).get(d, 1.0) * p for d, p in zip(classifier.domains, present, strict=True)]
-    return fit_rates(members, targets), classifier.domains
+    rated, misses = fit_rates(members, targets)
+    missed = {d: m for d, m in zip(classifier.domains, misses, strict=True) if abs(m) > MISS}
+    if missed:
+        warnings.warn(f"no rates reach the targets of these domains; relative misses: {missed}", stacklevel=2)
+    return rated.select("*", *[F.lit(m).alias(f"miss{i}") for i, m in enumerate(misses)]), classifier.domains
 
 
 def copies(rate: Column, row: Column) -> Column:
@@ -190,12 +217,14 @@ def numbered(docs: DataFrame, row: str) -> DataFrame:
 
 
 def rates(docs: DataFrame, labelled: DataFrame, weights: dict[str, float]) -> DataFrame:
-    """Per row: doc_id, n_tokens, rate, copies, and the posterior of each domain as p_<domain>."""
+    """Per row: doc_id, n_tokens, rate, copies, the posterior of each domain as p_<domain> and, the same in all
+    rows, the relative miss that remains of its target as miss_<domain>."""
     based = numbered(docs.select("doc_id", "text"), "row")
     weighed, domains = weigh(based, labelled, "row", weights=weights)
     return weighed.join(based.select("row", "doc_id"), "row").select(
         "doc_id", "n_tokens", "rate", copies(F.col("rate"), F.col("row")).alias("copies"),
-        *[F.col(f"p{i}").alias(f"p_{d}") for i, d in enumerate(domains)])
+        *[F.col(f"p{i}").alias(f"p_{d}") for i, d in enumerate(domains)],
+        *[F.col(f"miss{i}").alias(f"miss_{d}") for i, d in enumerate(domains)])
 
 
 def mixed(docs: DataFrame, labelled: DataFrame, weights: dict[str, float] | None = None,

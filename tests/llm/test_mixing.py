@@ -109,3 +109,37 @@ def test_query(spark):
     tokens = sum(r["n_tokens"] for r in rows)
     for domain, share in queries.MIXTURE.items():
         assert sum(r["rate"] * r["n_tokens"] * r[f"p_{domain}"] for r in rows) == pytest.approx(share * tokens, rel=0.02)
+
+
+def members(spark, k, share, n=300):
+    """Nearly pure posteriors; domain 0 has ``share`` of the rows."""
+    rng = np.random.default_rng(5)
+    rows = []
+    for i in range(n):
+        d = 0 if i < share * n else 1 + i % (k - 1)
+        p = rng.random(k) * 0.02
+        p[d] += 1
+        rows.append((i, int(rng.integers(5, 200)), *map(float, p / p.sum())))
+    return spark.createDataFrame(rows, f"row long, n_tokens long, {', '.join(f'p{i} double' for i in range(k))}")
+
+
+def reached(df, k):
+    return df.agg(*[F.sum(F.expr(f"rate * n_tokens * p{i}")) for i in range(k)]).first()
+
+
+def test_a_domain_far_above_its_target_leaves_no_miss(spark):
+    df = members(spark, 5, 1 / 3)
+    tokens = df.agg(F.sum("n_tokens")).first()[0]
+    targets = [tokens * x for x in (0.02, 0.55, 0.15, 0.15, 0.13)]
+    rated, misses = mixing.fit_rates(df, targets)
+    assert list(reached(rated, 5)) == pytest.approx(targets, rel=1e-4) and max(map(abs, misses)) < 1e-4
+    assert rated.filter("rate < 0").count() == 0
+
+
+def test_targets_out_of_reach_are_told(spark):
+    rows = [(i, 100, 0.5, 0.5) for i in range(20)]  # both domains always get the same
+    df = spark.createDataFrame(rows, "row long, n_tokens long, p0 double, p1 double")
+    rated, misses = mixing.fit_rates(df, [1000.0, 500.0])
+    assert abs(misses[0]) > 0.1 and abs(misses[1]) > 0.1
+    # Least squares of the relative misses: x / 1000 - 1 and x / 500 - 1.
+    assert list(reached(rated, 2)) == pytest.approx([600.0, 600.0], rel=1e-3)
