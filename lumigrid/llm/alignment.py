@@ -27,7 +27,9 @@ from __future__ import annotations
 import dataclasses
 import functools
 import hashlib
+import itertools
 import re
+import struct
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -42,16 +44,14 @@ from lumigrid.llm.common import whole_text, written
 #: Bytes of a range, and ranges that one round joins into one.
 CHUNK = 1 << 16
 FAN = 8
-#: A block is closed at so many different pairs of ids or units of text.
-PAIRS, UNITS = 1 << 17, 1 << 22
-#: Units of text that a worker remembers, between this number and twice as many.
-REMEMBERED = 100_000
+#: Documents that are encoded together; a block is closed at so many different units of text, or units.
+TOGETHER = 256
+DIFFERENT, UNITS = 300_000, 1 << 22
+#: Pre-tokens of A that a worker remembers, between this number and twice as many.
+REMEMBERED = 30_000
 
 _CUT = re.compile(r"(?<=\S) (?=\S)")
-
-
-def _key(a: int, b: int) -> int:
-    return a << 32 | b
+_NOTHING = np.zeros(0, np.int64)
 
 
 @dataclasses.dataclass
@@ -60,112 +60,139 @@ class Fragment:
 
     valid: bool = True
     cut: bool = False
-    head: tuple[list[int], list[int]] = ((), ())
-    groups: list[str] = dataclasses.field(default_factory=list)
-    links: list[int] = dataclasses.field(default_factory=list)
-    tail: tuple[list[int], list[int]] = ((), ())
+    head: tuple[np.ndarray, np.ndarray] = (_NOTHING, _NOTHING)
+    groups: str = ""
+    n_groups: int = 0
+    links: np.ndarray = dataclasses.field(default_factory=lambda: _NOTHING)
+    tail: tuple[np.ndarray, np.ndarray] = (_NOTHING, _NOTHING)
     n_a: int = 0
     n_b: int = 0
 
 
 class Tokenizers:
-    """Both vocabularies, the bytes of their tokens, and alignments of units of text."""
+    """Both vocabularies, the bytes of their tokens, and the alignment of units of text."""
 
     def __init__(self, path_a: str, path_b: str):
-        self.a = tokens.load(path_a)
-        self.a.encode_special_tokens = True
+        a = tokens.load(path_a)
         self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
-        value = {c: b for b, c in enumerate(tokens.byte_characters())}
-        added = self.a.get_added_tokens_decoder()
-        spelled = {i: t for t, i in self.a.get_vocab(with_added_tokens=True).items()}
-        self.bytes_a = {i: t.encode() if i in added else bytes(value[c] for c in t) for i, t in spelled.items()}
-        self.bytes_b = {i: self._piece(i) for i in range(self.b.vocab_size())}
-        self.size_a = {i: len(t) for i, t in self.bytes_a.items()}
-        self.size_b = {i: len(t) for i, t in self.bytes_b.items()}
-        self.units = tokens.Remembered(self._aligned, REMEMBERED)
+        characters = tokens.byte_characters()
+        spelling, tokenize = dict(enumerate(characters)), a.model.tokenize
+
+        def pieces(texts: list[str]) -> list[bytes]:
+            found = ([x.id for x in tokenize(t.encode().decode("latin-1").translate(spelling))] for t in texts)
+            return [struct.pack(f"<{len(ids)}I", *ids) for ids in found]
+
+        # Strings of special tokens are plain text here, so none are searched for.
+        self.a = tokens.TextEncoder(a, pieces, {})
+        self.a.remembered.room = REMEMBERED
+        value = {c: b for b, c in enumerate(characters)}
+        added = a.get_added_tokens_decoder()
+        spelled = {i: t for t, i in a.get_vocab(with_added_tokens=True).items()}
+        self.bytes_a = [spelled[i].encode() if i in added else bytes(value[c] for c in spelled.get(i, ""))
+                        for i in range(1 + max(spelled))]
+        self.bytes_b = [self._piece(i) for i in range(self.b.vocab_size())]
+        self.size_a, self.size_b = (np.array([len(t) for t in x], np.int64) for x in (self.bytes_a, self.bytes_b))
+        # Ids as text with what follows them: in a group, at the end of A's side, of a group, of a unit.
+        self.shown = [f"{i}{c}" for n, ends in ((len(self.bytes_a), ",|"), (len(self.bytes_b), ",;\n"))
+                      for i in range(n) for c in ends]
 
     def _piece(self, i: int) -> bytes:
         piece = self.b.id_to_piece(i)
         return bytes([int(piece[3:5], 16)]) if self.b.is_byte(i) else piece.replace("\u2581", " ").encode()
 
-    def coded(self, units: list[str]) -> list[tuple[list[int], list[int]] | None]:
-        """Ids of A for a blank and the unit, and of B for the unit; None if the bytes don't come back."""
-        out = []
-        found_a = self.a.encode_batch([" " + u for u in units], add_special_tokens=False)
-        for unit, a, b in zip(units, found_a, self.b.encode(units, num_threads=1), strict=True):
-            whole, ids = b" " + unit.encode(), a.ids
-            same = (b"".join([self.bytes_a[i] for i in ids]) == whole
-                    and b"".join([self.bytes_b[i] for i in b]) == whole)
-            out.append((ids, b) if same else None)
-        return out
-
-    def walk(self, a: list[int], b: list[int]) -> tuple[list[str], list[int]]:
-        """Groups, and a key per link, of tokens that begin and end together."""
-        groups, links = [], []
-        i = j = x = y = first_a = first_b = 0  # x and y: where the current tokens end
-        if a:
-            x, y = self.size_a[a[0]], self.size_b[b[0]]
-        while i < len(a):
-            links.append(_key(a[i], b[j]))
-            if x == y:
-                groups.append(",".join(map(str, a[first_a:i + 1])) + "|" + ",".join(map(str, b[first_b:j + 1])))
-                i, j = i + 1, j + 1
-                first_a, first_b = i, j
-                if i < len(a):
-                    x, y = x + self.size_a[a[i]], y + self.size_b[b[j]]
-            elif x < y:
-                i += 1
-                x += self.size_a[a[i]]
-            else:
-                j += 1
-                y += self.size_b[b[j]]
-        return groups, links
-
-    def _aligned(self, units: list[str]) -> list[tuple | None]:
-        """(groups as text, how many, tokens of A, of B, keys of the links) of whole units."""
-        out = []
-        for ids in self.coded(units):
-            if ids is not None:
-                groups, links = self.walk(*ids)
-                ids = (";".join(groups), len(groups), len(ids[0]), len(ids[1]), links)
-            out.append(ids)
-        return out
+    def coded(self, units: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of A for a blank and each unit, of B for each unit, one unit after the other, and the numbers of
+        the units whose bytes don't come back; these have no ids."""
+        wanted = [b" " + u.encode() for u in units]
+        a = list(self.a([" " + u for u in units]))
+        b = self.b.encode(units, num_threads=1)
+        ids_a = np.frombuffer(b"".join(a), "<u4").astype(np.int64)
+        ids_b = np.fromiter(itertools.chain.from_iterable(b), np.int64)
+        whole = b"".join(wanted)
+        ends = np.cumsum([len(w) for w in wanted], dtype=np.int64)
+        same = all(b"".join(map(table.__getitem__, ids.tolist())) == whole
+                   and np.isin(ends, np.cumsum(size[ids])).all()
+                   for table, size, ids in ((self.bytes_a, self.size_a, ids_a), (self.bytes_b, self.size_b, ids_b)))
+        if same:
+            return ids_a, ids_b, _NOTHING
+        if len(units) > 1:  # find the units that are at fault
+            middle = len(units) // 2
+            left, right = self.coded(units[:middle]), self.coded(units[middle:])
+            return (np.append(left[0], right[0]), np.append(left[1], right[1]), np.append(left[2], right[2] + middle))
+        return _NOTHING, _NOTHING, np.zeros(1, np.int64)
+
+    def ends(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return np.cumsum(self.size_a[a]), np.cumsum(self.size_b[b])
+
+    def text(self, a: np.ndarray, b: np.ndarray, end_a: np.ndarray, end_b: np.ndarray, common: np.ndarray,
+             breaks: np.ndarray = _NOTHING) -> str:
+        """The groups between ``common`` ends, each followed by ``;`` or, at one of ``breaks``, a line end."""
+        of_a, of_b = np.searchsorted(common, end_a), np.searchsorted(common, end_b)
+        merged = np.empty(len(a) + len(b), np.int64)
+        last = np.append(of_a[1:] != of_a[:-1], True)
+        merged[np.arange(len(a)) + np.searchsorted(of_b, of_a)] = 2 * a + last[:len(a)]
+        last = np.append(of_b[1:] != of_b[:-1], True)[:len(b)].astype(np.int64) + np.isin(end_b, breaks)
+        merged[np.arange(len(b)) + np.searchsorted(of_a, of_b, side="right")] = 2 * len(self.bytes_a) + 3 * b + last
+        return "".join(map(self.shown.__getitem__, merged.tolist()))
+
+    def closed(self, a: np.ndarray, b: np.ndarray) -> tuple[str, int, np.ndarray]:
+        """Groups, their number, and a key per link, of tokens that begin and end together."""
+        end_a, end_b = self.ends(a, b)
+        common = np.intersect1d(end_a, end_b)
+        return self.text(a, b, end_a, end_b, common)[:-1], len(common), links(a, b, end_a, end_b)[0]
+
+    def aligned(self, units: list[str]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+        """For whole units: their groups as text, (n_a, n_b, n_groups, n_links) of each, the keys of all links,
+        and the numbers of the units at fault, which have none."""
+        a, b, bad = self.coded(units)
+        size = np.array([1 + len(u.encode()) for u in units], np.int64)
+        size[bad] = 0
+        breaks = np.cumsum(size)
+        end_a, end_b = self.ends(a, b)
+        common = np.intersect1d(end_a, end_b)
+        keys, ends = links(a, b, end_a, end_b)
+        counts = np.stack([np.diff(np.searchsorted(x, breaks, side="right"), prepend=0)
+                           for x in (end_a, end_b, common, ends)], axis=1)
+        shown = iter(self.text(a, b, end_a, end_b, common, breaks).split("\n"))
+        faulty = set(bad.tolist())
+        return ["" if i in faulty else next(shown) for i in range(len(units))], counts, keys, bad
 
     def fragment(self, units: list[str], start: int, lo: int, hi: int) -> Fragment:
         """Of the bytes lo < end <= hi, from the units that reach into them; the first begins at ``start``."""
-        a, b = [], []
-        for ids in self.coded(units):
-            if ids is None:
-                return Fragment(valid=False)
-            a += ids[0]
-            b += ids[1]
-        a, b = np.array(a, np.int64), np.array(b, np.int64)
-        end_a = start + np.cumsum([self.size_a[i] for i in a.tolist()])
-        end_b = start + np.cumsum([self.size_b[i] for i in b.tolist()])
+        a, b, bad = self.coded(units)
+        if len(bad):
+            return Fragment(valid=False)
+        end_a, end_b = (start + e for e in self.ends(a, b))
         here_a, here_b = (end_a > lo) & (end_a <= hi), (end_b > lo) & (end_b <= hi)
-        a, b, end_a, end_b = a[here_a].tolist(), b[here_b].tolist(), end_a[here_a], end_b[here_b]
+        a, b, end_a, end_b = a[here_a], b[here_b], end_a[here_a], end_b[here_b]
         common = np.intersect1d(end_a, end_b)
         n = {"n_a": len(a), "n_b": len(b)}
         if not len(common):
             return Fragment(head=(a, b), **n)
         i, k = np.searchsorted(end_a, common[[0, -1]], side="right")
         j, m = np.searchsorted(end_b, common[[0, -1]], side="right")
-        groups, links = self.walk(a[i:k], b[j:m])
-        return Fragment(True, True, (a[:i], b[:j]), groups, links, (a[k:], b[m:]), **n)
+        return Fragment(True, True, (a[:i], b[:j]), *self.closed(a[i:k], b[j:m]), (a[k:], b[m:]), **n)
 
     def joined(self, left: Fragment, right: Fragment) -> Fragment:
         """The fragment of both ranges together."""
         if not (left.valid and right.valid):
             return Fragment(valid=False)
         n = {"n_a": left.n_a + right.n_a, "n_b": left.n_b + right.n_b}
-        meet = lambda x, y: ([*x[0], *y[0]], [*x[1], *y[1]])
+        meet = lambda x, y: (np.append(x[0], y[0]), np.append(x[1], y[1]))
         if not left.cut:
             return dataclasses.replace(right, head=meet(left.head, right.head), **n)
         if not right.cut:
             return dataclasses.replace(left, tail=meet(left.tail, right.head), **n)
-        groups, links = self.walk(*meet(left.tail, right.head))
-        return Fragment(True, True, left.head, left.groups + groups + right.groups,
-                        left.links + links + right.links, right.tail, **n)
+        groups, n_groups, found = self.closed(*meet(left.tail, right.head))
+        return Fragment(True, True, left.head, ";".join(filter(None, (left.groups, groups, right.groups))),
+                        left.n_groups + n_groups + right.n_groups, np.concatenate([left.links, found, right.links]),
+                        right.tail, **n)
+
+
+def links(a: np.ndarray, b: np.ndarray, end_a: np.ndarray, end_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A key for each pair of tokens that share bytes, and where what they share ends."""
+    ends = np.union1d(end_a, end_b)
+    return a[np.searchsorted(end_a, ends)] << 32 | b[np.searchsorted(end_b, ends)], ends
 
 
 #: A document begins and ends like a range that is nothing but a common end.
@@ -196,43 +223,47 @@ def _schema(ddl: str) -> pa.Schema:
 
 
 class Block:
-    """Documents that share a list of pairs."""
+    """Documents that share a list of units of text, and of pairs."""
 
-    def __init__(self, show: Callable[[str], str]):
-        self.show = show
-        self.docs: list[tuple] = []
+    def __init__(self, both: Tokenizers, show: Callable[[str], str]):
+        self.both, self.show = both, show
         self.number: dict[str, int] = {}
-        self.found: list[tuple] = []
+        self.shown: list[str] = []
+        self.counts, self.keys = [np.zeros((0, 4), np.int64)], [_NOTHING]
+        self.bad: set[int] = set()
+        self.docs: list[tuple[int | None, str]] = []
         self.units: list[np.ndarray] = []
-        self.keys: set[int] = set()
         self.size = 0
 
-    def add(self, doc_id: int | None, units: list[str], known: dict[str, tuple | None]) -> None:
-        values = [known[u] for u in units]
-        if None in values:
-            units = values = []
-        for u, v in zip(units, values):
-            if u not in self.number:
-                self.number[u] = len(self.found)
-                self.found.append(v)
-                self.keys.update(v[4])
-        self.docs.append((doc_id, sum(v[2] for v in values), sum(v[3] for v in values), sum(v[1] for v in values),
-                          sum(len(v[4]) for v in values), self.show(";".join([v[0] for v in values]))))
-        self.units.append(np.fromiter(map(self.number.__getitem__, units), np.int32, len(units)))
-        self.size += len(units)
+    def add(self, rows: list[tuple[int | None, list[str]]]) -> None:
+        new = list(set().union(*(units for _, units in rows)).difference(self.number))
+        if new:
+            shown, counts, keys, bad = self.both.aligned(new)
+            self.bad.update((bad + len(self.shown)).tolist())
+            self.number.update(zip(new, range(len(self.shown), len(self.shown) + len(new))))
+            self.shown += shown
+            self.counts.append(counts)
+            self.keys.append(keys)
+        for doc_id, units in rows:
+            found = list(map(self.number.__getitem__, units))
+            if self.bad and not self.bad.isdisjoint(found):
+                found = []
+            self.docs.append((doc_id, self.show(";".join(map(self.shown.__getitem__, found)))))
+            self.units.append(np.array(found, np.int32))
+            self.size += len(found)
 
     def full(self) -> bool:
-        return len(self.keys) >= PAIRS or self.size >= UNITS
+        return len(self.number) >= DIFFERENT or self.size >= UNITS
 
     def row(self, block: int) -> pa.RecordBatch:
-        flat = np.array([k for v in self.found for k in v[4]], np.int64)
-        ends = np.cumsum([len(v[4]) for v in self.found], dtype=np.int64)
-        unit = np.concatenate([*self.units, np.zeros(0, np.int32)])
+        counts, flat = np.concatenate(self.counts), np.concatenate(self.keys)
+        unit, ends = np.concatenate(self.units), np.cumsum([len(u) for u in self.units])
+        sums = [np.diff(np.append(0, np.cumsum(c[unit]))[ends], prepend=0).tolist() for c in counts.T]
         keys, pair = np.unique(flat, return_inverse=True)
-        uses = np.bincount(unit, minlength=len(self.found))
-        counts = np.bincount(pair, np.repeat(uses, np.diff(ends, prepend=0)), minlength=len(keys)).astype(np.int64)
-        return _block_row(block, self.docs, keys, counts, pair, np.ones(len(pair)), ends, unit,
-                          np.cumsum([len(u) for u in self.units]))
+        uses = np.repeat(np.bincount(unit, minlength=len(counts)), counts[:, 3])
+        totals = np.bincount(pair, uses, minlength=len(keys)).astype(np.int64)
+        docs = [(d, *n, g) for (d, g), *n in zip(self.docs, *sums)]
+        return _block_row(block, docs, keys, totals, pair, np.ones(len(pair)), np.cumsum(counts[:, 3]), unit, ends)
 
 
 def _block_row(block: int, docs: list[tuple], keys, counts, pair, times, pair_ends, unit, unit_ends) -> pa.RecordBatch:
@@ -253,18 +284,16 @@ def _short(paths: tuple[str, str], show: Callable[[str], str]):
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
         made = TaskContext.get().partitionId() << 32
-        both, block = _tokenizers(*paths), Block(show)
+        both = _tokenizers(*paths)
+        block = Block(both, show)
         for batch in batches:
-            for k in range(0, batch.num_rows, 256):
-                part = batch.slice(k, 256)
-                texts = [t.as_py() for t in part.column(1)]
-                units = [_CUT.split(t) if t else [] for t in texts]
-                known = both.units.hold(set().union(*units))
-                for doc_id, cut in zip(part.column(0).to_pylist(), units, strict=True):
-                    block.add(doc_id, cut, known)
-                    if block.full():
-                        yield block.row(made)
-                        made, block = made + 1, Block(show)
+            for k in range(0, batch.num_rows, TOGETHER):
+                part = batch.slice(k, TOGETHER)
+                block.add([(d, _CUT.split(t) if t else [])
+                           for d, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True)])
+                if block.full():
+                    yield block.row(made)
+                    made, block = made + 1, Block(both, show)
         if block.docs:
             yield block.row(made)
 
@@ -300,54 +329,47 @@ def _ranges_of(chunk: int):
     return cut
 
 
-def _out(row: int, doc_id: int | None, seq: int, f: Fragment, schema: pa.Schema) -> pa.RecordBatch:
-    keys, counts = np.unique(np.array(f.links, np.int64), return_counts=True)
-    return _packed(row, doc_id, seq, f, ";".join(f.groups), len(f.groups), keys, counts, schema)
+def _packed(row: int, doc_id: int | None, seq: int, f: Fragment, keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+    schema = _schema(_FRAGMENTS)
+    values = [row, doc_id, seq, f.valid, f.cut, *f.head, f.groups, f.n_groups, keys, counts, *f.tail, f.n_a, f.n_b]
+    return pa.RecordBatch.from_arrays([pa.array([v], c.type) for v, c in zip(values, schema)], schema=schema)
 
 
-def _packed(row, doc_id, seq, f, groups, n_groups, keys, counts, schema) -> pa.RecordBatch:
-    values = [row, doc_id, seq, f.valid, f.cut, f.head[0], f.head[1], groups, n_groups, keys, counts, f.tail[0], f.tail[1],
-              f.n_a, f.n_b]
-    return pa.RecordBatch.from_arrays([pa.array([v], c.type) for v, c in zip(values, schema)], schema=schema)
+def _unpacked(r: dict) -> Fragment:
+    """The fragment of a row, but for its links, which stay counted."""
+    ids = lambda n: np.array(r[n], np.int64)
+    return Fragment(r["valid"], r["cut"], (ids("head_a"), ids("head_b")), r["groups"], r["n_groups"], _NOTHING,
+                    (ids("tail_a"), ids("tail_b")), r["n_a"], r["n_b"])
 
 
-def _fragments(paths: tuple[str, str]):
-    schema = _schema(_FRAGMENTS)
+def _tally(rows: list[dict], more: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Different keys of ``rows`` and of the links ``more``, and how many links each has."""
+    keys, at = np.unique(np.concatenate([*(np.array(r["keys"], np.int64) for r in rows), more]), return_inverse=True)
+    times = np.concatenate([*(np.array(r["counts"], np.int64) for r in rows), np.ones(len(more), np.int64)])
+    return keys, np.bincount(at, times, minlength=len(keys)).astype(np.int64)
 
+
+def _fragments(paths: tuple[str, str]):
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both = _tokenizers(*paths)
         for batch in batches:
             for r in batch.to_pylist():
                 found = both.fragment(_CUT.split(r["text"]), r["start"], r["lo"], r["hi"])
-                yield _out(r["row"], r["doc_id"], r["seq"], found, schema)
+                yield _packed(r["row"], r["doc_id"], r["seq"], found, *np.unique(found.links, return_counts=True))
 
     return code
 
 
 def _joins(paths: tuple[str, str]):
     """Joins the fragments of a row that are next to each other and have the same number ``seq``."""
-    schema = _schema(_FRAGMENTS)
-
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both = _tokenizers(*paths)
         held: list[dict] = []
 
         def done() -> pa.RecordBatch:
-            whole, groups, n_groups = Fragment(), [], 0
-            for i, r in enumerate(held):
-                f = Fragment(r["valid"], r["cut"], (r["head_a"], r["head_b"]), [], [], (r["tail_a"], r["tail_b"]),
-                             r["n_a"], r["n_b"])
-                whole = both.joined(whole, f)
-                # Closed groups of the parts stay text; only those that close here are made.
-                groups += [*whole.groups, *([r["groups"]] if r["groups"] else [])]
-                n_groups += len(whole.groups) + r["n_groups"]
-                r["links"], whole.groups, whole.links = whole.links, [], []
-            keys, at = np.unique(np.concatenate([np.array([*r["keys"], *r["links"]], np.int64) for r in held]),
-                                 return_inverse=True)
-            times = np.concatenate([np.array([*r["counts"], *[1] * len(r["links"])], np.int64) for r in held])
-            counts = np.bincount(at, times, minlength=len(keys)).astype(np.int64)
-            return _packed(held[0]["row"], held[0]["doc_id"], held[0]["seq"], whole, ";".join(groups), n_groups, keys,
-                           counts, schema)
+            whole = functools.reduce(both.joined, map(_unpacked, held))
+            first = held[0]
+            return _packed(first["row"], first["doc_id"], first["seq"], whole, *_tally(held, whole.links))
 
         for batch in batches:
             for k in range(batch.num_rows):
@@ -370,18 +392,11 @@ def _whole(paths: tuple[str, str], show: Callable[[str], str]):
         for batch in batches:
             for k in range(batch.num_rows):
                 r = batch.slice(k, 1).to_pylist()[0]
-                block, nothing = -1 - r["row"], np.zeros(0, np.int64)
-                if not r["valid"]:
-                    yield _block_row(block, [(r["doc_id"], 0, 0, 0, 0, "")], nothing, nothing, nothing, nothing, nothing,
-                                     nothing, [0])
-                    continue
-                f = Fragment(True, r["cut"], (r["head_a"], r["head_b"]), [], [], (r["tail_a"], r["tail_b"]))
-                first = both.joined(EDGE, f)  # closes the prefix; the last byte is a common end, so no suffix is left
-                text = ";".join([*first.groups, *([r["groups"]] if r["groups"] else [])])
-                keys, at = np.unique(np.array([*r["keys"], *first.links], np.int64), return_inverse=True)
-                counts = np.bincount(at, [*r["counts"], *[1] * len(first.links)], minlength=len(keys)).astype(np.int64)
-                doc = (r["doc_id"], r["n_a"], r["n_b"], r["n_groups"] + len(first.groups), int(counts.sum()), show(text))
-                yield _block_row(block, [doc], keys, counts, np.arange(len(keys)), counts, [len(keys)], [0], [1])
+                # Closes the prefix; the last byte is a common end, so no suffix is left.
+                f = both.joined(EDGE, _unpacked(r))
+                keys, counts = _tally([r], f.links) if f.valid else (_NOTHING, _NOTHING)
+                doc = (r["doc_id"], f.n_a, f.n_b, f.n_groups, int(counts.sum()), show(f.groups))
+                yield _block_row(-1 - r["row"], [doc], keys, counts, np.arange(len(keys)), counts, [len(keys)], [0], [1])
 
     return close
 

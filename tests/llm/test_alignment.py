@@ -114,4 +114,5 @@ def test_joins_are_associative():
         got = both.joined(alignment.EDGE, parts[0])
         want = both.joined(alignment.EDGE, whole)
         assert got.groups == want.groups and sorted(got.links) == sorted(want.links)
-        assert (got.n_a, got.n_b) == (want.n_a, want.n_b) and not any(map(len, got.tail))
+        counts = (got.n_a, got.n_b, got.n_groups)
+        assert counts == (want.n_a, want.n_b, want.n_groups) and not any(map(len, got.tail))
