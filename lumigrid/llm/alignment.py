@@ -30,6 +30,7 @@ import hashlib
 import itertools
 import re
 import struct
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -46,7 +47,7 @@ CHUNK = 1 << 16
 FAN = 8
 #: Documents that are encoded together; a block is closed at so many different units of text, or units.
 TOGETHER = 256
-DIFFERENT, UNITS = 300_000, 1 << 22
+DIFFERENT, UNITS = 200_000, 1 << 22
 #: Pre-tokens of A that a worker remembers, between this number and twice as many.
 REMEMBERED = 30_000
 
@@ -267,8 +268,9 @@ class Block:
 
 
 def _block_row(block: int, docs: list[tuple], keys, counts, pair, times, pair_ends, unit, unit_ends) -> pa.RecordBatch:
-    binary = [np.asarray(x, t).tobytes() for x, t in ((pair, "<i4"), (times, "<i4"), (pair_ends, "<i8"), (unit, "<i4"),
-                                                      (unit_ends, "<i8"))]
+    # Compressed here already, so that a row stays small wherever it goes.
+    binary = [zlib.compress(np.asarray(x, t).tobytes(), 1) for x, t in (
+        (pair, "<i4"), (times, "<i4"), (pair_ends, "<i8"), (unit, "<i4"), (unit_ends, "<i8"))]
     values = [block, *map(list, zip(*docs)), keys, counts, *binary]
     return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(values, _schema(_BLOCKS))],
                                       schema=_schema(_BLOCKS))
@@ -432,7 +434,7 @@ def _scored(_key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
     if not left.num_rows:
         return schema.empty_table()
     b = {n: left[n].combine_chunks() for n in left.column_names}
-    raw = lambda name, kind: np.frombuffer(b[name][0].as_py(), kind)
+    raw = lambda name, kind: np.frombuffer(zlib.decompress(b[name][0].as_py()), kind)
     pair, times, unit = raw("pair", "<i4"), raw("times", "<i4").astype(np.int64), raw("unit", "<i4")
     at = right["at"].to_numpy()
     listed = [b[n].flatten() for n in ("doc_id", "n_a", "n_b", "n_groups", "n_links")]
