@@ -5,8 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lumigrid.llm import alignment, bpe, mixing, pii, quality, repeats, runs, simhash, token_files, topk, toxicity,\
-    warc
+from lumigrid.llm import (
+    alignment, bpe, kmeanstree, mixing, pii, quality, repeats, runs, simhash, token_files, topk, toxicity, warc)
 from lumigrid.llm.common import table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -58,6 +58,10 @@ def op10_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_kmeans_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kmeanstree.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op12_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.report(table(spark, sf_dir, "documents"), TOKENIZER, PIECES)
 
@@ -75,7 +79,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     op1_rans_token_files, op2_suffix_array_dedup, op3_toxicity_noisy_or, op4_quality_decision_list, op5_warc_shards,
     op6_block_max_top_k, op7_soft_mixing, op8_bpe_segment_tree, op9_pii_spans, op10_simhash_pivots,
-    op12_cross_tokenizer_alignment, op13_lyndon_runs, pipeline)}
+    op11_kmeans_tree, op12_cross_tokenizer_alignment, op13_lyndon_runs, pipeline)}
 ORACLES: dict[str, str] = {
     "op6_block_max_top_k": """
 WITH v AS (
