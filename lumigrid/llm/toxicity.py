@@ -1,11 +1,15 @@
 """Toxicity by multiple-instance learning: a document is a bag of sentences.
 
-A sentence's score is a logistic function of its different words and their stems; the document's score is the
-noisy-or of its sentences, 1 - prod(1 - p).  Only documents have labels, and the weights maximise the
-likelihood of these; the sentences that then carry a score of their own are the offending ones.
+A sentence's score is a logistic function of its different words and their stems, counted from that of a
+sentence without any telling word: p = (s(z) - s(bias)) / (1 - s(bias)), at least 0.  Such neutral sentences thus
+have score 0 however many a document has.  The document's score is the noisy-or of its sentences,
+1 - prod(1 - p).  Only documents have labels, and the weights maximise the likelihood of these; the sentences
+that then reach the threshold by themselves are the offending ones.  Where a document reaches it only by
+several weaker ones, these are the fewest of its sentences that do so together.
 
-The fit sees at most ``ROWS`` documents per label of at most ``CHARS`` characters each; scoring reads every
-whole text.  What reaches the driver are counts by feature, and the few telling features of each sentence.  Held-out rows never take part in the fit.
+The fit sees at most ``ROWS`` documents per label, in whole; scoring reads every whole text.  What reaches the
+driver are counts by feature, and the few telling features of each sentence.  Held-out rows never take part in
+the fit.
 
 Null and empty texts have no sentence: score 0.  Without labelled rows of both kinds every score is 0.
 Repeated rows are scored each; other columns are neither read nor changed.
@@ -13,6 +17,7 @@ Repeated rows are scored each; other columns are neither read nor changed.
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from collections.abc import Iterator
@@ -27,7 +32,6 @@ from lumigrid.llm import labelled
 from lumigrid.llm.common import free_name, whole_text, written
 
 ROWS = 4000
-CHARS = 20_000
 #: Words are hashed to this many features.
 FEATURES = 1 << 20
 #: Lengths of the beginnings of words that count as stems.
@@ -36,9 +40,11 @@ STEMS = (4, 5, 6)
 #: differ by so many standard errors.
 SUPPORT = 3
 CONTRAST = 3.5
-STEPS = 150
+STEPS = 400
 PENALTY = 1e-5
 THRESHOLD = 0.5
+#: Share of toxic labels that the fit takes to have no sentence to show for it.
+LEAK = 0.01
 
 _SENTENCE = re.compile(r"[^.!?\n]+")
 _WORD = re.compile(r"\w+")
@@ -73,24 +79,22 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _bags(text: Column, used: np.ndarray) -> Column:
-    """struct(plain, sizes, at): how many sentences have no feature of ``used``; for each of the others
-    how many it has, and their positions in ``used``, as little-endian 32-bit integers."""
+    """struct(sizes, at): for each sentence with a feature of ``used`` how many it has, and their positions in
+    ``used``, as little-endian 32-bit integers."""
     column = {f: i for i, f in enumerate(used.tolist())}
-    kind = pa.struct([("plain", pa.int64()), ("sizes", pa.binary()), ("at", pa.binary())])
+    kind = pa.struct([("sizes", pa.binary()), ("at", pa.binary())])
 
-    @F.arrow_udf(T.StructType([T.StructField("plain", T.LongType()), T.StructField("sizes", T.BinaryType()),
-                               T.StructField("at", T.BinaryType())]))
+    @F.arrow_udf(T.StructType([T.StructField("sizes", T.BinaryType()), T.StructField("at", T.BinaryType())]))
     def telling(texts: pa.Array) -> pa.Array:
         out = []
         for t in texts:
-            plain, sizes, at = 0, [], []
+            sizes, at = [], []
             for _, _, words in sentences(t.as_py()):
                 found = sorted(column[f] for w in words for f in features(w) if f in column)
-                plain += not found
                 if found:
                     sizes.append(len(found))
                     at += found
-            out.append({"plain": plain, "sizes": np.array(sizes, "<i4").tobytes(), "at": np.array(at, "<i4").tobytes()})
+            out.append({"sizes": np.array(sizes, "<i4").tobytes(), "at": np.array(at, "<i4").tobytes()})
         return pa.array(out, kind)
 
     return telling(text)
@@ -113,22 +117,32 @@ class Model:
         return w
 
     def score(self, text: str) -> tuple[float, list[tuple[int, int, float]]]:
-        """The document's score, and start, end and score of the sentences at or above the threshold."""
-        keep, offending = 0.0, []
+        """The document's score, and start, end and score of the sentences that it rests on."""
+        keep, base, found = 0.0, np.logaddexp(0.0, self.bias), []
         for start, end, words in sentences(text):
-            z = self.bias + sum(map(self.weight, words))
-            keep -= np.logaddexp(0.0, z) if z > -30 else np.exp(z)
-            if z >= 0:
-                offending.append((start, end, float(1 / (1 + np.exp(-z)))))
-        return float(-np.expm1(keep)), offending
-
-
-def fit(docs: DataFrame, labels: DataFrame, rows: int = ROWS, chars: int = CHARS) -> Model:
+            z = sum(map(self.weight, words))
+            if z > 0:
+                kept = float(base - np.logaddexp(0.0, self.bias + z))
+                keep += kept
+                found.append((start, end, -math.expm1(kept)))
+        score = -math.expm1(keep)
+        offending = [x for x in found if x[2] >= THRESHOLD]
+        if score >= THRESHOLD and not offending:
+            left = 1.0
+            for x in sorted(found, key=lambda x: (-x[2], x[0])):
+                offending.append(x)
+                left *= 1 - x[2]
+                if 1 - left >= THRESHOLD:
+                    break
+            offending.sort()
+        return score, offending
+
+
+def fit(docs: DataFrame, labels: DataFrame, rows: int = ROWS) -> Model:
     """Weights from labelled documents outside the held-out fold."""
     chosen = labelled.sample(labels.filter(labelled.fold(F.col("doc_id")) != 0), "toxic", rows)
     text = whole_text()
     rows = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
-                   .filter(F.length("text") <= chars)
                    .join(F.broadcast(chosen), "doc_id")  # at most 2 * rows ids
                    .groupBy("doc_id", "label").agg(F.min("text").alias("text")), "sample")  # one row of a repeated id
     counts = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -145,14 +159,11 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = ROWS, chars: int = CHARS
     label = table["label"].to_numpy().astype(float)
     bags = table["bag"].combine_chunks()
     sizes = [np.frombuffer(x, "<i4") for x in bags.field("sizes").to_pylist()]
-    # One more sentence for each document stands for those without telling features.
-    doc_of = np.concatenate([np.repeat(np.arange(len(label), dtype=np.int32), [len(x) for x in sizes]),
-                             np.arange(len(label), dtype=np.int32)])
+    doc_of = np.repeat(np.arange(len(label), dtype=np.int32), [len(x) for x in sizes])
     flat = np.concatenate(sizes)
-    times = np.concatenate([np.ones(len(flat)), bags.field("plain").to_numpy(zero_copy_only=False)])
     sentence_of = np.repeat(np.arange(len(flat), dtype=np.int32), flat)
     found = np.frombuffer(b"".join(bags.field("at").to_pylist()), "<i4")
-    return _trained(label, doc_of, times, sentence_of, found, used)
+    return _trained(label, doc_of, sentence_of, found, used)
 
 
 def _telling(many: np.ndarray, some: np.ndarray, n: int, n1: int) -> np.ndarray:
@@ -164,22 +175,23 @@ def _telling(many: np.ndarray, some: np.ndarray, n: int, n1: int) -> np.ndarray:
     return np.flatnonzero((many >= SUPPORT) & (np.abs(contrast) >= CONTRAST))
 
 
-def _trained(label: np.ndarray, doc_of: np.ndarray, times: np.ndarray, sentence_of: np.ndarray, at: np.ndarray,
-             used: np.ndarray) -> Model:
-    """Adam on the noisy-or likelihood with a small penalty on the sum of squares.  A sentence counts
-    ``times``."""
+def _trained(label: np.ndarray, doc_of: np.ndarray, sentence_of: np.ndarray, at: np.ndarray, used: np.ndarray) -> Model:
+    """Adam on the noisy-or likelihood with a small penalty on the sum of squares."""
     n = len(label)
     weights, bias = np.zeros(len(used)), -5.0
     balance = np.where(label > 0, n / (2 * label.sum()), n / (2 * (n - label.sum())))
     first, second = np.zeros(len(used) + 1), np.zeros(len(used) + 1)
+    logistic = lambda x: 1 / (1 + np.exp(-np.clip(x, -40, 40)))
     for step in range(1, STEPS + 1):
-        z = bias + np.bincount(sentence_of, weights[at], minlength=len(doc_of))
-        p = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
-        keep = np.bincount(doc_of, -times * np.logaddexp(0, np.clip(z, -40, 40)), minlength=n)
-        some = np.maximum(-np.expm1(keep), 1e-12)
-        per_doc = np.where(label > 0, -np.exp(keep) / some, 1.0) * balance / n
-        slope = times * p * per_doc[doc_of]
-        grad = np.append(np.bincount(at, slope[sentence_of], minlength=len(used)) + PENALTY * weights, slope.sum())
+        own = np.bincount(sentence_of, weights[at], minlength=len(doc_of))
+        counts = own >= 0  # others have score 0
+        z = np.clip(bias + own, -40, 40)
+        keep = np.bincount(doc_of, np.where(counts, np.logaddexp(0, bias) - np.logaddexp(0, z), 0.0), minlength=n)
+        some = 1 - (1 - LEAK) * np.exp(keep)
+        per_doc = np.where(label > 0, -(1 - LEAK) * np.exp(keep) / some, 1.0) * balance / n
+        down = np.where(counts, per_doc[doc_of], 0.0)
+        grad = np.append(np.bincount(at, (down * logistic(z))[sentence_of], minlength=len(used)) + PENALTY * weights,
+                         (down * (logistic(z) - logistic(bias))).sum())
         first = 0.9 * first + 0.1 * grad
         second = 0.99 * second + 0.01 * grad * grad
         move = 0.2 * (first / (1 - 0.9 ** step)) / (np.sqrt(second / (1 - 0.99 ** step)) + 1e-8)

@@ -18,7 +18,8 @@ def test_noisy_or_by_hand():
     sigmoid = lambda z: 1 / (1 + math.exp(-z))
     word = lambda w: sum(weights.get(f, 0) for f in toxicity.features(w))
     score, spans = model.score("Bad bad. Quite good!\n\n...bad good")
-    p = [sigmoid(-2 + word("bad")), sigmoid(-2 + word("good")), sigmoid(-2 + word("bad") + word("good"))]
+    p = [max(0, (sigmoid(-2 + w) - sigmoid(-2)) / (1 - sigmoid(-2)))
+         for w in (word("bad"), word("good"), word("bad") + word("good"))]
     assert score == pytest.approx(1 - math.prod(1 - x for x in p))
     assert [s[:2] for s in spans] == [(s, e) for (s, e), x in zip([(0, 7), (8, 19), (25, 33)], p) if x >= 0.5]
     assert model.score("")[0] == 0 and model.score(" .!? \n")[0] == 0
@@ -69,6 +70,43 @@ def test_odd_rows(spark):
     assert kept.filter("text like '%vile%'").count() == 0
 
 
+def test_sentences_that_reach_the_threshold_together():
+    weights = {f: 1.0 / len(toxicity.features("bad")) for f in toxicity.features("bad")}
+    model = toxicity.Model(-1.0, weights)
+    one, spans = model.score("bad. fine")
+    assert 0 < one < 0.5 and spans == []
+    score, spans = model.score("bad. fine. bad. bad. bad")
+    assert score == pytest.approx(1 - (1 - one) ** 4) and score >= 0.5
+    least = next(k for k in range(1, 5) if 1 - (1 - one) ** k >= 0.5)
+    assert [s[:2] for s in spans] == [(0, 3), (10, 14), (15, 19), (20, 24)][:least]
+
+
+def test_long_texts(spark):
+    """Sentences without telling words add nothing up, and one toxic sentence among thousands is found."""
+    docs, labels = made(spark)
+    neutral = " ".join(f"w{k % 40} w{k % 37} w{k % 31}." for k in range(30_000))
+    middle = len(neutral) // 2
+    longs = [(9001, neutral, 0), (9002, neutral[:middle] + ". w1 vilea w2. " + neutral[middle:], 1),
+             (9003, neutral.replace(".", "!"), None), (9004, neutral + " vileb.", None)]
+    both = docs.unionByName(spark.createDataFrame([(d, t, "x", "y") for d, t, _ in longs], SCHEMA))
+    known = labels.unionByName(spark.createDataFrame([(d, 1, y) for d, _, y in longs if y is not None], labels.schema))
+    for marks in (labels, known):
+        got = {r["doc_id"]: r for r in toxicity.score(both, marks).filter("doc_id > 9000").collect()}
+        assert [got[d]["predicted"] for d in (9001, 9002, 9003, 9004)] == [0, 1, 0, 1]
+        assert got[9001]["score"] < 0.05 and got[9003]["score"] < 0.05
+        assert "vile" in longs[1][1][slice(*map(int, got[9002]["sentences"].split(":")))]
+
+
+def test_predicted_rests_on_sentences(spark):
+    sf = "/root/testdata/sf0.1"
+    got = queries.op3_toxicity_noisy_or(spark, sf)
+    assert got.filter("predicted = 1 and sentences = ''").count() == 0
+    long = (got.join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id")
+            .join(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "n_chars"), "doc_id")
+            .filter("n_chars > 20000").select("toxic", "predicted", "score").collect())
+    assert [r for r in long if r["toxic"] == 0 and r["predicted"]] == [] and len(long) > 10
+
+
 def test_empty(spark):
     docs, labels = made(spark, 3)
     none = labels.limit(0)
@@ -94,6 +132,6 @@ def test_only_telling_features_reach_the_driver(spark):
     used = np.array(sorted(toxicity.features("vile")))
     df = spark.createDataFrame([(text,), ("",)], "text string")
     bags = [r["bag"] for r in df.select(toxicity._bags(F.col("text"), used).alias("bag")).collect()]
-    assert [b["plain"] for b in bags] == [2, 0]
+    assert [len(b["sizes"]) // 4 for b in bags] == [2, 0]
     n = len(toxicity.features("vile"))
     assert np.frombuffer(bags[0]["sizes"], "<i4").tolist() == [n, n] and len(bags[0]["at"]) == 8 * n
