@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from lumigrid.functions import names
 from lumigrid.operators.catalog import CHANNEL_BLOCK, channel_layers
 from lumigrid.scale import materialize, salted_join
+from lumigrid.sources import tables
 
 ROLES = ("r", "g", "b", "a")
 
@@ -163,11 +164,24 @@ def unresolved_channels(requests: DataFrame, resolved: DataFrame) -> DataFrame:
     return requests.join(resolved, ["file_id", "layer", "channel"], "left_anti")
 
 
+def _looked_up(table: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Rows of ``table`` (samples or scan lines) of the channels in ``wanted``.  If the directory of the rows
+    is a column, only the directories of wanted files are read."""
+    spread = ["y"] if "line" in table.columns else ["y", "x"]
+    key = ["file_id", "part_idx", "channel_idx"]
+    if tables.BUCKET not in table.columns:
+        return salted_join(table, wanted, key, spread)
+    placed = wanted.withColumn(tables.BUCKET, tables.bucket_of(F.col("file_id")))
+    return salted_join(table, placed, [tables.BUCKET, *key], spread, directory=tables.BUCKET)
+
+
 def extract_channel(samples: DataFrame, resolved: DataFrame) -> DataFrame:
-    """J06, values: one gray image per resolved request."""
+    """J06, values: one gray image per resolved request, from samples or from scan lines."""
     v = F.col("v").cast("float")
-    wanted = resolved.select("file_id", "part_idx", "channel_idx", "layer", "channel")
-    return salted_join(samples, wanted, ["file_id", "part_idx", "channel_idx"], ["y", "x"]).select(
+    found = _looked_up(samples, resolved.select("file_id", "part_idx", "channel_idx", "layer", "channel"))
+    if "line" in samples.columns:
+        found = tables.from_scanlines(found, "layer", "channel")
+    return found.select(
         "file_id", "layer", "channel", "y", "x", v.alias("r"), v.alias("g"), v.alias("b"),
         F.lit(1.0).cast("float").alias("a"))
 
@@ -187,17 +201,33 @@ def assemble_pixels(samples: DataFrame, resolved: DataFrame,
                     alpha_part: str = "part_idx") -> DataFrame:
     """Gather the resolved channels into r, g, b, a; alpha is 1 where there is none.
 
-    A sample is sent on once per request, whatever number of roles it plays, and grouped by pixel
+    ``samples`` may be scan lines: then whole lines are put together and split into pixels in place, so an
+    exchange carries a row per line, and none is needed where the table is bucketed (``tables.save_lines``).
+    A sample or line is sent on once per request, whatever number of roles it plays, and grouped by its
     position, so neither a big image nor a hot file gathers in one task.
     """
-    roles = _roles(resolved, F.col(alpha_part))
-    used = salted_join(samples, roles, ["file_id", "part_idx", "channel_idx"], ["y", "x"])
+    used = _looked_up(samples, _roles(resolved, F.col(alpha_part)))
+    if "line" in samples.columns:
+        return _pixels_of_lines(used)
     value = lambda r: F.max(F.when(F.col(f"is_{r}"), F.col("v"))).cast("float")
     return used.groupBy("file_id", "layer", "y", "x").agg(
         *[value(r).alias(r) for r in "rgb"],
         F.coalesce(value("a"), F.lit(1.0).cast("float")).alias("a"))
 
 
+def _pixels_of_lines(used: DataFrame) -> DataFrame:
+    """Pixels from the lines of (file, layer, y) and the roles these play."""
+    line = lambda r: F.first(F.when(F.col(f"is_{r}"), F.col("line")), ignorenulls=True)
+    together = used.groupBy("file_id", "layer", "y").agg(*[line(r).alias(r) for r in ROLES])
+    # Lines may be missing or shorter than others: such places are null, as are those of no sample at all.
+    none = F.array().cast("array<float>")
+    cells = F.arrays_zip(*[F.coalesce(r, none).alias(r) for r in ROLES])
+    return (together.select("file_id", "layer", "y", F.posexplode(cells).alias("x", "c"))
+            .filter(F.coalesce(*[F.col(f"c.{r}") for r in ROLES]).isNotNull())
+            .select("file_id", "layer", "y", "x", *[F.col(f"c.{r}").alias(r) for r in "rgb"],
+                    F.coalesce("c.a", F.lit(1.0).cast("float")).alias("a")))
+
+
 def id_to_alpha(samples: DataFrame, resolved: DataFrame, ids: DataFrame) -> DataFrame:
     """Colour of one layer with an object-id channel as alpha.
 

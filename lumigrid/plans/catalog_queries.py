@@ -295,15 +295,23 @@ def best_requests(spark, sf):
 
 def assembled(spark, sf):
     resolved = resolve.resolve_rgba(fixtures.channels(spark, sf), best_requests(spark, sf))
-    return resolve.assemble_pixels(fixtures.samples(spark, sf), resolved)
+    return resolve.assemble_pixels(fixtures.scanlines(spark, sf), resolved)
+
+
+_ASSEMBLED = with_ctes("SELECT file_id, layer, y, x, r, g, b, a FROM assembled", _RESOLVE)
 
 
-@checked("J05_assemble_pixels",
-         with_ctes("SELECT file_id, layer, y, x, r, g, b, a FROM assembled", _RESOLVE))
+@checked("J05_assemble_pixels", _ASSEMBLED)
 def assemble_pixels(spark, sf):
     return assembled(spark, sf)
 
 
+@checked("J05_assemble_samples", _ASSEMBLED)
+def assemble_samples(spark, sf):
+    resolved = resolve.resolve_rgba(fixtures.channels(spark, sf), best_requests(spark, sf))
+    return resolve.assemble_pixels(fixtures.samples(spark, sf), resolved)
+
+
 def channel_requests(spark, sf):
     """Every channel by its short name, and the unnamed layer's Z."""
     named = _named(spark, sf)
@@ -347,14 +355,23 @@ def _(spark, sf):
         asked, resolve.resolve_channel(fixtures.channels(spark, sf), asked))
 
 
-@checked("J06_extract_channel", with_ctes(
+_EXTRACTED = with_ctes(
     "SELECT file_id, layer, channel, s.y, s.x, s.v AS r, s.v AS g, s.v AS b, 1::FLOAT AS a "
-    "FROM one JOIN samples s USING (file_id, part_idx, channel_idx)", _CHANNEL))
+    "FROM one JOIN samples s USING (file_id, part_idx, channel_idx)", _CHANNEL)
+
+
+@checked("J06_extract_channel", _EXTRACTED)
 def extract_channel(spark, sf):
     resolved = resolve.resolve_channel(fixtures.channels(spark, sf), channel_requests(spark, sf))
     return resolve.extract_channel(fixtures.samples(spark, sf), resolved)
 
 
+@checked("J06_extract_lines", _EXTRACTED)
+def extract_lines(spark, sf):
+    resolved = resolve.resolve_channel(fixtures.channels(spark, sf), channel_requests(spark, sf))
+    return resolve.extract_channel(fixtures.scanlines(spark, sf), resolved)
+
+
 _ID_SQL = {**_RESOLVE, **{k: v for k, v in _CHANNEL.items() if k != "asked"},
            "asked": "SELECT DISTINCT file_id, '' AS layer, 'Z' AS channel FROM lc",
            "merged": "SELECT q.*, o.part_idx AS id_part, o.channel_idx AS id_channel FROM bestres q "
@@ -373,7 +390,7 @@ def _(spark, sf):
     channels = fixtures.channels(spark, sf)
     asked = channels.select("file_id", F.lit("").alias("layer"), F.lit("Z").alias("channel")).distinct()
     return resolve.id_to_alpha(
-        fixtures.samples(spark, sf), resolve.resolve_rgba(channels, best_requests(spark, sf)),
+        fixtures.scanlines(spark, sf), resolve.resolve_rgba(channels, best_requests(spark, sf)),
         resolve.resolve_channel(channels, asked))
 
 

@@ -74,17 +74,24 @@ def decoded_bytes(table: DataFrame) -> int:
 
 
 def salted_join(big: DataFrame, small: DataFrame, on: Sequence[str], spread: Sequence[str],
-                salts: int = 16, how: str = "inner", limit: int = BROADCAST_BYTES) -> DataFrame:
+                salts: int = 16, how: str = "inner", limit: int = BROADCAST_BYTES,
+                directory: str | None = None) -> DataFrame:
     """Equi join of a table with hot keys and one with few rows per key.
 
     ``small`` is written first and its decoded size is measured.  Up to ``limit`` bytes it is broadcast
     as it is, and ``big`` is not shuffled.  Beyond, both sides are shuffled, every key of ``big`` is
     spread over ``salts`` partitions and every row of ``small`` repeated once per salt; ``spread`` are
     columns of ``big`` that vary inside a key.
+
+    ``directory`` is the key column that partitions the files of ``big``: of these only the directories that
+    ``small`` names are read.
     """
     if how not in ("inner", "left"):
         raise ValueError("salted_join supports inner and left joins")
     known = materialize(small)
+    if directory and how == "inner":
+        # True for every row; the optimizer prunes by the keys of a filtered side only.
+        known = known.filter(F.col(directory) >= 0)
     if decoded_bytes(known) <= limit:
         return big.join(F.broadcast(known), list(on), how)
     salted = big.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int"))

@@ -146,6 +146,15 @@ def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
                                              F.inline(cells))
 
 
+def scanlines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The samples, a row per line of a channel."""
+    lines = F.transform(F.sequence(F.lit(0), F.lit(PARTS * PART_CHANNELS - 1)), lambda pc: F.struct(
+        F.floor(pc / PART_CHANNELS).cast("int").alias("part_idx"), F.pmod(pc, F.lit(PART_CHANNELS)).alias("channel_idx"),
+        F.transform(F.sequence(F.lit(0), F.lit(WIDTH - 1)),
+                    lambda x: F.get("embedding", F.pmod(x * 4 + pc, F.lit(VECTOR_LENGTH)))).alias("line")))
+    return _scan_lines(spark, sf_dir).select(F.col("image_id").alias("file_id"), "y", F.inline(lines))
+
+
 def hdr_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """HDR values from line items: depth, colour and alpha.  No positions."""
     f = lambda e: F.expr(e).cast("float")

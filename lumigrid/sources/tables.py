@@ -25,7 +25,8 @@ LAYOUT = {
 }
 
 
-def _bucket(image: Column) -> Column:
+def bucket_of(image: Column) -> Column:
+    """The directory that holds an image's rows."""
     return F.pmod(F.xxhash64(image.cast("bigint")), F.lit(BUCKETS)).cast("int")
 
 
@@ -42,24 +43,37 @@ def write_table(df: DataFrame, path: str, table: str, mode: str = "errorifexists
         return
     image, order = LAYOUT[table]
     keys = [BUCKET, image, *order]
-    (rows.withColumn(BUCKET, _bucket(F.col(image)))
+    (rows.withColumn(BUCKET, bucket_of(F.col(image)))
      .repartitionByRange(*keys[:-1] if order[-1] == "x" else keys)
      .sortWithinPartitions(*keys)
      .write.mode(mode).partitionBy(BUCKET).parquet(path))
 
 
 def read_table(spark: SparkSession, path: str, table: str,
-               images: Sequence[int] | None = None) -> DataFrame:
-    """A table with its fixed schema; ``images`` reads only their directories and row groups."""
+               images: Sequence[int] | None = None, keep_bucket: bool = False) -> DataFrame:
+    """A table with its fixed schema; ``images`` reads only their directories and row groups.
+
+    With ``keep_bucket`` the directory stays a column.  The operators that look up few images join on it,
+    too, so that the scan reads only the directories of these (dynamic partition pruning).
+    """
     schema = schemas.TABLES[table]
     if table not in LAYOUT:
         return spark.read.schema(schema).parquet(path)
     rows = spark.read.schema(f"{schema}, {BUCKET} INT").parquet(path)
     if images is not None:
         image = LAYOUT[table][0]
-        wanted = spark.range(1).select(F.array(*[_bucket(F.lit(i)) for i in images])).first()[0]
+        wanted = spark.range(1).select(F.array(*[bucket_of(F.lit(i)) for i in images])).first()[0]
         rows = rows.filter(F.col(BUCKET).isin(*set(wanted)) & F.col(image).isin(*images))
-    return rows.drop(BUCKET)
+    return rows if keep_bucket else rows.drop(BUCKET)
+
+
+def save_lines(scanlines: DataFrame, name: str, buckets: int = BUCKETS, path: str | None = None) -> DataFrame:
+    """Scan lines as the catalog table ``name``, bucketed by (file, y) and sorted by these: lines of one
+    place lie in one bucket, and a huge file in all of them, so lines are put together without an exchange."""
+    rows = conform(scanlines, "scanlines")
+    (rows.repartition(buckets, "file_id", "y").write.bucketBy(buckets, "file_id", "y").sortBy("file_id", "y")
+     .format("parquet").options(**({"path": path} if path else {})).saveAsTable(name))
+    return scanlines.sparkSession.table(name)
 
 
 def to_scanlines(samples: DataFrame) -> DataFrame:
@@ -71,7 +85,7 @@ def to_scanlines(samples: DataFrame) -> DataFrame:
                 F.sequence(F.lit(0), F.col("_last")), lambda x: F.try_element_at("_cells", x)).alias("line")))
 
 
-def from_scanlines(scanlines: DataFrame) -> DataFrame:
-    """Back to one row per sample; NULL stands for none.  Narrow."""
-    return scanlines.select("file_id", "part_idx", "channel_idx", "y",
+def from_scanlines(scanlines: DataFrame, *more: str) -> DataFrame:
+    """Back to one row per sample, with the columns of ``more``; NULL stands for none.  Narrow."""
+    return scanlines.select("file_id", "part_idx", "channel_idx", *more, "y",
                             F.posexplode("line").alias("x", "v")).filter("v IS NOT NULL")
