@@ -10,8 +10,9 @@ over all documents, scaled by each document's tokens, which leaves the projectio
 Only DataFrame functions are used.  What reaches the driver are counts and sums: one per domain, or
 per domain and hash bucket.  The classifier sees at most ``ROWS`` labelled rows per domain (its bound).
 
-Null texts count as empty: no tokens, posteriors equal to the shares of the domains.  Rows that repeat
-are weighed each.  With no documents, or no labelled ones, every rate is 1.  Other columns are kept.
+Null texts count as empty: no tokens, posteriors equal to the shares of the domains.  A row is known by two
+64-bit hashes of its id and text, so results depend neither on the order nor on the partitions of the rows;
+rows that repeat both weigh each and get equal numbers of copies.  With no documents, or no labelled ones, every rate is 1.  Other columns are kept.
 """
 
 from __future__ import annotations
@@ -86,7 +87,8 @@ def fit_classifier(docs: DataFrame, labelled: DataFrame, rows: int = ROWS) -> Cl
 
 
 def posteriors(rows: DataFrame, classifier: Classifier, row: str) -> DataFrame:
-    """(row, n_tokens, p0, p1, ...): membership of every row of ``rows`` (row, text) in each domain.
+    """(row, times, n_tokens, p0, p1, ...): membership in each domain of every different ``row`` of ``rows``
+    (row, text), how often it occurs, and the tokens of all these.  Rows of one ``row`` have the same text.
 
     Words are summed up by row on the map side, where a document lies as a whole.
     """
@@ -96,16 +98,16 @@ def posteriors(rows: DataFrame, classifier: Classifier, row: str) -> DataFrame:
     words = _exploded(rows, row)
     logs = (words.groupBy(row).agg(F.count(F.lit(1)).alias("n_tokens"), *[
         F.sum(F.get(t, F.col("bucket"))).alias(f"s{i}") for i, t in enumerate(tables)]))
-    every = rows.select(row).join(logs, row, "left")
-    scale = F.sqrt(F.greatest(F.coalesce("n_tokens", F.lit(0)), F.lit(1)))
+    every = (rows.groupBy(row).agg(F.count(F.lit(1)).alias("times")).join(logs, row, "left")
+             .withColumn("n_tokens", F.coalesce("n_tokens", F.lit(0))))
+    scale = F.sqrt(F.greatest(F.col("n_tokens") / F.col("times"), F.lit(1))) * F.col("times")
     scores = [F.coalesce(F.col(f"s{i}") / scale, F.lit(0.0)) + F.lit(classifier.prior[d])
               for i, d in enumerate(classifier.domains)]
-    scored = every.select(row, F.coalesce("n_tokens", F.lit(0)).alias("n_tokens"),
-                          *[s.alias(f"z{i}") for i, s in enumerate(scores)])
+    scored = every.select(row, "times", "n_tokens", *[s.alias(f"z{i}") for i, s in enumerate(scores)])
     top = F.greatest(*[F.col(f"z{i}") for i in range(k)]) if k > 1 else F.col("z0")
-    raised = scored.select(row, "n_tokens", *[F.exp(F.col(f"z{i}") - top).alias(f"e{i}") for i in range(k)])
+    raised = scored.select(row, "times", "n_tokens", *[F.exp(F.col(f"z{i}") - top).alias(f"e{i}") for i in range(k)])
     whole = sum((F.col(f"e{i}") for i in range(1, k)), F.col("e0"))
-    return raised.select(row, "n_tokens", *[(F.col(f"e{i}") / whole).alias(f"p{i}") for i in range(k)])
+    return raised.select(row, "times", "n_tokens", *[(F.col(f"e{i}") / whole).alias(f"p{i}") for i in range(k)])
 
 
 def moved(moves: list[float]) -> Column:
@@ -178,8 +180,8 @@ def fit_rates(members: DataFrame, targets: list[float], steps: int = STEPS) -> t
 
 def weigh(docs: DataFrame, labelled: DataFrame, row: str, weights: dict[str, float] | None = None,
           factors: dict[str, float] | None = None) -> tuple[DataFrame, list[str]]:
-    """(row, n_tokens, p0, ..., rate) for every row of ``docs``, whose column ``row`` is unique, and the
-    names of the domains.  The columns miss0, ... hold the relative miss that remains in each domain.
+    """(row, times, n_tokens, p0, ..., rate) for every different ``row`` of ``docs``, and the names of the domains.
+    Rows of one ``row`` have the same text.  The columns miss0, ... hold the relative miss that remains in each domain.
 
     ``weights`` are shares of the present number of tokens that the domains shall have; ``factors``
     are multiples of each domain's present expected tokens (1 where a domain isn't named).
@@ -187,8 +189,8 @@ def weigh(docs: DataFrame, labelled: DataFrame, row: str, weights: dict[str, flo
     rows = docs.select(row, whole_text().alias("text"))
     classifier = fit_classifier(docs, labelled)
     if classifier is None:
-        sized = rows.select(row, F.size(F.filter(_tokens(F.col("text")), lambda w: w != "")).cast("long")
-                            .alias("n_tokens"))
+        size = F.size(F.filter(_tokens(F.col("text")), lambda w: w != "")).cast("long")
+        sized = rows.groupBy(row).agg(F.count(F.lit(1)).alias("times"), F.sum(size).alias("n_tokens"))
         return sized.withColumn("rate", F.lit(1.0)), []
     k = len(classifier.domains)
     members = written(posteriors(rows, classifier, row), "members")
@@ -211,18 +213,20 @@ def copies(rate: Column, row: Column) -> Column:
     return F.floor(rate + chance).cast("int")
 
 
-def numbered(docs: DataFrame, row: str) -> DataFrame:
-    """``docs``, written with a unique number for each row, so that it stays the same."""
-    return written(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+def keyed(docs: DataFrame, row: str) -> DataFrame:
+    """``docs`` with the key of each row: 128 bits of a hash of its id and text."""
+    text, doc_id = whole_text(), F.col("doc_id").cast("string")
+    return docs.withColumn(row, F.struct(F.xxhash64(F.lit("a"), text, doc_id).alias("a"),
+                                         F.xxhash64(F.lit("b"), doc_id, text).alias("b")))
 
 
 def rates(docs: DataFrame, labelled: DataFrame, weights: dict[str, float]) -> DataFrame:
     """Per row: doc_id, n_tokens, rate, copies, the posterior of each domain as p_<domain> and, the same in all
     rows, the relative miss that remains of its target as miss_<domain>."""
-    based = numbered(docs.select("doc_id", "text"), "row")
+    based = keyed(docs.select("doc_id", "text"), "row")
     weighed, domains = weigh(based, labelled, "row", weights=weights)
     return weighed.join(based.select("row", "doc_id"), "row").select(
-        "doc_id", "n_tokens", "rate", copies(F.col("rate"), F.col("row")).alias("copies"),
+        "doc_id", F.expr("n_tokens div times").alias("n_tokens"), "rate", copies(F.col("rate"), F.col("row")).alias("copies"),
         *[F.col(f"p{i}").alias(f"p_{d}") for i, d in enumerate(domains)],
         *[F.col(f"miss{i}").alias(f"miss_{d}") for i, d in enumerate(domains)])
 
@@ -233,7 +237,7 @@ def mixed(docs: DataFrame, labelled: DataFrame, weights: dict[str, float] | None
     names = list(docs.columns)
     row = free_name(names, "row")
     times = free_name([*names, row], "copies")
-    based = numbered(docs, row)
+    based = keyed(docs, row)
     weighed, _ = weigh(based, labelled, row, weights, factors)
     number = weighed.select(row, copies(F.col("rate"), F.col(row)).alias(times)).filter(F.col(times) > 0)
     return (based.join(number, row)

@@ -94,6 +94,16 @@ def test_mixed_rows(spark):
     assert [r["n_tokens"] for r in again] == [0, 0]
 
 
+def test_rows_do_not_depend_on_partitions(spark):
+    rows, labelled = made(spark)
+    docs, table = frames(spark, [*rows, *rows[:20], (None, "null id", "x", 1, "y"), (None, "null id", "x", 1, "y")], labelled)
+    once, again = (sorted((str(r["doc_id"]), r["n_tokens"], r["copies"], round(r["rate"], 9)) for r in mixing.rates(
+        d, table, WEIGHTS).collect()) for d in (docs.coalesce(1), docs.orderBy(F.desc("text")).repartition(7)))
+    assert once == again and len(once) == docs.count()
+    mixes = [sorted(map(str, mixing.mixed(d, table, WEIGHTS).collect())) for d in (docs.coalesce(1), docs.repartition(7))]
+    assert mixes[0] == mixes[1]
+
+
 def test_without_labels_or_rows(spark):
     rows, labelled = made(spark, 12)
     docs, table = frames(spark, rows, labelled)

@@ -68,7 +68,7 @@ def test_mixing(spark, stages):
     before, after = (texts(df) for df in stages[3])
     assert set(after) <= set(before)
     docs = stages[3][0]
-    weighed, domains = mixing.weigh(mixing.numbered(docs, "n"), mixing.quality_domains(
+    weighed, domains = mixing.weigh(mixing.keyed(docs, "n"), mixing.quality_domains(
         docs, spark.read.parquet(f"{SF}/labels.parquet")), "n", factors=pipeline.MIX_FACTORS)
     k = domains.index("poor")
     sums = weighed.selectExpr(*[f"sum(rate * n_tokens * p{i}) / sum(n_tokens * p{i})" for i in range(len(domains))]).first()
