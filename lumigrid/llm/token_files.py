@@ -163,12 +163,16 @@ def joined_crc(first: int, second: int, length: int) -> int:
 
 # --- the files -----------------------------------------------------------------------------------
 
+# The last row of a task holds its counts: ``symbols`` and ``counts``, and no block.
 _RAW = ("part int, block int, before long, n_ids int, ids binary, "
-        "docs array<struct<row:long,doc_id:long,n:int,first:boolean,last:boolean>>")
+        "docs array<struct<row:long,doc_id:long,n:int,first:boolean,last:boolean>>, symbols array<int>, counts array<long>")
 _CODED = ("part int, block int, before long, n_ids int, lanes int, every int, words binary, "
           "states binary, places array<long>, checksums array<long>, "
           "docs array<struct<row:long,doc_id:long,n:int,first:boolean,last:boolean>>")
 
+_DOCS = ["row", "doc_id", "n", "first", "last"]
+_CODER = ["part", "before", "n_ids", "lanes", "every", "words", "states", "places", "checksums"]
+
 
 def _schema(ddl: str) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -176,12 +180,6 @@ def _schema(ddl: str) -> pa.Schema:
     return to_arrow_schema(_parse_datatype_string(ddl))
 
 
-def _rows(batch: pa.RecordBatch) -> Iterator[dict]:
-    """One block at a time: only the batch itself is held."""
-    for i in range(batch.num_rows):
-        yield batch.slice(i, 1).to_pylist()[0]
-
-
 def _raw_blocks(docs: DataFrame, path: str, size: int) -> DataFrame:
     """Blocks of plain ids in ascending order of the documents; ``part`` and ``block`` order them."""
     schema = _schema(_RAW)
@@ -190,10 +188,15 @@ def _raw_blocks(docs: DataFrame, path: str, size: int) -> DataFrame:
         from pyspark import TaskContext
         part, encode = TaskContext.get().partitionId(), _encoder(path).texts
         state = {"held": [], "n": 0, "docs": [], "block": 0, "before": 0}
+        seen = np.zeros(0, np.int64)
 
         def flush() -> pa.RecordBatch:
+            nonlocal seen
             row = {"part": part, "block": state["block"], "before": state["before"], "n_ids": state["n"],
                    "ids": b"".join(state["held"]), "docs": state["docs"]}
+            new = np.bincount(np.frombuffer(row["ids"], "<u4"), minlength=len(seen))
+            new[:len(seen)] += seen
+            seen = new
             state.update(held=[], docs=[], block=state["block"] + 1,
                          before=state["before"] + state["n"], n=0)
             return pa.RecordBatch.from_pylist([row], schema=schema)
@@ -216,6 +219,8 @@ def _raw_blocks(docs: DataFrame, path: str, size: int) -> DataFrame:
                 row += 1
         if state["n"]:
             yield flush()
+        found = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_pylist([{"part": part, "symbols": found, "counts": seen[found]}], schema=schema)
 
     text = whole_text()
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"),
@@ -226,21 +231,9 @@ def _raw_blocks(docs: DataFrame, path: str, size: int) -> DataFrame:
 
 
 def _counted(raw: DataFrame) -> DataFrame:
-    """(symbol, n) over all blocks: one row per id and task goes through the shuffle."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(0, np.int64)
-        for batch in batches:
-            for blob in batch.column(0):
-                part = np.bincount(np.frombuffer(blob.as_buffer(), "<u4"), minlength=len(total))
-                part[:len(total)] += total
-                total = part
-        found = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(total[found], pa.int64())],
-                                         ["symbol", "n"])
-
-    return (raw.select("ids").mapInArrow(count, "symbol long, n long")
-            .groupBy("symbol").agg(F.sum("n").alias("n")))
+    """(symbol, n) over all blocks, from the counts that each task has left."""
+    return (raw.select(F.explode(F.arrays_zip("symbols", "counts")).alias("c"))
+            .groupBy(F.col("c.symbols").alias("symbol")).agg(F.sum("c.counts").alias("n")))
 
 
 def write(docs: DataFrame, folder: str, path: str, block: int = BLOCK, lanes: int = LANES,
@@ -263,11 +256,15 @@ def write(docs: DataFrame, folder: str, path: str, block: int = BLOCK, lanes: in
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = Coder(frequency)
         for batch in batches:
-            for row in _rows(batch):
-                ids = np.frombuffer(row.pop("ids"), "<u4")
-                yield pa.RecordBatch.from_pylist([row | coder.encode(ids, lanes, every)], schema=schema)
-
-    raw.mapInArrow(code, _CODED).write.option("compression", "uncompressed").parquet(f"{folder}/blocks")
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1)
+                coded = coder.encode(np.frombuffer(row.column("ids")[0].as_buffer(), "<u4"), lanes, every)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([coded[f.name]], f.type) if f.name in coded else row.column(f.name) for f in schema],
+                    schema=schema)
+
+    blocks = raw.filter("block is not null").drop("symbols", "counts")
+    blocks.mapInArrow(code, _CODED).write.option("compression", "uncompressed").parquet(f"{folder}/blocks")
     return folder
 
 
@@ -285,14 +282,18 @@ def read_pieces(spark: SparkSession, folder: str) -> DataFrame:
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = Coder(frequency)
         for batch in batches:
-            for block in _rows(batch):
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1)
+                block = {n: row.column(n)[0].as_py() for n in _CODER}
                 ids = np.concatenate([coder.decode(block, k) for k in range(len(block["places"]))])
-                rows, at = [], 0
-                for d in block["docs"]:
-                    rows.append(d | {"part": block["part"], "before": block["before"] + at,
-                                     "ids": ids[at:at + d["n"]].astype("<u4").tobytes()})
-                    at += d["n"]
-                yield pa.RecordBatch.from_pylist(rows, schema=schema)
+                docs = dict(zip(_DOCS, row.column("docs").flatten().flatten(), strict=True))
+                ends = np.cumsum(docs["n"].to_numpy(), dtype=np.int64)
+                # The documents' ids lie one after the other: their binary values are cut from one buffer.
+                docs["ids"] = pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(
+                    np.append(0, 4 * ends).astype("<i4")), pa.py_buffer(ids.astype("<u4"))])
+                docs["before"] = pa.array(block["before"] + np.append(0, ends[:-1]))
+                docs["part"] = pa.array(np.full(len(ends), block["part"], np.int32))
+                yield pa.RecordBatch.from_arrays([docs[f.name] for f in schema], schema=schema)
 
     blocks = spark.read.schema(_CODED).parquet(f"{folder}/blocks")
     return blocks.mapInArrow(pieces, out)
