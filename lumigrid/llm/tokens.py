@@ -104,18 +104,8 @@ class TextEncoder:
                 held.append(self.parts(text))
                 size += len(text)
             if text is None or size >= self.TOGETHER:
-                yield from self._joined(held)
+                keys = set().union(*(p for parts in held for p in parts if isinstance(p, list)))
+                find = self.remembered.hold(keys).__getitem__
+                for parts in held:
+                    yield b"".join([p if isinstance(p, bytes) else b"".join(map(find, p)) for p in parts])
                 held, size = [], 0
-
-    def _joined(self, held: list[list[list[str] | bytes]]) -> Iterator[bytes]:
-        """The ids of each of the texts, given by its parts.  One look-up serves the pre-tokens that are known."""
-        get = self.remembered.known.get
-        found = [[p if isinstance(p, bytes) else list(map(get, p)) for p in parts] for parts in held]
-        new = {k for parts, values in zip(held, found) for p, v in zip(parts, values)
-               if not isinstance(v, bytes) and None in v for k, x in zip(p, v) if x is None}
-        now = self.remembered.hold(new) if new else {}
-        for parts, values in zip(held, found):
-            for p, v in zip(parts, values):
-                if not isinstance(v, bytes) and None in v:
-                    v[:] = [now[k] if x is None else x for k, x in zip(p, v)]
-            yield b"".join([v if isinstance(v, bytes) else b"".join(v) for v in values])
