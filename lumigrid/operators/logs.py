@@ -16,6 +16,15 @@ MESSAGE_PATTERN = r"^(?:\[[^\]]*\]){1,2} ?(.*)$"
 FOLDER_PATTERN = r"^\[folder\] (\d+) EXR files \| thumbnails in (\d+) ms$"
 COUNT_PATTERN = r"^  • (.*) \(channels: (\d+)\)$"
 FOLDER_OP = "folder.thumbnails"
+MODE_PATTERN = r"^\[(?:layer|channel|preview)\] .*→ mode: (RGB|Depth|Grayscale)\b"
+GENERATED_PATTERN = r"^\[preview\] image generated: (\d+) pixels \(exp: (-?[\d.]+), gamma: (-?[\d.]+)\)$"
+PARAMS_PATTERN = r"^\[preview\] updated → params: exp=(-?[\d.]+), gamma=(-?[\d.]+)$"
+LAYERS_PATTERN = r"^\[(?:layers\] count|meta\] layers): (\d+)$"
+SHOWN_CHANNEL_PATTERN = r"^\[channel\] (.*)@([^@]*) → mode: "
+PREVIEW_CHANNEL_PATTERN = r"^\[preview\] updated → mode: .*, (.*)::(.*)$"
+SHOWN_LAYER_PATTERN = r"^\[layer\] (.*) → mode: "
+PREVIEW_LAYER_PATTERN = r"^\[preview\] updated → mode: .*, layer: (.*)$"
+CLICKED_PATTERN = r"^\[layer\] clicked: .* \(real='(.*)'\)$"
 
 
 def _found(line: Column, pattern: str, group: int = 1) -> Column:
@@ -46,6 +55,26 @@ def parse_log(log_lines: DataFrame) -> DataFrame:
     }).drop("_j")
 
 
+def tagged_values(log_lines: DataFrame) -> DataFrame:
+    """J22, values inside tagged lines: what was shown (``mode``, ``shown_layer``, ``shown_channel``), with which
+    ``exposure`` and ``gamma``, how many pixels were made and how many layers were counted.
+
+    What a line does not have is null; a number beyond its type is null, too.  The layer of a channel is what
+    follows the last ``@`` (or stands before the last ``::``), as names of channels may hold the sign.
+    """
+    line = F.col("line")
+    cast = lambda pattern, group, kind: _found(line, pattern, group).try_cast(kind)
+    return log_lines.withColumns({
+        "mode": _found(line, MODE_PATTERN),
+        "shown_layer": F.coalesce(_found(line, SHOWN_CHANNEL_PATTERN, 2), _found(line, PREVIEW_LAYER_PATTERN),
+                                  _found(line, PREVIEW_CHANNEL_PATTERN, 1), _found(line, SHOWN_LAYER_PATTERN),
+                                  _found(line, CLICKED_PATTERN)),
+        "shown_channel": F.coalesce(_found(line, SHOWN_CHANNEL_PATTERN, 1), _found(line, PREVIEW_CHANNEL_PATTERN, 2)),
+        "exposure": F.coalesce(cast(GENERATED_PATTERN, 2, "double"), cast(PARAMS_PATTERN, 1, "double")),
+        "gamma": F.coalesce(cast(GENERATED_PATTERN, 3, "double"), cast(PARAMS_PATTERN, 2, "double")),
+        "n_pixels": cast(GENERATED_PATTERN, 1, "bigint"), "n_layers": cast(LAYERS_PATTERN, 1, "bigint")})
+
+
 def _percentile(lower: str, upper: str, percent: int) -> Column:
     """Linear interpolation between two neighbours; the weight is exact integer arithmetic."""
     weight = F.pmod((F.col("n") - 1) * percent, F.lit(100)) / 100.0

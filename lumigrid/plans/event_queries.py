@@ -45,6 +45,24 @@ _PARSED = {
 _FIELDS = "event, type, op, path, pixels, ms, files, tag, subtag, message, layer, n_channels"
 
 
+_LAYER_OF = "CASE WHEN event_id % 7 = 0 THEN '' ELSE event_type END"
+
+
+# Shapes 0 to 9 of the tagged lines by event_id % 10, and what each of them tells.
+@checked("J22_tagged_values", f"""
+WITH e AS (SELECT *, event_id % 10 AS k, {_LAYER_OF} AS layer, 'c@' || CAST(event_id % 5 AS VARCHAR) AS channel,
+  CAST(CAST(floor(value) AS BIGINT) AS VARCHAR) AS whole FROM events)
+SELECT user_id AS session, event_id, epoch_us(ts) AS ts,
+  CASE WHEN k IN (1, 2) THEN 'RGB' WHEN k IN (3, 4) THEN 'Depth' WHEN k = 5 THEN 'Grayscale' END AS mode,
+  CASE WHEN k <= 5 THEN layer END AS shown_layer, CASE WHEN k IN (3, 4, 5) THEN channel END AS shown_channel,
+  CASE k WHEN 7 THEN CAST('-' || whole || '.25' AS DOUBLE) WHEN 9 THEN CAST(whole || '.50' AS DOUBLE) END AS exposure,
+  CASE k WHEN 7 THEN 2.2::DOUBLE WHEN 9 THEN 0.75::DOUBLE END AS gamma,
+  CASE WHEN k = 7 THEN event_id END AS n_pixels,
+  CASE k WHEN 6 THEN event_id WHEN 8 THEN CAST(whole AS BIGINT) END AS n_layers FROM e""")
+def tagged_values(spark, sf):
+    return _micros(logs.tagged_values(fixtures.tagged_lines(spark, sf)).drop("line"), "ts")
+
+
 @checked("J22_parse_log", with_ctes(
     f"SELECT session, event_id, us AS ts, line, {_FIELDS} FROM parsed", _PARSED))
 def parse_log(spark, sf):

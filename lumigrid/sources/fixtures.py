@@ -208,3 +208,25 @@ def log_lines(spark: SparkSession, sf_dir: str, events: DataFrame | None = None)
     for i, shape in enumerate(shapes[:-1]):
         line = F.when(F.col("event_id") % 6 == i, shape).otherwise(line)
     return source.select("session", "event_id", "ts", line.alias("line"))
+
+
+def tagged_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tagged lines with values in them, ten shapes in turn; the layer of every seventh is the unnamed one."""
+    number, whole = F.col("event_id").cast("string"), F.floor("value").cast("string")
+    layer = F.when(F.col("event_id") % 7 == 0, F.lit("")).otherwise(F.col("event_type"))
+    channel = F.concat(F.lit("c@"), F.expr("cast(event_id % 5 as string)"))
+    text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    shapes = [
+        text("[layer] clicked: Beauty (real='", layer, "')"),
+        text("[layer] ", layer, " → mode: RGB (composite)"),
+        text("[preview] updated → mode: RGB (composite), layer: ", layer),
+        text("[channel] ", channel, "@", layer, " → mode: Depth (auto-normalized, inverted)"),
+        text("[preview] updated → mode: Depth (auto-normalized, inverted), ", layer, "::", channel),
+        text("[channel] ", channel, "@", layer, " → mode: Grayscale"),
+        text("[meta] layers: ", number),
+        text("[preview] image generated: ", number, " pixels (exp: -", whole, ".25, gamma: 2.20)"),
+        text("[layers] count: ", whole),
+        text("[preview] updated → params: exp=", whole, ".50, gamma=0.75"),
+    ]
+    line = F.get(F.array(*shapes), F.expr("cast(event_id % 10 as int)"))
+    return _events(spark, sf_dir).select("session", "event_id", "ts", line.alias("line"))

@@ -182,3 +182,21 @@ def test_timing_windows(spark):
     got = [(r.n_timings, r.min_ms, r.avg_ms, r.max_ms)
            for r in timings.log_timing(df).orderBy("window_start").collect()]
     assert got == [(2, 4, 5.0, 6), (1, 8, 8.0, 8)]
+
+
+def test_values_of_tagged_lines(spark):
+    from lumigrid.operators import logs
+
+    lines = [
+        ("[channel] a@b@diffuse → mode: Depth (auto-normalized, inverted)", ("Depth", "diffuse", "a@b", None, None, None, None)),
+        ("[preview] updated → mode: Grayscale, x::y::Z", ("Grayscale", "x::y", "Z", None, None, None, None)),
+        ("[preview] image generated: 99999999999999999999 pixels (exp: 0.50, gamma: 2.20)",
+         (None, None, None, 0.5, 2.2, None, None)),
+        ("[preview] updated → params: exp=-1.25, gamma=4.50", (None, None, None, -1.25, 4.5, None, None)),
+        ("[layers] count: 12", (None, None, None, None, None, None, 12)),
+        ("[layers] count: many", (None,) * 7), ("", (None,) * 7), (None, (None,) * 7),
+        ("[layer] clicked: a (real='it's (real='b')')", (None, "b')", None, None, None, None, None)),
+    ]
+    df = spark.createDataFrame([(i, x) for i, (x, _) in enumerate(lines)], "n int, line string")
+    got = logs.tagged_values(df).orderBy("n").drop("n", "line").collect()
+    assert [tuple(r) for r in got] == [w for _, w in lines]
