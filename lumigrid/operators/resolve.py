@@ -1,8 +1,7 @@
 """Name resolution: layer name to R/G/B/A channels, (layer, channel) name to one channel.
 
 Fuzzy matches ("one name contains the other") are not computed by comparing all pairs of names.
-Every name lists its own substrings of the lengths that occur on the other side, and those are
-joined by equality; the result is exact.
+An inverted index of short substrings proposes pairs, which are then compared; the result is exact.
 """
 
 from __future__ import annotations
@@ -10,62 +9,87 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumigrid.functions import names
+from lumigrid.functions import grid, names
 from lumigrid.operators.catalog import CHANNEL_BLOCK, channel_layers
 from lumigrid.scale import materialize, salted_join
 from lumigrid.sources import tables
 
 ROLES = ("r", "g", "b", "a")
-
-
-def _pieces(text: Column, lengths: Column, prefixes_only: bool) -> Column:
-    """Distinct substrings (or prefixes) of ``text`` with one of ``lengths``."""
-    fitting = F.filter(lengths, lambda n: (n > 0) & (n <= F.length(text)))
-    if prefixes_only:
-        return F.transform(fitting, lambda n: F.substring(text, F.lit(1), n))
-    return F.array_distinct(F.flatten(F.transform(
-        fitting, lambda n: F.transform(F.sequence(F.lit(1), F.length(text) - n + 1),
-                                       lambda i: F.substring(text, i, n)))))
+# Longest substrings that names are indexed by.
+GRAM = 3
+LAYER, WANTED = "layer", "wanted"
+
+
+def _with_grams(names_: DataFrame) -> DataFrame:
+    """Add ``own``, the substrings of ``GRAM`` characters (of a shorter text itself), and ``shorter``, those of fewer.
+    A substring is one number, 21 bits a character; an empty text has 0."""
+    text = F.col("text")
+    point = lambda i: F.ascii(F.substring(text, i, 1)).cast("bigint") + 1
+    points = F.when(text != "", F.transform(F.sequence(F.lit(1), F.length(text)), point))
+    spelled = names_.withColumn("points", points)
+    def grams(n: int) -> Column:
+        at = lambda i: sum((F.shiftleft(F.get("points", i + k), 21 * k) for k in range(1, n)), F.get("points", i))
+        return F.array_distinct(F.when(F.size("points") >= n, F.transform(F.sequence(F.lit(0), F.size("points") - n), at))
+                                .otherwise(F.array().cast("array<bigint>")))
+    by_size = [grams(n) for n in range(1, GRAM + 1)]
+    shorter = [F.when(F.size("points") > n, g).otherwise(F.array().cast("array<bigint>"))
+               for n, g in enumerate(by_size[:-1], 1)]
+    own = F.when(text == "", F.array(F.lit(0).cast("bigint")))
+    for n, g in enumerate(by_size[:-1], 1):
+        own = own.when(F.size("points") == n, g)
+    return spelled.withColumns({"own": own.otherwise(by_size[-1]), "shorter": F.flatten(F.array(*shorter))}) \
+        .withColumn("shorter", F.coalesce("shorter", F.array().cast("array<bigint>"))).drop("points")
+
+
+def _candidates(sides: DataFrame) -> DataFrame:
+    """(file_id, side, inner, outer): keys of names of this side that share the rarest gram of one of the other side.
+
+    Names are indexed by their grams, O(length) keys a name.  A name asks the other side's index for a single one of
+    its grams, that with the fewest names behind it; if one of its grams is in no name there, neither is the name.
+    Names travel as digests, so a long name isn't copied once per gram.
+    """
+    at = ["file_id", "side", "gram"]
+    index = sides.select("file_id", "side", F.col("key").alias("outer"), F.explode(F.concat("own", "shorter")).alias("gram"))
+    sizes = index.groupBy(*at).agg(F.count(F.lit(1)).alias("n_names"))
+    other = F.when(F.col("side") == LAYER, F.lit(WANTED)).otherwise(F.lit(LAYER)).alias("side")
+    asked = sides.select("file_id", other, F.col("key").alias("inner"), F.size("own").alias("n_grams"),
+                         F.explode("own").alias("gram"))
+    rarest = (asked.join(sizes, at).groupBy("file_id", "side", "inner", "n_grams")
+              .agg(F.count(F.lit(1)).alias("found"), F.min_by("gram", "n_names").alias("gram"))
+              .filter(F.col("found") == F.col("n_grams")))
+    return rarest.join(index, at).select("file_id", "side", "inner", "outer")
 
 
 def matching_layers(named: DataFrame, requests: DataFrame, rule: str) -> DataFrame:
     """Distinct (file_id, lo, wanted): lower-cased layer names and the requested names they match.
 
     ``rule='rgba'``: either contains the other.  ``rule='channel'``: the layer contains the wanted
-    name or is a prefix of it.  The empty name matches only itself.
+    name or is a prefix of it.  The empty name matches only itself.  Runs a job that writes the names.
     """
-    # Written once: lengths and both kinds of keys start from it.
-    sides = materialize(
-        named.select("file_id", F.lit("layer").alias("side"), F.lower("layer").alias("text"),
-                          F.lit(None).cast("string").alias("wanted"))
-             .unionByName(requests.select("file_id", F.lit("wanted").alias("side"),
-                                          F.lower("layer").alias("text"),
-                                          F.col("layer").alias("wanted")))
-             .distinct())
-    length_of = lambda side: F.collect_set(F.when(F.col("side") == side, F.length("text")))
-    # Per file at most as many lengths as the longest name has characters.
-    lengths = sides.groupBy("file_id").agg(length_of("layer").alias("layer_lengths"),
-                                           length_of("wanted").alias("wanted_lengths"))
-    sized = sides.join(lengths, "file_id")
-
-    def keys(side: str, other: str, prefixes_only: bool) -> DataFrame:
-        """A name under its own text for the other side's pieces, and under its pieces for the
-        other side's whole names.  The empty name has only itself."""
-        text = F.col("text")
-        key = lambda kind: lambda t: F.struct(F.lit(kind).alias("kind"), t.alias("key"))
-        pieces = F.transform(_pieces(text, F.col(f"{other}_lengths"), prefixes_only), key(side))
-        whole = F.array(key(other)(text))
-        return sized.filter(F.col("side") == side).select(
-            "file_id", "text", "wanted",
-            F.inline(F.when(text == "", F.array(key("empty")(text)))
-                     .otherwise(F.concat(whole, pieces))))
-
-    layer_keys = keys("layer", "wanted", False).select(
-        "file_id", "kind", "key", F.col("text").alias("lo"))
-    wanted_keys = keys("wanted", "layer", rule == "channel").select(
-        "file_id", "kind", "key", "wanted")
-    return layer_keys.join(wanted_keys, ["file_id", "kind", "key"]).select(
-        "file_id", "lo", "wanted").distinct()
+    name = F.lower("layer")
+    # Written once: the index, its questions and the comparison start from it.
+    sides = materialize(_with_grams(
+        named.select("file_id", F.lit(LAYER).alias("side"), name.alias("text")).distinct()
+             .unionByName(requests.select("file_id", F.lit(WANTED).alias("side"), name.alias("text")).distinct())
+             .filter("text IS NOT NULL").withColumn("key", F.md5("text"))))
+    pairs = materialize(_candidates(sides))
+    texts = lambda side, key, text: sides.filter(F.col("side") == side).select(
+        "file_id", F.col("key").alias(key), F.col("text").alias(text))
+    lo, text = F.col("lo"), F.col("text")
+    # Equal names are found from both sides.
+    matches = F.when(F.col("side") == LAYER, lo.contains(text)).otherwise(
+        (lo != text) & (text.contains(lo) if rule == "rgba" else text.startswith(lo)))
+    keyed = pairs.select("file_id", "side", F.when(F.col("side") == LAYER, F.col("outer")).otherwise(F.col("inner")).alias("have"),
+                         F.when(F.col("side") == LAYER, F.col("inner")).otherwise(F.col("outer")).alias("want"))
+    spelled = requests.select("file_id", F.col("layer").alias("wanted"), name.alias("text")).distinct()
+    return (keyed.join(texts(LAYER, "have", "lo"), ["file_id", "have"]).join(texts(WANTED, "want", "text"), ["file_id", "want"])
+            .filter(matches).join(spelled, ["file_id", "text"]).select("file_id", "lo", "wanted"))
+
+
+def _written(channels: DataFrame) -> DataFrame:
+    """The channels with their layers, written once for the several looks at them."""
+    return materialize(channel_layers(channels.select("file_id", "part_idx", "part_name", "channel_idx", "full_name",
+                                                      "width", "height")).withColumn("lo", F.lower("layer")))
 
 
 def resolve_rgba(channels: DataFrame, requests: DataFrame) -> DataFrame:
@@ -74,7 +98,7 @@ def resolve_rgba(channels: DataFrame, requests: DataFrame) -> DataFrame:
     ``source`` says how they were found: ``'layer'``, ``'first_rgba'`` (no layer matched, first
     part with plain R, G, B) or null (nothing to show).  Size columns are those of the part.
     """
-    named = channel_layers(channels).withColumn("lo", F.lower("layer"))
+    named = _written(channels)
     pairs = matching_layers(named, requests, "rgba")
     upper = names.ascii_upper(F.col("short"))
     matched = (named.select("file_id", "lo", "part_idx", "channel_idx", "width", "height",
@@ -101,10 +125,11 @@ def resolve_rgba(channels: DataFrame, requests: DataFrame) -> DataFrame:
     r = F.coalesce("r", F.get("lead", F.lit(0)))
     g = F.coalesce("g", F.get("lead", F.lit(1)), r)
     b = F.coalesce("b", F.get("lead", F.lit(2)), g)
-    view = lambda *cols: F.struct("part_idx", *cols, "a", "width", "height")
-    first_part = parts.groupBy("file_id", F.col("wanted").alias("layer")).agg(
-        F.min(view(r.alias("r"), g.alias("g"), b.alias("b"))).alias("by_layer"))
-    plain = first_rgba(channels).select("file_id", view("r", "g", "b").alias("plain"))
+    found = parts.select("file_id", F.col("wanted").alias("layer"), "part_idx", r.alias("r"), g.alias("g"),
+                         b.alias("b"), "a", "width", "height")
+    view = lambda kind: F.when(F.col("part_idx").isNotNull(), F.struct("part_idx", *ROLES, "width", "height")).alias(kind)
+    first_part = _first_parts(found, "file_id", "layer").select("file_id", "layer", view("by_layer"))
+    plain = first_rgba(named).select("file_id", view("plain"))
     return (requests.select("file_id", "layer").distinct()
             .join(first_part, ["file_id", "layer"], "left").join(plain, "file_id", "left")
             .select("file_id", "layer", F.coalesce("by_layer", "plain").alias("v"),
@@ -113,17 +138,23 @@ def resolve_rgba(channels: DataFrame, requests: DataFrame) -> DataFrame:
             .select("file_id", "layer", "v.*", "source"))
 
 
+def _first_parts(parts: DataFrame, *keys: str) -> DataFrame:
+    """Of each key the row of its first part.  Column by column, as numbers aggregate by hashing and a struct
+    only by sorting."""
+    return parts.groupBy(*keys).agg(
+        *[F.min_by(c, "part_idx").alias(c) for c in (*ROLES, "width", "height")],
+        F.min("part_idx").alias("part_idx"))
+
+
 def first_rgba(channels: DataFrame) -> DataFrame:
     """Per file the first part that has channels named exactly R, G and B; A is optional."""
     role = lambda r: F.max(F.when(F.col("full_name") == r.upper(), F.col("channel_idx"))).alias(r)
-    return (channels.filter(F.col("full_name").isin(*names.ROLE_NAMES))
-            .groupBy("file_id", "part_idx")
-            .agg(*map(role, ROLES), F.first("width").alias("width"),
-                 F.first("height").alias("height"))
-            .filter("r IS NOT NULL AND g IS NOT NULL AND b IS NOT NULL")
-            .groupBy("file_id")
-            .agg(F.min(F.struct("part_idx", *ROLES, "width", "height")).alias("p"))
-            .select("file_id", "p.*"))
+    parts = (channels.filter(F.col("full_name").isin(*names.ROLE_NAMES))
+             .groupBy("file_id", "part_idx")
+             .agg(*map(role, ROLES), F.first("width").alias("width"),
+                  F.first("height").alias("height"))
+             .filter("r IS NOT NULL AND g IS NOT NULL AND b IS NOT NULL"))
+    return _first_parts(parts, "file_id").select("file_id", "part_idx", *ROLES, "width", "height")
 
 
 def resolve_channel(channels: DataFrame, requests: DataFrame) -> DataFrame:
@@ -132,7 +163,7 @@ def resolve_channel(channels: DataFrame, requests: DataFrame) -> DataFrame:
     The first part decides, then the pass (named channel before depth variant), then the order of
     channels.  Requests without an answer are in ``unresolved_channels``.
     """
-    named = channel_layers(channels).withColumn("lo", F.lower("layer"))
+    named = _written(channels)
     pairs = matching_layers(named, requests, "channel")
 
     def key(kind: str, value: Column, step: int, when: Column | None = None) -> Column:
@@ -152,11 +183,16 @@ def resolve_channel(channels: DataFrame, requests: DataFrame) -> DataFrame:
     want = (requests.select("file_id", "layer", "channel").distinct()
             .join(pairs.withColumnRenamed("wanted", "layer"), ["file_id", "layer"])
             .select("file_id", "layer", "channel", "lo", F.inline(asked)))
-    best = F.min(F.struct("part_idx", "step", "channel_idx", "width", "height")).alias("p")
+    # Part, pass and channel as one number, the pass in the bit above the channel.
+    rank = grid.pack_position(F.col("part_idx"), F.col("channel_idx")) + F.shiftleft(F.col("step").cast("bigint") - 1, 31)
+    best = [F.min(rank).alias("best"), *[F.min_by(c, rank).alias(c) for c in ("width", "height")]]
+    part = grid.unpack_position(F.col("best"))[0]
+    step = F.shiftright(F.col("best").bitwiseAND(F.lit(1 << 31)), 31)
     return (have.join(want.drop("step"), ["file_id", "lo", "kind", "key"])
-            .groupBy("file_id", "layer", "channel").agg(best)
-            .select("file_id", "layer", "channel", "p.part_idx", "p.channel_idx", "p.step",
-                    "p.width", "p.height"))
+            .groupBy("file_id", "layer", "channel").agg(*best)
+            .select("file_id", "layer", "channel", part.alias("part_idx"),
+                    F.col("best").bitwiseAND(F.lit((1 << 31) - 1)).cast("int").alias("channel_idx"),
+                    (step + 1).cast("int").alias("step"), "width", "height"))
 
 
 def unresolved_channels(requests: DataFrame, resolved: DataFrame) -> DataFrame:

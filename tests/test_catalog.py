@@ -204,3 +204,27 @@ def test_metadata_order(spark, order):
         "[Ogólne]", "Ścieżka: /x/a.exr", "Rozmiar pliku: 2.00 KiB", "Warstwy: 2", "[Nagłówek]",
         " Time_Code : {1,2}", f"Warstwa: (domyślna)  — {size[order.index(1)]}",
         f"Warstwa: Zeta  — {size[order.index(0)]}", "  v"]
+
+
+def test_match_very_long_names(spark):
+    """10,000 characters each; all their pieces would be 50 million characters a name."""
+    long = "".join(chr(97 + (i * i) % 23) for i in range(10_000))
+    layers = [long + "end", long[5000:], "ab" * 5000, "", "x", "é1", "a%_b"]
+    wanted = [long.upper(), long[6000:9000], "ba" * 10, "", "y", "é", "%_", "Xy", long[:50] + "?" + long[50:]]
+    named = spark.createDataFrame([(1, x) for x in layers], "file_id BIGINT, layer STRING")
+    asked = spark.createDataFrame([(1, x) for x in wanted] + [(2, "x"), (1, "y")], "file_id BIGINT, layer STRING")
+    for rule in ("rgba", "channel"):
+        got = [tuple(r) for r in resolve.matching_layers(named, asked, rule).collect()]
+        lower = [(lo.lower(), w) for lo in layers for w in wanted]
+        backward = lambda lo, w: lo in w if rule == "rgba" else w.startswith(lo)
+        want = {(1, lo, w) for lo, w in lower
+                if (lo == w == "" if "" in (lo, w) else w.lower() in lo or backward(lo, w.lower()))}
+        assert set(got) == want and len(got) == len(want)
+
+
+def test_minima_do_not_sort(spark):
+    channels = channel_table(spark, random_files(3, 4))
+    views = resolve.resolve_rgba(channels, spark.createDataFrame([(1, "")], "file_id BIGINT, layer STRING"))
+    one = resolve.resolve_channel(channels, spark.createDataFrame([(1, "", "R")], "file_id BIGINT, layer STRING, channel STRING"))
+    for df in (views, one):
+        assert "SortAggregate" not in df._jdf.queryExecution().executedPlan().toString()
