@@ -180,8 +180,8 @@ def carry_forward(spark, sf):
 @checked("T2_carry_forward_stream", _CARRIED)
 def _(spark, sf):
     ticks = _tick_table(spark, sf)
-    carried = runs.run_available(rates.carry_forward_stream(runs.table_stream(ticks)))
-    return _micros(carried, "tick_start")
+    carried = runs.run_keyed(rates.carry_forward_stream(runs.table_stream(ticks)))
+    return _micros(carried.drop("_batch"), "tick_start")
 
 
 # Rate limits -------------------------------------------------------------------------------------
@@ -223,7 +223,7 @@ def _(spark, sf):
 @checked("T3_min_gap_stream", _SPACED_PARAMS)
 def _(spark, sf):
     source = fixtures.param_events(spark, sf, _event_stream(spark, sf))
-    return _micros(runs.run_available(rates.min_gap_stream(source, DAY_MS)), "ts")
+    return _micros(runs.run_keyed(rates.min_gap_stream(source, DAY_MS)).drop("_batch"), "ts")
 
 
 _CLAMPED = "CASE WHEN isnan(p) THEN p ELSE greatest(least(p, 1::DOUBLE), 0::DOUBLE) END"
@@ -251,7 +251,7 @@ def min_gap_forced(spark, sf):
 @checked("T4_min_gap_forced_stream", _FORCED)
 def _(spark, sf):
     updates = fixtures.progress_updates(spark, sf, _event_stream(spark, sf))
-    return _compared(runs.run_available(rates.min_gap_forced_stream(updates, DAY_MS)))
+    return _compared(runs.run_keyed(rates.min_gap_forced_stream(updates, DAY_MS)).drop("_batch"))
 
 
 @checked("T123_chain_stream", _spaced_sql(
@@ -260,9 +260,9 @@ def _(spark, sf):
 def _(spark, sf):
     """Conflated, carried forward, then reported at most once a day: each link a stream over the table
     that the one before has written."""
-    carried = runs.run_available(rates.carry_forward_stream(runs.table_stream(_tick_table(spark, sf))))
+    carried = runs.run_keyed(rates.carry_forward_stream(runs.table_stream(_tick_table(spark, sf))))
     ticks = runs.table_stream(carried).select(
         "session", F.expr("unix_millis(tick_start)").alias("event_id"), F.col("tick_start").alias("ts"),
         "exposure_now", "gamma_now", "change")
-    kept = runs.run_available(rates.min_gap_stream(ticks, DAY_MS)).withColumnRenamed("ts", "tick_start")
-    return _micros(kept.drop("event_id"), "tick_start")
+    kept = runs.run_keyed(rates.min_gap_stream(ticks, DAY_MS)).withColumnRenamed("ts", "tick_start")
+    return _micros(kept.drop("event_id", "_batch"), "tick_start")

@@ -141,7 +141,7 @@ def run_stream(spark, tmp_path, df, form, files=1):
     df.repartition(files).write.parquet(str(tmp_path / "in.parquet"))
     stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1) \
         .parquet(str(tmp_path / "in.parquet"))
-    return runs.run_available(form(stream)).collect()
+    return runs.run_keyed(form(stream)).collect()
 
 
 def test_streams_equal_batches(spark, tmp_path):
@@ -171,7 +171,7 @@ def test_state_survives_micro_batches(spark, tmp_path):
                               PARAMS).coalesce(1).write.mode("append").parquet(str(folder))
     stream = spark.readStream.schema(spark.read.parquet(str(folder)).schema) \
         .option("maxFilesPerTrigger", 1).parquet(str(folder))
-    got = {r.event_id for r in runs.run_available(rates.min_gap_stream(stream)).collect()}
+    got = {r.event_id for r in runs.run_keyed(rates.min_gap_stream(stream)).collect()}
     assert got == {0, 3, 6, 9, 12, 15, 18, 21, 24, 27}
 
 
