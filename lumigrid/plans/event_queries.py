@@ -8,7 +8,7 @@ from lumigrid.operators import events, logs
 from lumigrid.plans.oracle_fixtures import with_ctes
 from lumigrid.plans.registry import checked
 from lumigrid.sources import fixtures
-from lumigrid.streaming import rates, runs, timings
+from lumigrid.streaming import late, rates, runs, timings
 
 DAY_MS = 24 * 3600 * 1000
 DAY_US = DAY_MS * 1000
@@ -155,6 +155,20 @@ def _(spark, sf):
     return _micros(_tick_table(spark, sf), "tick_start", "tick_end")
 
 
+# Three arrivals, each from the whole span of time; what the ones before have closed is late.
+@checked("T1_late_rows_stream", with_ctes(
+    f"""SELECT session, event_id, us AS ts, exposure, gamma, coalesce(us // {HOUR_US} * {HOUR_US} + {HOUR_US} <=
+        (SELECT max(b.us) FROM pev b WHERE b.event_id % 3 < 1) - 600000000, false) AND event_id % 3 = 1
+        OR coalesce(us // {HOUR_US} * {HOUR_US} + {HOUR_US} <=
+        (SELECT max(b.us) FROM pev b WHERE b.event_id % 3 < 2) - 600000000, false) AND event_id % 3 = 2 AS late
+        FROM pev""", {}))
+def _(spark, sf):
+    params = fixtures.param_events(spark, sf)
+    arrivals = (params.filter(F.col("event_id") % 3 == k) for k in range(3))
+    marked = runs.run_in_turn(arrivals, lambda stream: late.marked_late(stream, "1 hour"))
+    return _micros(marked.drop("_batch"), "ts")
+
+
 _TICKS_CARRIED = """SELECT session, tick_start,
             coalesce(last_value(exposure IGNORE NULLS) OVER w, 0) AS exposure_now,
             coalesce(last_value(gamma IGNORE NULLS) OVER w, 2.2) AS gamma_now,
