@@ -39,20 +39,23 @@ BLOCK_STEPS = f"{STEPS}, first BIGINT, last BIGINT"
 def whole_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
     """Tables made of whole blocks, from batches sorted by (session, block).  The last block of a
     batch waits for the next batch."""
-    waiting: pa.Table | None = None
+    waiting: list[pa.Table] = []
     for batch in batches:
         table = pa.Table.from_batches([batch])
-        if waiting is not None:
-            table = pa.concat_tables([waiting, table])
         if table.num_rows == 0:
             continue
-        starts = _starts(table)
-        cut = int(starts[-1])
-        if cut:
-            yield table.slice(0, cut)
-        waiting = table.slice(cut)
-    if waiting is not None and waiting.num_rows:
-        yield waiting
+        last = waiting[-1] if waiting else table
+        goes_on = all(last[c][-1] == table[c][0] for c in ("session", "_block"))
+        cut = int(_starts(table)[-1])
+        # Pieces of a block that fills many batches are put together once, when it ends.
+        if cut or not goes_on:
+            whole = [*waiting, *([table.slice(0, cut)] if cut else [])]
+            if whole:
+                yield pa.concat_tables(whole)
+            waiting = []
+        waiting.append(table.slice(cut))
+    if waiting:
+        yield pa.concat_tables(waiting)
 
 
 def _ints(table: pa.Table, name: str) -> np.ndarray:
