@@ -57,18 +57,24 @@ def best_layer(channels: DataFrame, files: DataFrame | None = None) -> DataFrame
     counting before the position.  Plan 2: any layer with R, G, B.  Plan 3: the first layer.
     With ``files``, files without any layer get a stand-in name.
     """
-    # One row per layer; its minimum over files needs no window and shrinks map-side.
+    # One row per layer; its minimum over files needs no window and shrinks map-side.  It is a number, so it
+    # aggregates by hashing; the name is that of the channel at the position found.
     lower = F.lower("layer")
     priority = F.lit(None).cast("int")
     for i, word in reversed(list(enumerate(names.PRIORITY_LAYERS))):
         priority = F.when(lower.contains(word), F.lit(i)).otherwise(priority)
-    plan = (F.when((F.col("layer") == "") & F.col("has_rgb"), 0)
-            .when(priority.isNotNull(), 1).when(F.col("has_rgb"), 2).otherwise(3))
-    rank = F.struct(plan.alias("plan"), F.when(plan == 1, priority).otherwise(0).alias("priority"),
-                    "first", "layer")
-    best = (_found_layers(channels).groupBy("file_id").agg(F.min(rank).alias("_best"))
-            .select("file_id", F.col("_best.layer").alias("best_layer"),
-                    F.col("_best.plan").alias("plan")))
+    words = len(names.PRIORITY_LAYERS)
+    step = (F.when((F.col("layer") == "") & F.col("has_rgb"), 0).when(priority.isNotNull(), priority + 1)
+            .when(F.col("has_rgb"), words + 1).otherwise(words + 2))
+    at_step = [F.min(F.when(step == i, F.col("first"))).alias(f"_{i}") for i in range(words + 3)]
+    least = F.col("step")
+    plan = F.when(least == 0, 0).when(least <= words, 1).when(least == words + 1, 2).otherwise(3)
+    chosen = (_found_layers(channels).groupBy("file_id").agg(F.min(step).alias("step"), *at_step)
+              .select("file_id", plan.alias("plan"), F.coalesce(*[f"_{i}" for i in range(words + 3)]).alias("first")))
+    named = channel_layers(channels).select(
+        "file_id", grid.pack_position(F.col("part_idx"), F.col("channel_idx")).alias("first"),
+        F.col("layer").alias("best_layer"))
+    best = chosen.join(named, ["file_id", "first"]).select("file_id", "best_layer", "plan")
     if files is None:
         return best
     return (files.select("file_id").join(best, "file_id", "left")

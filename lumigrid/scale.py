@@ -7,12 +7,14 @@ across the blocks, so no task ever sees a whole hot key.
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 # Buckets per octave of the value histogram; a bucket of 32-bit floats holds 2**23 / 256 values.
 BUCKETS_PER_OCTAVE = 256
@@ -52,16 +54,16 @@ def drop_intermediates(spark: SparkSession) -> None:
     path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back.
+def materialize(df: DataFrame, *directories: str) -> DataFrame:
+    """Write ``df`` to the shared folder, with a directory for each value of ``directories``, and read it back.
 
     Cuts the lineage, survives lost executors, and gives the optimizer the *true* size of the
     table: it broadcasts the table if it is below ``spark.sql.autoBroadcastJoinThreshold`` and
     plans a shuffle join with skew handling otherwise.
     """
     path = f"{scratch_dir(df.sparkSession)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    df.write.partitionBy(*directories).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path).select(*df.columns)
 
 
 def decoded_bytes(table: DataFrame) -> int:
@@ -147,6 +149,35 @@ def value_bucket(v: Column) -> Column:
             .otherwise(F.lit(0)).cast("int"))
 
 
+def ordered_bits(v: Column) -> Column:
+    """A number as a BIGINT of the same order: the bits of its magnitude as a DOUBLE, with its sign.  NaN is last."""
+    d = v.cast("double")
+    m = F.abs(d)
+    power = lambda e: F.pow(F.lit(2.0), e)
+    near = F.floor(F.log2(m))  # off by one at most, next to a power of two
+    e = near + F.when(power(near) > m, -1).when(power(near + 1) <= m, 1).otherwise(0)
+    # All steps are exact: a quotient by a power of two, a difference in 1..2, a product with a power of two.
+    normal = (e + 1023) * (1 << 52) + ((m / power(e) - 1) * float(1 << 52)).cast("bigint")
+    bits = F.when(m < 2.0 ** -1022, (m / F.lit(2.0 ** -1074)).cast("bigint")).otherwise(normal)
+    return (F.when(F.isnan(d), F.lit(2047 * (1 << 52) + 1)).when(d == 0, F.lit(0).cast("bigint"))
+            .when(m == float("inf"), F.signum(d).cast("bigint") * (2047 * (1 << 52)))
+            .when(d < 0, -bits).otherwise(bits))
+
+
+def _fine_cells(kind: str, v: Column) -> list[Column]:
+    """Finer and finer cells for the values of one coarse bucket, the last of one value each; a cell has at most some
+    2**16 of the next ones."""
+    if kind in ("tinyint", "smallint", "float"):  # at most 2**15 values to a bucket
+        return [v]
+    if kind == "int":
+        return [F.shiftright(v, 14), v]
+    if kind == "bigint":
+        return [*[F.shiftright(v, k) for k in (44, 29, 14)], v]
+    if kind == "double":
+        return [*[F.shiftright(ordered_bits(v), k) for k in (29, 14)], v]
+    raise TypeError(f"order statistics of {kind}")
+
+
 def order_statistics(df: DataFrame, group: Sequence[str], value: str,
                      positions: Mapping[str, Column], weight: Column | None = None,
                      minima: Mapping[str, Column] | None = None,
@@ -154,45 +185,56 @@ def order_statistics(df: DataFrame, group: Sequence[str], value: str,
     """Exact order statistics per group, without sorting or shuffling the rows of a group.
 
     ``positions`` maps output names to 0-based indexes written in terms of the column ``n`` (rows
-    of the group, or total ``weight``); ``minima`` and ``maxima`` are taken along.  A first scan
-    counts coarse buckets, which shrink map-side to a few thousand rows per group, and locates the
-    bucket of every index.  A second scan counts the values of the located buckets only.  NaN sorts
-    last, as in Spark; NULL is no value and takes no part, so a group of nothing else has no row.
+    of the group, or total ``weight``); ``minima`` and ``maxima`` are taken along.  ``value`` is a FLOAT, a DOUBLE or an
+    integer.  A first scan counts coarse buckets, which shrink map-side to a few thousand rows per group, and locates
+    the bucket of every index.  Further scans count finer cells inside the located ones only, until a located cell
+    holds one value: one scan for FLOAT, up to three for DOUBLE and four for BIGINT, so that no cell has more than some
+    2**16 counts however many values lie close together.  NaN sorts last, as in Spark; NULL is no value and takes no
+    part, so a group of nothing else has no row.  Runs a job for each scan.
     """
     group = list(group)
     df = df.filter(F.col(value).isNotNull())
+    kind = dict(df.dtypes)[value]
     weighted = F.count(F.lit(1)) if weight is None else F.sum(weight)
     extremes = [*[(n, c, F.min) for n, c in (minima or {}).items()],
                 *[(n, c, F.max) for n, c in (maxima or {}).items()]]
-    bucketed = df.withColumn("_bucket", value_bucket(F.col(value)))
-    coarse = bucketed.groupBy(*group, "_bucket").agg(
-        weighted.alias("_c"), *[f(c).alias(n) for n, c, f in extremes])
+    taken = [n for n, _, _ in extremes]
+    counted = [weighted.alias("_c"), F.min(value).alias("_least"), F.max(value).alias("_most")]
+    cells = df.withColumn("_c0", value_bucket(F.col(value)))
     per_group = Window.partitionBy(*group)
-    upto = per_group.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)
-    wanted = F.array(*[F.struct(F.lit(name).alias("name"), idx.cast("long").alias("idx"))
+    wanted = F.array(*[F.struct(F.lit(name).alias("_name"), idx.cast("bigint").alias("_idx"))
                        for name, idx in positions.items()])
-    taken = [n for n, _, _ in extremes]
-    located = materialize(
-        coarse.withColumns({"n": F.sum("_c").over(per_group), "_upto": F.sum("_c").over(upto),
-                            **{n: f(n).over(per_group) for n, _, f in extremes}})
-        .withColumn("_want", F.explode(wanted))
-        .filter((F.col("_want.idx") < F.col("_upto"))
-                & (F.col("_want.idx") >= F.col("_upto") - F.col("_c")))
-        .select(*group, "n", *taken, "_bucket", F.col("_want.name").alias("_name"),
-                (F.col("_want.idx") - F.col("_upto") + F.col("_c")).alias("_rest")))
-    values = (bucketed.join(located.select(*group, "_bucket").distinct(), [*group, "_bucket"])
-              .groupBy(*group, "_bucket", F.col(value).alias("_v")).agg(weighted.alias("_c")))
-    fine = Window.partitionBy(*group, "_bucket", "_name").orderBy("_v") \
-        .rowsBetween(Window.unboundedPreceding, 0)
-    hits = (values.join(located, [*group, "_bucket"])
-            .withColumn("_upto", F.sum("_c").over(fine))
-            .filter((F.col("_rest") < F.col("_upto"))
-                    & (F.col("_rest") >= F.col("_upto") - F.col("_c"))))
+    coarse = cells.groupBy(*group, "_c0").agg(*counted, *[f(c).alias(n) for n, c, f in extremes])
+    asked = coarse.withColumns({"n": F.sum("_c").over(per_group), **{n: f(n).over(per_group) for n, _, f in extremes}}) \
+        .withColumn("_upto", F.sum("_c").over(_running(per_group, "_c0"))).select("*", F.inline(wanted))
+    known, place, found = [*group, "n", *taken, "_name"], ["_c0"], []
+    fine = _fine_cells(kind, F.col(value))
+    for step in range(len(fine) + 1):
+        start = F.col("_upto") - F.col("_c")
+        located = materialize(asked.filter((F.col("_idx") >= start) & (F.col("_idx") < F.col("_upto")))
+                              .select(*known, *place, (F.col("_idx") - start).alias("_idx"), "_least", "_most"))
+        settled = F.col("_least") == F.col("_most")
+        found.append(located.filter(settled).select(*known, F.col("_least").alias("_v")))
+        # An empty cell of the last scan is not asked for, and every other is of one value.
+        if step == len(fine) or located.filter(~settled).isEmpty():
+            break
+        rest = located.filter(~settled).drop("_least", "_most")
+        cells = cells.join(rest.select(*group, *place).distinct(), [*group, *place]).withColumn(f"_c{step + 1}", fine[step])
+        finer = [*place, f"_c{step + 1}"]
+        counts = cells.groupBy(*group, *finer).agg(*counted)
+        in_cell = _running(Window.partitionBy(*group, *place, "_name"), finer[-1])
+        asked = counts.join(rest, [*group, *place]).withColumn("_upto", F.sum("_c").over(in_cell))
+        place = finer
+    hits = functools.reduce(DataFrame.unionByName, found)
     return hits.groupBy(*group).agg(
         F.max("n").alias("n"), *[F.max(n).alias(n) for n in taken],
         *[F.max(F.when(F.col("_name") == name, F.col("_v"))).alias(name) for name in positions])
 
 
+def _running(window: WindowSpec, order: str) -> WindowSpec:
+    return window.orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+
+
 def event_order(micros: Column, event_id: Column) -> Column:
     """(time, id) as one number.  Like other fixed-width values it can be an ordering inside a hash
     aggregate, where a struct forces a sort of all rows."""

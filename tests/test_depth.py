@@ -7,7 +7,8 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from lumigrid.operators.depth import depth_bounds, normalize_depth
-from lumigrid.scale import order_statistics, value_bucket
+from lumigrid import scale
+from lumigrid.scale import order_statistics, ordered_bits, value_bucket
 
 
 def expected(values, invert):
@@ -91,3 +92,42 @@ def test_null_is_no_value(spark):
     assert bounds == {1: (5.0, 9.0)}
     got = sorted(((p["image_id"], p["r8"]) for p in normalize_depth(df, invert=False).collect()), key=str)
     assert got == sorted([(1, None), (1, None), (1, 0), (1, 255), (2, None)], key=str)
+
+
+def test_bits_keep_the_order(spark):
+    values = sorted({*RNG.normal(size=300), *(RNG.normal(size=300) * 1e300), *(RNG.normal(size=300) * 1e-310), 0.0,
+                     *[s * math.nextafter(2.0 ** e, b) for e in range(-1074, 1023, 31) for s in (1, -1) for b in (-9, math.inf)],
+                     *[s * 2.0 ** e for e in range(-1074, 1024, 31) for s in (1, -1)], math.inf, -math.inf})
+    df = spark.createDataFrame([(i, float(v)) for i, v in enumerate([*values, math.nan])], "i INT, v DOUBLE")
+    bits = [r[0] for r in df.orderBy("i").select(ordered_bits(F.col("v"))).collect()]
+    assert bits == sorted(set(bits)) and len(bits) == len(values) + 1
+    own = lambda v: np.float64(abs(v)).view(np.int64) * (1 if v >= 0 else -1)
+    assert bits[:-1] == [own(v) for v in values]
+
+
+@pytest.mark.parametrize("kind", ["DOUBLE", "BIGINT", "INT", "FLOAT"])
+def test_a_million_values_of_one_bucket(spark, kind):
+    """All values lie in one coarse bucket; the windows over counts stay small."""
+    n, base = 1_000_000, {"DOUBLE": 1.0, "FLOAT": 1.0, "BIGINT": 1 << 60, "INT": 1 << 30}[kind]
+    step = {"DOUBLE": 2.0 ** -31, "FLOAT": 2.0 ** -23, "BIGINT": 977, "INT": 3}[kind]
+    values = n if kind != "FLOAT" else 1 << 14
+    value = F.lit(base).cast(kind) + (F.pmod(F.col("id") * 7919, F.lit(values)) * step).cast(kind)
+    df = spark.range(n).select(F.lit(1).alias("g"), value.cast(kind).alias("v"))
+    assert df.select(value_bucket(F.col("v"))).distinct().count() <= 2
+    n_ = F.col("n")
+    got = order_statistics(df, ["g"], "v", {"low": n_ * 0, "a": F.floor(n_ / 3), "b": F.floor(n_ / 3) + 1, "high": n_ - 1}).first()
+    want = np.sort(base + (np.arange(n, dtype=np.int64) * 7919 % values) * (step if kind != "BIGINT" else np.int64(step)))
+    assert [got.n, got.low, got.a, got.b, got.high] == [n, want[0], want[n // 3], want[n // 3 + 1], want[-1]]
+
+
+def test_cells_are_bounded(spark):
+    """A cell has at most some 2**16 next ones, at every step and for every kind of value."""
+    for kind, values in [("double", [1.0, 1.0 + 2.0 ** -9, 1e-310, 1e-310 * (1 + 2.0 ** -9)]), ("bigint", [1 << 62, (1 << 62) + (1 << 53)]),
+                         ("int", [1 << 30, (1 << 30) + (1 << 21)])]:
+        df = spark.createDataFrame([(v,) for v in values], f"v {kind}")
+        cells = [value_bucket(F.col("v")), *scale._fine_cells(kind, F.col("v"))]
+        rows = df.select(*[c.cast("double").alias(f"c{i}") for i, c in enumerate(cells)]).collect()
+        for a, b in zip(rows[::2], rows[1::2], strict=True):
+            assert abs(b[1] - a[1]) <= 1 << 16
+    with pytest.raises(TypeError):
+        scale._fine_cells("string", F.col("v"))
