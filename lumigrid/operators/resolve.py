@@ -6,6 +6,8 @@ An inverted index of short substrings proposes pairs, which are then compared; t
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -200,6 +202,27 @@ def unresolved_channels(requests: DataFrame, resolved: DataFrame) -> DataFrame:
     return requests.join(resolved, ["file_id", "layer", "channel"], "left_anti")
 
 
+def used_rows(table: DataFrame, **views: DataFrame) -> dict[str, DataFrame]:
+    """Of ``table`` (samples or scan lines) the rows of the channels that each of ``views`` uses: results of
+    ``resolve_rgba`` or of ``resolve_channel``.
+
+    One scan serves all of them: rows that any view uses are written once, in a directory for each combination of views,
+    and a view reads its directories.
+    """
+    key = ["file_id", "part_idx", "channel_idx"]
+    bit = {name: 1 << i for i, name in enumerate(views)}
+
+    def channels_of(name: str, view: DataFrame) -> DataFrame:
+        indexes = F.array("channel_idx") if "channel_idx" in view.columns else F.array_compact(F.array(*ROLES))
+        return view.select("file_id", "part_idx", F.explode(indexes).alias("channel_idx"), F.lit(bit[name]).alias("uses"))
+
+    uses = functools.reduce(DataFrame.unionByName, [channels_of(*v) for v in views.items()])
+    wanted = uses.groupBy(*key).agg(F.bit_or("uses").alias("uses"))
+    picked = materialize(_looked_up(table, wanted), "uses")
+    return {name: picked.filter(F.col("uses").isin([u for u in range(1 << len(bit)) if u & b])).drop("uses")
+            for name, b in bit.items()}
+
+
 def _looked_up(table: DataFrame, wanted: DataFrame) -> DataFrame:
     """Rows of ``table`` (samples or scan lines) of the channels in ``wanted``.  If the directory of the rows
     is a column, only the directories of wanted files are read."""

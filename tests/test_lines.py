@@ -79,3 +79,21 @@ def test_only_directories_of_wanted_files_are_read(spark, tmp_path, table):
     assert [(r["file_id"], r["x"], r["r"]) for r in got.collect()] == [(7, 0, 7.0)]
     both = resolved(spark).filter("file_id = 2")
     assert "dynamicpruning" in executed(resolve.assemble_pixels(stored, both))
+
+
+@pytest.mark.parametrize("kind", ["lines", "samples"])
+def test_rows_of_several_views_come_from_one_scan(spark, kind, monkeypatch):
+    table = lines(spark) if kind == "lines" else tables.from_scanlines(lines(spark))
+    looked = []
+    plain = resolve._looked_up
+    monkeypatch.setattr(resolve, "_looked_up", lambda t, w: looked.append(t) or plain(t, w))
+    single = spark.createDataFrame([(1, "a", "Z", 0, 0), (1, "a", "q", 1, 0)], "file_id long, layer string, channel string, part_idx int, channel_idx int")
+    none = single.filter("channel = 'nothing'")
+    found = resolve.used_rows(table, colour=resolved(spark), gray=single, depth=none)
+    assert len(looked) == 1
+    ids = lambda df: sorted({(r["file_id"], r["part_idx"], r["channel_idx"]) for r in df.collect()})
+    assert ids(found["colour"]) == [(1, 0, 0), (1, 0, 1), (1, 0, 2), (2, 0, 0)]
+    assert ids(found["gray"]) == [(1, 0, 0), (1, 1, 0)] and found["depth"].count() == 0
+    assert found["gray"].columns == table.columns
+    want = resolve.assemble_pixels(table, resolved(spark))
+    assert rows(resolve.assemble_pixels(found["colour"], resolved(spark))) == rows(want)
