@@ -30,8 +30,8 @@ from lumigrid.llm.common import scratch, whole_text, written
 BITS = 20
 LOW = np.uint64(1 << 31)
 BLOCK = 1 << 18
-LANES = 1024
-STEPS = 128
+LANES = 4096
+STEPS = 32
 END = 0
 
 
@@ -48,7 +48,9 @@ class LibraryEncoder:
         def pieces(texts: list[str]) -> list[bytes]:
             out = []
             for t in texts:
-                ids = [x.id for x in tokenize(t.encode().decode("latin-1").translate(spelling))]
+                plain = t.isascii() and t.isprintable()  # then only the blank has another spelling
+                spelled = t.replace(" ", spelling[32]) if plain else t.encode().decode("latin-1").translate(spelling)
+                ids = [x.id for x in tokenize(spelled)]
                 out.append(packed[len(ids)](*ids) if len(ids) < 17 else struct.pack(f"<{len(ids)}I", *ids))
             return out
 
@@ -94,18 +96,21 @@ class Coder:
         steps = -(-n // lanes)
         x = np.full(lanes, LOW, np.uint64)
         words, held, states = [], 0, []
-        limit = self.f << np.uint64(63 - BITS)
+        frequency, start = self.f[ids], self.start[ids]
+        limit = frequency << np.uint64(63 - BITS)
         for t in range(steps - 1, -1, -1):
-            s = ids[t * lanes:(t + 1) * lanes]
-            y, f = x[:len(s)], self.f[s]
-            full = y >= limit[s]
-            if full.any():
-                out = y[full]
+            at = slice(t * lanes, min(n, (t + 1) * lanes))
+            f = frequency[at]
+            y = x[:len(f)]
+            full = y >= limit[at]
+            out = y[full]
+            if len(out):
                 words.append(out.astype(np.uint32))
                 held += len(out)
                 y = np.where(full, y >> np.uint64(32), y)
             q = y // f
-            x[:len(s)] = (q << np.uint64(BITS)) + (y - q * f) + self.start[s]
+            # The quotient times 2**BITS, the remainder and the start.
+            x[:len(f)] = y + q * (np.uint64(1 << BITS) - f) + start[at]
             if t % every == 0:
                 states.append((x.copy(), held))
         states.reverse()
@@ -122,15 +127,15 @@ class Coder:
         first = segment * lanes * every
         n = min(block["n_ids"] - first, lanes * every)
         x = np.frombuffer(block["states"], "<u8", lanes, segment * lanes * 8).copy()
-        words = np.frombuffer(block["words"], "<u4").astype(np.uint64)
+        words = np.frombuffer(block["words"], "<u4")
         place, out = block["places"][segment], np.empty(n, np.uint32)
         low_bits = np.uint64((1 << BITS) - 1)
         for k in range(0, n, lanes):
             y = x[:min(lanes, n - k)]
             slot = y & low_bits
-            s = self.symbol[slot.astype(np.intp)]
+            s = self.symbol.take(slot.view(np.int64))
             out[k:k + len(y)] = s
-            y = self.f[s] * (y >> np.uint64(BITS)) + slot - self.start[s]
+            y = self.f.take(s) * (y >> np.uint64(BITS)) + slot - self.start.take(s)
             short = np.flatnonzero(y < LOW)
             if len(short):
                 y[short] = (y[short] << np.uint64(32)) | words[place:place + len(short)]
