@@ -14,9 +14,10 @@ tables give empty tables.  Other columns of the input are not read.
 from __future__ import annotations
 
 import functools
+import itertools
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,9 +31,11 @@ from lumigrid.llm.common import scratch, whole_text, written
 BITS = 20
 LOW = np.uint64(1 << 31)
 BLOCK = 1 << 18
-LANES = 4096
-STEPS = 32
+LANES = 1024
+STEPS = 128
 END = 0
+#: Blocks of one length that a task codes, or decodes, side by side.
+SIDE_BY_SIDE = 8
 
 
 # --- ids by the tokenizers library ---------------------------------------------------------------
@@ -90,62 +93,85 @@ class Coder:
         self.symbol = np.repeat(np.arange(len(frequency), dtype=np.uint32), frequency)
 
     def encode(self, ids: np.ndarray, lanes: int = LANES, every: int = STEPS) -> dict:
-        """Words of the stream, and for each segment its states, place in the stream and CRC-32."""
-        n = len(ids)
+        return self.encode_all(ids[None], lanes, every)[0]
+
+    def encode_all(self, ids: np.ndarray, lanes: int = LANES, every: int = STEPS) -> list[dict]:
+        """For each row of ``ids``, a block: words of the stream, and for each segment its states, place in the stream
+        and CRC-32."""
+        blocks, n = ids.shape
         lanes = max(1, min(lanes, n // 64))
+        if blocks > 1 and n % lanes:
+            return [self.encode(row, lanes, every) for row in ids]
         steps = -(-n // lanes)
-        x = np.full(lanes, LOW, np.uint64)
-        words, held, states = [], 0, []
-        frequency, start = self.f[ids], self.start[ids]
-        limit = frequency << np.uint64(63 - BITS)
+        # The lanes of all blocks side by side, step after step.
+        order = ids.reshape(blocks, steps, lanes).transpose(1, 0, 2).ravel() if blocks > 1 else ids[0]
+        frequency, start = self.f.take(order), self.start.take(order)
+        limit, room = frequency << np.uint64(63 - BITS), np.uint64(1 << BITS) - frequency
+        x = np.full(blocks * lanes, LOW, np.uint64)
+        words, sizes, held, states = [], [], np.zeros(blocks, np.int64), []
         for t in range(steps - 1, -1, -1):
-            at = slice(t * lanes, min(n, (t + 1) * lanes))
+            at = slice(t * len(x), (t + 1) * len(x))
             f = frequency[at]
             y = x[:len(f)]
             full = y >= limit[at]
-            out = y[full]
-            if len(out):
-                words.append(out.astype(np.uint32))
-                held += len(out)
-                y = np.where(full, y >> np.uint64(32), y)
-            q = y // f
+            words.append(y[full].astype(np.uint32))
+            sizes.append(np.count_nonzero(full.reshape(blocks, -1), axis=1))
+            held += sizes[-1]
+            y = np.where(full, y >> np.uint64(32), y)
             # The quotient times 2**BITS, the remainder and the start.
-            x[:len(f)] = y + q * (np.uint64(1 << BITS) - f) + start[at]
+            x[:len(f)] = y // f * room[at] + y + start[at]
             if t % every == 0:
-                states.append((x.copy(), held))
+                states.append((x.reshape(blocks, lanes).copy(), held.copy()))
         states.reverse()
-        return {"lanes": lanes, "every": every, "n_ids": n,
-                "words": b"".join(w.tobytes() for w in reversed(words)),
-                "states": b"".join(x.tobytes() for x, _ in states),
-                "places": [held - h for _, h in states],
-                "checksums": [zlib.crc32(ids[k:k + lanes * every].astype("<u4").tobytes())
-                              for k in range(0, n, lanes * every)]}
+        stream = np.concatenate(words[::-1])
+        owner = np.repeat(np.tile(np.arange(blocks, dtype=np.int8), steps), np.concatenate(sizes[::-1]))
+        return [{"lanes": lanes, "every": every, "n_ids": n, "words": stream[owner == i].tobytes(),
+                 "states": b"".join(x[i].tobytes() for x, _ in states),
+                 "places": [int(held[i] - h[i]) for _, h in states],
+                 "checksums": [zlib.crc32(ids[i, k:k + lanes * every].astype("<u4").tobytes())
+                               for k in range(0, n, lanes * every)]} for i in range(blocks)]
 
     def decode(self, block: dict, segment: int) -> np.ndarray:
         """Ids of one segment, started from its checkpoint and checked."""
-        lanes, every = block["lanes"], block["every"]
-        first = segment * lanes * every
-        n = min(block["n_ids"] - first, lanes * every)
-        x = np.frombuffer(block["states"], "<u8", lanes, segment * lanes * 8).copy()
-        words = np.frombuffer(block["words"], "<u4")
-        place, out = block["places"][segment], np.empty(n, np.uint32)
+        return self.decode_all([(block, segment)])[0]
+
+    def decode_all(self, segments: list[tuple[dict, int]]) -> np.ndarray:
+        """A row of ids for each (block, segment), all of one shape (``shape_of``), each started from its checkpoint and
+        checked."""
+        lanes, n = shape_of(*segments[0])
+        x = np.concatenate([np.frombuffer(b["states"], "<u8", lanes, k * lanes * 8) for b, k in segments])
+        words = [np.frombuffer(b["words"], "<u4") for b, _ in segments]
+        places, out = [b["places"][k] for b, k in segments], np.empty((len(segments), n), np.uint32)
         low_bits = np.uint64((1 << BITS) - 1)
         for k in range(0, n, lanes):
-            y = x[:min(lanes, n - k)]
+            take = min(lanes, n - k)
+            y = x if take == lanes else x.reshape(-1, lanes)[:, :take].ravel()
             slot = y & low_bits
             s = self.symbol.take(slot.view(np.int64))
-            out[k:k + len(y)] = s
+            out[:, k:k + take] = s.reshape(-1, take)
             y = self.f.take(s) * (y >> np.uint64(BITS)) + slot - self.start.take(s)
-            short = np.flatnonzero(y < LOW)
-            if len(short):
-                y[short] = (y[short] << np.uint64(32)) | words[place:place + len(short)]
-                place += len(short)
-            x[:len(y)] = y
-        if zlib.crc32(out.astype("<u4").tobytes()) != block["checksums"][segment]:
-            raise ValueError(f"segment {segment} of a block is damaged")
+            short = y < LOW
+            ends = [p + c for p, c in zip(places, np.count_nonzero(short.reshape(-1, take), axis=1).tolist(), strict=True)]
+            y[short] = (y[short] << np.uint64(32)) | np.concatenate([w[a:b] for w, a, b in zip(words, places, ends)])
+            places, x = ends, y  # a shorter step is the last one
+        for (b, k), ids in zip(segments, out, strict=True):
+            if zlib.crc32(ids.astype("<u4").tobytes()) != b["checksums"][k]:
+                raise ValueError(f"segment {k} of a block is damaged")
         return out
 
 
+def shape_of(block: dict, segment: int) -> tuple[int, int]:
+    """Lanes and ids of a segment."""
+    whole = block["lanes"] * block["every"]
+    return block["lanes"], min(block["n_ids"] - segment * whole, whole)
+
+
+def _alike(items: list, kind: Callable) -> Iterator[list]:
+    """Neighbours of one kind, at most ``SIDE_BY_SIDE``."""
+    for _, same in itertools.groupby(items, kind):
+        yield from map(list, itertools.batched(same, SIDE_BY_SIDE))
+
+
 def joined_crc(first: int, second: int, length: int) -> int:
     """CRC-32 of two runs of bytes from the CRC-32 of each; ``length`` is that of the second."""
 
@@ -261,12 +287,14 @@ def write(docs: DataFrame, folder: str, path: str, block: int = BLOCK, lanes: in
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = Coder(frequency)
         for batch in batches:
-            for i in range(batch.num_rows):
-                row = batch.slice(i, 1)
-                coded = coder.encode(np.frombuffer(row.column("ids")[0].as_buffer(), "<u4"), lanes, every)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([coded[f.name]], f.type) if f.name in coded else row.column(f.name) for f in schema],
-                    schema=schema)
+            size = batch.column("n_ids").to_pylist()
+            for group in _alike(list(range(batch.num_rows)), size.__getitem__):
+                ids = np.stack([np.frombuffer(batch.column("ids")[i].as_buffer(), "<u4") for i in group])
+                for i, coded in zip(group, coder.encode_all(ids, lanes, every), strict=True):
+                    row = batch.slice(i, 1)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([coded[f.name]], f.type) if f.name in coded else row.column(f.name) for f in schema],
+                        schema=schema)
 
     blocks = raw.filter("block is not null").drop("symbols", "counts")
     blocks.mapInArrow(code, _CODED).write.option("compression", "uncompressed").parquet(f"{folder}/blocks")
@@ -284,13 +312,21 @@ def read_pieces(spark: SparkSession, folder: str) -> DataFrame:
     out = "part int, row long, doc_id long, before long, n int, first boolean, last boolean, ids binary"
     schema = _schema(out)
 
+    def decoded(coder: Coder, batch: pa.RecordBatch) -> Iterator[tuple[int, dict, np.ndarray]]:
+        size = batch.column("n_ids").to_pylist()
+        for group in _alike(list(range(batch.num_rows)), size.__getitem__):
+            blocks = [{n: batch.column(n)[i].as_py() for n in _CODER} for i in group]
+            segments = [(b, k) for b in blocks for k in range(len(b["places"]))]
+            ids = [row for same in _alike(segments, lambda s: shape_of(*s)) for row in coder.decode_all(same)]
+            for i, b in zip(group, blocks, strict=True):
+                yield i, b, np.concatenate(ids[:len(b["places"])])
+                del ids[:len(b["places"])]
+
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = Coder(frequency)
         for batch in batches:
-            for i in range(batch.num_rows):
+            for i, block, ids in decoded(coder, batch):
                 row = batch.slice(i, 1)
-                block = {n: row.column(n)[0].as_py() for n in _CODER}
-                ids = np.concatenate([coder.decode(block, k) for k in range(len(block["places"]))])
                 docs = dict(zip(_DOCS, row.column("docs").flatten().flatten(), strict=True))
                 ends = np.cumsum(docs["n"].to_numpy(), dtype=np.int64)
                 # The documents' ids lie one after the other: their binary values are cut from one buffer.

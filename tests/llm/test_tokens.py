@@ -167,3 +167,17 @@ def test_queries_against_the_library(spark, fixture_dir):
     assert sorted(map(tuple, got)) == sorted(want)
     coded = {r["doc_id"]: r["n_tokens"] for r in queries.op8_bpe_segment_tree(spark, fixture_dir).collect()}
     assert coded == {d: n - 1 for d, _, n, _ in want}
+
+
+@pytest.mark.parametrize("n", [1, 63, 640, 1000, 4096])
+def test_blocks_side_by_side_are_those_one_by_one(n):
+    rng = np.random.default_rng(n)
+    ids = rng.choice(50, size=(5, n), p=np.arange(1, 51) / 1275).astype(np.uint32)
+    coder = token_files.Coder(token_files.scaled(np.bincount(ids.ravel(), minlength=50)))
+    together = coder.encode_all(ids, 64, 4)
+    assert together == [coder.encode(row, 64, 4) for row in ids]
+    segments = [(b, k) for b in together for k in range(len(b["places"]))]
+    for same in token_files._alike(segments, lambda s: token_files.shape_of(*s)):
+        for (b, k), got in zip(same, coder.decode_all(same), strict=True):
+            first = k * b["lanes"] * b["every"]
+            assert got.tolist() == ids[together.index(b), first:first + len(got)].tolist()
