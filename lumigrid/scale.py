@@ -63,7 +63,8 @@ def materialize(df: DataFrame, *directories: str) -> DataFrame:
     """
     path = f"{scratch_dir(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.partitionBy(*directories).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path).select(*df.columns)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    return table.select(*df.columns) if directories else table  # directories come last
 
 
 def decoded_bytes(table: DataFrame) -> int:

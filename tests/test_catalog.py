@@ -228,3 +228,11 @@ def test_minima_do_not_sort(spark):
     one = resolve.resolve_channel(channels, spark.createDataFrame([(1, "", "R")], "file_id BIGINT, layer STRING, channel STRING"))
     for df in (views, one):
         assert "SortAggregate" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_best_layer_aggregates_by_hashing(spark):
+    table = channel_table(spark, {1: [(None, ["R", "G", "B"])], 2: [("x.beauty", ["q"]), ("rgba", ["q"])]})
+    best = catalog.best_layer(table)
+    got = {r.file_id: (r.best_layer, r.plan) for r in best.collect()}
+    assert got == {1: ("", 0), 2: ("x.beauty", 1)}
+    assert "SortAggregate" not in best._jdf.queryExecution().executedPlan().toString()
