@@ -6,7 +6,9 @@ Exact, and without gathering what is alike:
 1. Every window (place where such a string starts) picks an anchor: the least hash among the ``GRAM``
    byte strings in it, the last of equals.  Equal windows pick alike.  Windows that follow each other
    and share an anchor make a run; runs are rows of (hash of the anchor's bytes, hash of all bytes the
-   run's windows cover).  The two hashes together are 128 bits, all of them content.
+   run's windows cover).  Runs are compared under the same anchor only, so it is the second hash that tells
+   two of them apart: 64 bits, a polynomial modulo 2**64.  Two different runs of one anchor with an equal
+   hash would be taken for repeats; the chance grows with the square of the runs of an anchor.
 2. Runs whose anchor occurs once are done: their windows are unique.  Runs that are equal as a whole
    are repeated in all their windows; they are counted, which shrinks on the map side.
 3. What is left are runs that share an anchor but are unique as a whole, as at the edges of passages.
