@@ -257,8 +257,10 @@ def top_k(vectors: DataFrame, k: int = K, every: int = 50, block: int = BLOCK) -
                .withColumnRenamed("slice", "chunk"))
     near = written(queries.groupBy("chunk").cogroup(blocks.groupBy("chunk"))
                    .applyInArrow(_meet_own(width, k), _NEAR), "near")
-    chunks = F.sequence(F.lit(0), F.lit(max(0, first - 1) // CHUNK))
-    slices = F.sequence(F.lit(0), F.lit(max(0, first - 1) // CHUNK // SLICE))
+    # Numbers of the same type on both sides of the cogroup: an int and a long of one value hash differently.
+    upto = lambda last: F.sequence(F.lit(0).cast("long"), F.lit(last).cast("long"))
+    last = max(0, first - 1) // CHUNK
+    chunks, slices = upto(last), upto(last // SLICE)
     left = near.select("slice", "ids", "places", "matrix", "best_scores", F.explode(chunks).alias("to"))
     right = blocks.select("*", F.explode(slices).alias("slice"))
     far = (left.groupBy("slice", "to").cogroup(right.groupBy("slice", "chunk"))

@@ -34,6 +34,21 @@ def test_random_rows(spark, monkeypatch, n, block, chunk):
     assert got(spark, rows, every=5, block=block) == plain(rows, every=5)
 
 
+def test_slices_meet_chunks_in_any_number_of_partitions(spark, monkeypatch):
+    """Without coalescing, rows of one key lie together only if the key's columns have one type on both sides."""
+    monkeypatch.setattr(topk, "CHUNK", 2)
+    monkeypatch.setattr(topk, "SLICE", 2)
+    rng = np.random.default_rng(4)
+    rows = [(int(i), [float(x) for x in rng.integers(-2, 3, 6) / 4]) for i in rng.permutation(300)]
+    coalesced = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(coalesced)
+    spark.conf.set(coalesced, "false")
+    try:
+        assert got(spark, rows, every=5, block=16) == plain(rows, every=5)
+    finally:
+        spark.conf.set(coalesced, before)
+
+
 def test_odd_rows(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 2.0]), (0, [1.0, 2.0]), (50, [1.0]), (100, []), (7, None), (8, [None, 1.0]), (9, [nan, 1.0]),
