@@ -94,6 +94,11 @@ def _written(channels: DataFrame) -> DataFrame:
                                                       "width", "height")).withColumn("lo", F.lower("layer")))
 
 
+def _distinct(requests: DataFrame, *columns: str) -> DataFrame:
+    """The requests, written once, as both the match of names and the answer start from them."""
+    return materialize(requests.select("file_id", *columns).distinct())
+
+
 def resolve_rgba(channels: DataFrame, requests: DataFrame) -> DataFrame:
     """For requested (file_id, layer): the part and the channels that serve as R, G, B, A.
 
@@ -101,6 +106,7 @@ def resolve_rgba(channels: DataFrame, requests: DataFrame) -> DataFrame:
     part with plain R, G, B) or null (nothing to show).  Size columns are those of the part.
     """
     named = _written(channels)
+    requests = _distinct(requests, "layer")
     pairs = matching_layers(named, requests, "rgba")
     upper = names.ascii_upper(F.col("short"))
     matched = (named.select("file_id", "lo", "part_idx", "channel_idx", "width", "height",
@@ -132,8 +138,7 @@ def resolve_rgba(channels: DataFrame, requests: DataFrame) -> DataFrame:
     view = lambda kind: F.when(F.col("part_idx").isNotNull(), F.struct("part_idx", *ROLES, "width", "height")).alias(kind)
     first_part = _first_parts(found, "file_id", "layer").select("file_id", "layer", view("by_layer"))
     plain = first_rgba(named).select("file_id", view("plain"))
-    return (requests.select("file_id", "layer").distinct()
-            .join(first_part, ["file_id", "layer"], "left").join(plain, "file_id", "left")
+    return (requests.join(first_part, ["file_id", "layer"], "left").join(plain, "file_id", "left")
             .select("file_id", "layer", F.coalesce("by_layer", "plain").alias("v"),
                     F.when(F.col("by_layer").isNotNull(), F.lit("layer"))
                     .when(F.col("plain").isNotNull(), F.lit("first_rgba")).alias("source"))
@@ -166,6 +171,7 @@ def resolve_channel(channels: DataFrame, requests: DataFrame) -> DataFrame:
     channels.  Requests without an answer are in ``unresolved_channels``.
     """
     named = _written(channels)
+    requests = _distinct(requests, "layer", "channel")
     pairs = matching_layers(named, requests, "channel")
 
     def key(kind: str, value: Column, step: int, when: Column | None = None) -> Column:
@@ -182,7 +188,7 @@ def resolve_channel(channels: DataFrame, requests: DataFrame) -> DataFrame:
         key("depth", F.lit("Z"), 2, names.ascii_upper(wanted) == "Z")))
     have = named.select("file_id", "lo", "part_idx", "channel_idx", "width", "height",
                         F.inline(offered))
-    want = (requests.select("file_id", "layer", "channel").distinct()
+    want = (requests
             .join(pairs.withColumnRenamed("wanted", "layer"), ["file_id", "layer"])
             .select("file_id", "layer", "channel", "lo", F.inline(asked)))
     # Part, pass and channel as one number, the pass in the bit above the channel.

@@ -18,8 +18,6 @@ from pyspark.sql.window import WindowSpec
 
 # Buckets per octave of the value histogram; a bucket of 32-bit floats holds 2**23 / 256 values.
 BUCKETS_PER_OCTAVE = 256
-#: Decoded size up to which ``salted_join`` broadcasts its small side.
-BROADCAST_BYTES = 64 << 20
 FIXED_WIDTHS = {"boolean": 1, "tinyint": 1, "smallint": 2, "int": 4, "float": 4, "date": 4, "bigint": 8, "double": 8,
                 "timestamp": 8, "timestamp_ntz": 8}
 _ABOVE_ALL = 1 << 29
@@ -57,16 +55,28 @@ def drop_intermediates(spark: SparkSession) -> None:
 def materialize(df: DataFrame, *directories: str) -> DataFrame:
     """Write ``df`` to the shared folder, with a directory for each value of ``directories``, and read it back.
 
-    Cuts the lineage, survives lost executors, and gives the optimizer the *true* size of the
+    Cuts the lineage, survives lost executors, and lets the optimizer plan by the *true* size of the
     table: it broadcasts the table if it is below ``spark.sql.autoBroadcastJoinThreshold`` and
-    plans a shuffle join with skew handling otherwise.
+    plans a shuffle join with skew handling otherwise.  Spark itself goes by the bytes of the files, where a million
+    rows of few different values may take next to nothing; so a table that is above the threshold when decoded
+    carries the hint for a shuffle join.
     """
+    table = _rewritten(df, *directories)
+    return table.hint("merge") if decoded_bytes(table) > _broadcast_threshold(df.sparkSession) else table
+
+
+def _rewritten(df: DataFrame, *directories: str) -> DataFrame:
     path = f"{scratch_dir(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.partitionBy(*directories).parquet(path)
     table = df.sparkSession.read.schema(df.schema).parquet(path)
     return table.select(*df.columns) if directories else table  # directories come last
 
 
+def _broadcast_threshold(spark: SparkSession) -> int:
+    """The session's limit in bytes, however it was spelled."""
+    return spark._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+
+
 def decoded_bytes(table: DataFrame) -> int:
     """Estimated size of a written table in memory: its rows times the width of their columns, where
     text and the like count by their mean length."""
@@ -77,11 +87,12 @@ def decoded_bytes(table: DataFrame) -> int:
 
 
 def salted_join(big: DataFrame, small: DataFrame, on: Sequence[str], spread: Sequence[str],
-                salts: int = 16, how: str = "inner", limit: int = BROADCAST_BYTES,
+                salts: int = 16, how: str = "inner", limit: int | None = None,
                 directory: str | None = None) -> DataFrame:
     """Equi join of a table with hot keys and one with few rows per key.
 
-    ``small`` is written first and its decoded size is measured.  Up to ``limit`` bytes it is broadcast
+    ``small`` is written first and its decoded size is measured.  Up to ``limit`` bytes (by default those of
+    ``spark.sql.autoBroadcastJoinThreshold``, as the driver's memory has to bear them) it is broadcast
     as it is, and ``big`` is not shuffled.  Beyond, both sides are shuffled, every key of ``big`` is
     spread over ``salts`` partitions and every row of ``small`` repeated once per salt; ``spread`` are
     columns of ``big`` that vary inside a key.
@@ -91,11 +102,11 @@ def salted_join(big: DataFrame, small: DataFrame, on: Sequence[str], spread: Seq
     """
     if how not in ("inner", "left"):
         raise ValueError("salted_join supports inner and left joins")
-    known = materialize(small)
+    known = _rewritten(small)
     if directory and how == "inner":
         # True for every row; the optimizer prunes by the keys of a filtered side only.
         known = known.filter(F.col(directory) >= 0)
-    if decoded_bytes(known) <= limit:
+    if decoded_bytes(known) <= (_broadcast_threshold(big.sparkSession) if limit is None else limit):
         return big.join(F.broadcast(known), list(on), how)
     salted = big.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int"))
     repeated = known.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))

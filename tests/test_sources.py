@@ -78,6 +78,24 @@ def test_shared_folder():
     assert shared_dir(local) == shared_dir(local) == local.chosen
 
 
+def test_written_tables_are_planned_by_their_decoded_size(spark):
+    """A million rows of few values are next to nothing in files, yet no table to broadcast."""
+    limit = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(limit)
+    spark.conf.set(limit, "1m")
+    try:
+        few = materialize(spark.range(100).select("id", F.lit("x" * 32).alias("t")))
+        many = materialize(spark.range(1 << 20, numPartitions=1).select((F.col("id") % 9).alias("id"), F.lit("x" * 32).alias("t")))
+        plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+        big = spark.range(1 << 22)
+        assert "BroadcastHashJoin" in plan(big.join(few, "id"))
+        assert "SortMergeJoin" in plan(big.join(many, "id"))
+        grouped = many.select(F.col("id").alias("k"), "t").groupBy("k").agg(F.max("t"))
+        assert "SortMergeJoin" in plan(big.join(grouped, big["id"] == grouped["k"]))
+    finally:
+        spark.conf.set(limit, before)
+
+
 def test_materialize(spark):
     written = materialize(spark.range(5).withColumn("k", F.lit("x")))
     assert written.count() == 5 and written.columns == ["id", "k"]
