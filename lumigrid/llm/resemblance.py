@@ -5,7 +5,10 @@ Texts with the same words are one node.  Nodes are candidates if their 64-bit Si
 at most ``DISTANCE`` bits: at a value of 0.8 fingerprints differ in 9.7 bits on average, with a standard
 deviation of 2.9.  Beyond a few bits neither blocks of bits nor distances to references tell pairs apart, so
 the number of shingles does: a value of 0.8 allows sizes up to 5 : 4, so only equal and adjacent bands of
-sizes meet, in cells of at most two chunks of ``CHUNK`` nodes.  Counts of shingles by bucket give a bound
+sizes meet, in cells of at most two chunks of ``CHUNK`` nodes.  There the pivot table (distances to the
+references of ``simhash``) comes first: a node leaves the comparison with a block of others if some distance
+lies more than ``DISTANCE`` beyond all of theirs, and a pair that is near in bits must be near in all
+distances.  At 20 bits that discards outlying fingerprints only.  Counts of shingles by bucket give a bound
 on the value, which no pair of at least 0.8 fails.  The rest are compared by their sets of 64-bit hashes.
 
 Both steps give spanning forests, never all pairs, so many near copies of one text cost one row each.
@@ -30,6 +33,8 @@ from lumigrid.llm.common import written
 
 SHINGLE = 5
 DISTANCE = 20
+#: Columns of a node's distances to the references, eight to a long.
+PIVOTS = ("pivots0", "pivots1")
 #: A little over 5 / 4.
 BAND = math.log(1.26)
 CHUNK = 1 << 15
@@ -101,10 +106,12 @@ def _merged(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         label = to[label]
 
 
-def _near(fp: np.ndarray, size: np.ndarray, left: np.ndarray, right: np.ndarray, once: bool) -> Iterator[tuple]:
+def _near(table: pa.Table, left: np.ndarray, right: np.ndarray, once: bool) -> Iterator[tuple]:
     """Positions, in arrays, of ``left`` x ``right`` within the bit limit and sizes up to 5 : 4.  Both are
     sorted by size; ``once``: only pairs whose second position is the larger one."""
-    sizes = size[right]
+    fp, size = table["fp"].to_numpy().view(np.uint64), table["size"].to_numpy()
+    pivots = np.column_stack([table[c].to_numpy() for c in PIVOTS]).view(np.uint8).T.astype(np.int8)
+    sizes, far = size[right], pivots[:, right]
     for k in range(0, len(left), _BLOCK):
         rows = left[k:k + _BLOCK]
         lo = np.searchsorted(5 * sizes, 4 * size[rows[0]])
@@ -113,9 +120,11 @@ def _near(fp: np.ndarray, size: np.ndarray, left: np.ndarray, right: np.ndarray,
             lo = max(lo, np.searchsorted(right, rows[0]))
         if lo >= hi:
             continue
-        columns = right[lo:hi]
+        columns = right[lo:hi][_within(pivots[:, rows], far[:, lo:hi])]
+        if not len(columns):
+            continue
         hits = np.flatnonzero(np.bitwise_count(fp[rows][:, None] ^ fp[columns][None, :]) <= DISTANCE)
-        a, b = rows[hits // (hi - lo)], columns[hits % (hi - lo)]
+        a, b = rows[hits // len(columns)], columns[hits % len(columns)]
         fit = 5 * np.minimum(size[a], size[b]) >= 4 * np.maximum(size[a], size[b])
         if once:
             fit &= b > a
@@ -123,6 +132,15 @@ def _near(fp: np.ndarray, size: np.ndarray, left: np.ndarray, right: np.ndarray,
             yield a[fit], b[fit]
 
 
+def _within(block: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """Which of ``others`` no reference tells apart from all of ``block``, by the triangle inequality: columns
+    of distances to the references."""
+    near = np.ones(others.shape[1], bool)
+    for mine, theirs in zip(block, others):
+        near &= (theirs >= mine.min() - DISTANCE) & (theirs <= mine.max() + DISTANCE)
+    return near
+
+
 def _bounded(counts: np.ndarray, size: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Whether the counts allow 9 * common >= 4 * (sizes), that is a value of 0.8."""
     out = np.zeros(len(a), bool)
@@ -153,7 +171,7 @@ def _candidates(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         np.frombuffer(b"".join(raw), np.uint8).reshape(-1, least)
     label = np.arange(len(fp))
     for left, right, once in _sides(table, table["band"].to_numpy() == table["key"].to_numpy()):
-        for a, b in _near(fp, size, left, right, once):
+        for a, b in _near(table, left, right, once):
             new = label[a] != label[b]
             a, b = a[new], b[new]
             good = _bounded(counts, size, a, b)
@@ -174,7 +192,7 @@ def _confirmed(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         return i
 
     for left, right, once in _sides(table, np.ones(len(fp), bool)):
-        for a, b in _near(fp, size, left, right, once):
+        for a, b in _near(table, left, right, once):
             for i, j in zip(a.tolist(), b.tolist()):
                 x, y = find(i), find(j)
                 if x != y:
@@ -235,7 +253,7 @@ def _chunked(rows: DataFrame, chunks: DataFrame) -> DataFrame:
 
 def links(nodes: DataFrame, texts: DataFrame) -> DataFrame:
     """(v, w): each node of a component of linked texts and the component's least node, but for that node.
-    ``nodes``: node, fp, size, counts; ``texts``: node, text."""
+    ``nodes``: node, fp, size, counts and the pivot table; ``texts``: node, text."""
     band = F.floor(F.log(F.col("size").cast("double")) / BAND).cast("long")
     banded = nodes.filter("size > 0").withColumn("band", band)
     # A node meets its own band and, as the larger one, the band below.
@@ -244,7 +262,7 @@ def links(nodes: DataFrame, texts: DataFrame) -> DataFrame:
     near = components.roots(_in_cells(_chunked(keyed, chunks), _candidates))
     near = near.select(F.col("v").alias("node"), F.col("w").alias("key"))
     members = near.unionByName(near.select(F.col("key").alias("node"), "key").distinct())
-    sized = written(members.join(nodes.select("node", "fp", "size"), "node"), "candidates")
+    sized = written(members.join(nodes.select("node", "fp", "size", *PIVOTS), "node"), "candidates")
     counted = sized.groupBy("key").agg(F.greatest(
         F.ceil(F.count(F.lit(1)) / F.lit(TEXTS)), F.ceil(F.sum("size") / F.lit(SHINGLES))).cast("int").alias("chunks"))
     large = counted.filter("chunks > 1")  # few: each has very many near copies

@@ -218,7 +218,8 @@ def one_of_each(docs: DataFrame, text: str = "text") -> DataFrame:
                     .withColumn(made, resemblance.sketch(whole_text(text))), "rows")
     coded = based.select(F.col(row).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col(f"{made}.*"))
     nodes = written(coded.groupBy("words").agg(F.min("row").alias("node"), *[F.first(c).alias(c) for c in
-                                                                           ("fp", "size", "counts")]), "nodes")
+                                                                           ("fp", "size", "counts")])
+                    .select("*", *pivot_table("fp")), "nodes")
     texts = based.select(F.col(row).alias("node"), whole_text(text).alias("text"))
     linked = resemblance.links(nodes, texts)
     rooted = (nodes.select("words", "node").join(linked, F.col("node") == F.col("v"), "left")

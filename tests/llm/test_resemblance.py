@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 
 from lumigrid.llm import resemblance, simhash
@@ -63,6 +64,21 @@ def test_near_copies_go(spark, monkeypatch, chunk, texts):
     assert got == plain_kept(rows) and len(got) < 0.8 * len(rows)
 
 
+def test_pivots_discard_and_lose_nothing():
+    """Fingerprints next to a reference and next to its complement are told apart before any bits are compared."""
+    rng = random.Random(5)
+    reference = simhash.references()[0] & (1 << 64) - 1
+    flipped = lambda v, n: v ^ sum(1 << b for b in rng.sample(range(64), n))
+    near, far = [[flipped(v, 6) for _ in range(40)] for v in (reference, reference ^ (1 << 64) - 1)]
+    mixed = [rng.getrandbits(64) for _ in range(200)]
+    mixed += [flipped(v, rng.randrange(19, 22)) for v in mixed]
+    distances = lambda fps: np.array([[(f ^ r & (1 << 64) - 1).bit_count() for f in fps] for r in simhash.references()], np.int8)
+    assert not resemblance._within(distances(near), distances(far)).any()
+    for f in mixed:
+        close = np.array([(f ^ g).bit_count() <= resemblance.DISTANCE for g in mixed])
+        assert resemblance._within(distances([f]), distances(mixed))[close].all()
+
+
 @pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
 def test_recall_on_the_tables(spark, sf):
     df = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet")
