@@ -74,7 +74,8 @@ def best_layer(channels: DataFrame, files: DataFrame | None = None) -> DataFrame
     named = channel_layers(channels).select(
         "file_id", grid.pack_position(F.col("part_idx"), F.col("channel_idx")).alias("first"),
         F.col("layer").alias("best_layer"))
-    best = chosen.join(named, ["file_id", "first"]).select("file_id", "best_layer", "plan")
+    # One row per file, whose estimated size is that of the bytes in the catalog's own files.
+    best = chosen.hint("merge").join(named, ["file_id", "first"]).select("file_id", "best_layer", "plan")
     if files is None:
         return best
     return (files.select("file_id").join(best, "file_id", "left")

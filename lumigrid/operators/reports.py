@@ -175,7 +175,8 @@ def gallery(files: DataFrame, channels: DataFrame, thumbs: DataFrame) -> DataFra
     """
     counted = (catalog.channel_layers(channels).select("file_id", "layer").distinct()
                .groupBy("file_id").agg(F.count(F.lit(1)).alias("n_layers")))
-    return (files.join(thumbs, "file_id").join(counted, "file_id")
+    # A file list of repeating paths takes so few bytes that Spark would broadcast a million of them.
+    return (files.hint("merge").join(thumbs, "file_id").join(counted.hint("merge"), "file_id")
             .select(names.file_name(F.col("path")).alias("name"),
                     text.human_size(F.coalesce("size_bytes", F.lit(0).cast("bigint")))
                     .alias("size"),
@@ -186,7 +187,7 @@ def gallery(files: DataFrame, channels: DataFrame, thumbs: DataFrame) -> DataFra
 
 def unreadable_files(files: DataFrame, thumbs: DataFrame) -> DataFrame:
     """Files the gallery leaves out."""
-    return files.join(thumbs, "file_id", "left_anti")
+    return files.join(thumbs.hint("merge"), "file_id", "left_anti")
 
 
 def filter_names(files: DataFrame, needle: str) -> DataFrame:

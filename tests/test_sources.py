@@ -3,6 +3,7 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
+from lumigrid.operators import catalog, reports
 from lumigrid.scale import drop_intermediates, materialize, salted_join, shared_dir
 from lumigrid.sources import fixtures, listing, tables
 
@@ -128,3 +129,19 @@ def test_intermediates_can_be_dropped(spark):
     assert Path(path).exists()
     drop_intermediates(spark)
     assert not Path(path).exists()
+
+
+def test_catalogs_of_few_bytes_are_not_broadcast(spark, tmp_path):
+    """Repeating values make files far smaller than their rows; the driver would have to hold these."""
+    n = 100_000
+    path = str(tmp_path / "files")
+    spark.range(n).selectExpr("id AS file_id", "concat('/shots/', repeat('deep/', 40), id % 10, '.exr') AS path",
+                              "id AS size_bytes").write.parquet(path)
+    files = spark.read.parquet(path)
+    channels = files.selectExpr("file_id", "0 AS part_idx", "0 AS channel_idx", "'a.R' AS full_name",
+                                "CAST(NULL AS STRING) AS part_name")
+    thumbs = files.filter("file_id % 10 > 0").selectExpr("file_id", "10 AS t_width", "10 AS t_height")
+    for made, rows in ((reports.gallery(files, channels, thumbs), n * 9 // 10),
+                       (reports.unreadable_files(files, thumbs), n // 10), (catalog.best_layer(channels), n)):
+        assert made.count() == rows
+        assert "Broadcast" not in made._jdf.queryExecution().executedPlan().toString()
