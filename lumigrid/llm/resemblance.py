@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lumigrid.llm import components
-from lumigrid.llm.common import written
+from lumigrid.llm.common import with_numbers, written
 
 SHINGLE = 5
 DISTANCE = 20
@@ -268,5 +268,6 @@ def links(nodes: DataFrame, texts: DataFrame) -> DataFrame:
     large = counted.filter("chunks > 1")  # few: each has very many near copies
     pieces = (sized.join(F.broadcast(large), "key", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
               .withColumn("mine", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")))
-    whole = pieces.join(texts, "node").withColumn("shingles", _shingles(F.col("text"))).drop("text")
+    # Few nodes are candidates: only their texts go through the exchange.
+    whole = pieces.join(with_numbers(texts, "node", sized.select("node")), "node").withColumn("shingles", _shingles(F.col("text"))).drop("text")
     return components.roots(_in_cells(whole, _confirmed))

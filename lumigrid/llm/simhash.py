@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lumigrid.llm import components, resemblance
-from lumigrid.llm.common import free_name, whole_text, written
+from lumigrid.llm.common import free_name, whole_text, with_numbers, written
 
 SHINGLE = 4
 DISTANCE = 4
@@ -227,4 +227,4 @@ def one_of_each(docs: DataFrame, text: str = "text") -> DataFrame:
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
     kept = (coded.groupBy("words").agg(F.min(order).alias("first")).join(rooted, "words")
             .groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row").alias(row)))
-    return based.join(kept, row, "left_semi").select(*names)
+    return with_numbers(based, row, kept).select(*names)

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from lumigrid.llm import resemblance, simhash
+from lumigrid.llm.common import with_numbers
 
 SCHEMA = "doc_id long, text string, lang string, row int"
 
@@ -79,6 +80,30 @@ def test_pivots_discard_and_lose_nothing():
         assert resemblance._within(distances([f]), distances(mixed))[close].all()
 
 
+def test_rows_by_number(spark):
+    numbers = [0, 1, 62, 63, 64, 127, 128, (1 << 33) + 63, (5 << 33), (5 << 33) + 7]
+    rows = spark.createDataFrame([(n, "t%d" % n) for n in numbers], "row long, text string")
+    for some in (numbers[::2], numbers[1::3], numbers, []):
+        wanted = spark.createDataFrame([(n,) for n in [*some, 9]], "id long")
+        for words in (None, 0):
+            found = with_numbers(rows, "row", wanted, words)
+            assert found.columns == rows.columns
+            assert sorted(map(tuple, found.collect())) == [(n, "t%d" % n) for n in sorted(some)]
+
+
+def test_texts_are_not_shuffled(spark):
+    """The documents kept are picked where they are; an exchange of whole texts grows the disk by the input."""
+    rows = near_copies()
+    df = spark.createDataFrame([(d, t, "x", 1) for d, t in rows], SCHEMA)
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        plan = simhash.one_of_each(df)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
+
+
 @pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
 def test_recall_on_the_tables(spark, sf):
     df = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet")
