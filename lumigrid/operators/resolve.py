@@ -83,9 +83,10 @@ def matching_layers(named: DataFrame, requests: DataFrame, rule: str) -> DataFra
         (lo != text) & (text.contains(lo) if rule == "rgba" else text.startswith(lo)))
     keyed = pairs.select("file_id", "side", F.when(F.col("side") == LAYER, F.col("outer")).otherwise(F.col("inner")).alias("have"),
                          F.when(F.col("side") == LAYER, F.col("inner")).otherwise(F.col("outer")).alias("want"))
+    # A row per request: as a broadcast it would take the driver several times its written size.
     spelled = requests.select("file_id", F.col("layer").alias("wanted"), name.alias("text")).distinct()
     return (keyed.join(texts(LAYER, "have", "lo"), ["file_id", "have"]).join(texts(WANTED, "want", "text"), ["file_id", "want"])
-            .filter(matches).join(spelled, ["file_id", "text"]).select("file_id", "lo", "wanted"))
+            .filter(matches).join(spelled.hint("merge"), ["file_id", "text"]).select("file_id", "lo", "wanted"))
 
 
 def _written(channels: DataFrame) -> DataFrame:
@@ -138,7 +139,8 @@ def resolve_rgba(channels: DataFrame, requests: DataFrame) -> DataFrame:
     view = lambda kind: F.when(F.col("part_idx").isNotNull(), F.struct("part_idx", *ROLES, "width", "height")).alias(kind)
     first_part = _first_parts(found, "file_id", "layer").select("file_id", "layer", view("by_layer"))
     plain = first_rgba(named).select("file_id", view("plain"))
-    return (requests.join(first_part, ["file_id", "layer"], "left").join(plain, "file_id", "left")
+    # One row per request or file, as a broadcast several times their written size.
+    return (requests.join(first_part.hint("merge"), ["file_id", "layer"], "left").join(plain.hint("merge"), "file_id", "left")
             .select("file_id", "layer", F.coalesce("by_layer", "plain").alias("v"),
                     F.when(F.col("by_layer").isNotNull(), F.lit("layer"))
                     .when(F.col("plain").isNotNull(), F.lit("first_rgba")).alias("source"))

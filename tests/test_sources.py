@@ -3,7 +3,7 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
-from lumigrid.operators import catalog, reports
+from lumigrid.operators import catalog, reports, resolve
 from lumigrid.scale import drop_intermediates, materialize, salted_join, shared_dir
 from lumigrid.sources import fixtures, listing, tables
 
@@ -145,3 +145,22 @@ def test_catalogs_of_few_bytes_are_not_broadcast(spark, tmp_path):
                        (reports.unreadable_files(files, thumbs), n // 10), (catalog.best_layer(channels), n)):
         assert made.count() == rows
         assert "Broadcast" not in made._jdf.queryExecution().executedPlan().toString()
+
+
+def test_requests_of_many_files_are_not_broadcast(spark, tmp_path):
+    """As written they are below the limit; the driver's hash relation of them is above it."""
+    n = 100_000
+    path = str(tmp_path / "channels")
+    spark.range(n).selectExpr("id AS file_id", "0 AS part_idx", "CAST(NULL AS STRING) AS part_name", "0 AS channel_idx",
+                              "'a.R' AS full_name", "16 AS width", "50 AS height").write.parquet(path)
+    channels = spark.read.parquet(path)
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "4m")
+    try:
+        made = resolve.resolve_rgba(channels, channels.selectExpr("file_id", "'a' AS layer"))
+        assert made.filter("source = 'layer'").count() == n
+        made.collect()
+        assert "Broadcast" not in made._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set(key, before)
