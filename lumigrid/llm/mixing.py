@@ -7,7 +7,7 @@ expected tokens of each domain, the sum of r * tokens * posterior, match the tar
 squares sense, by projected gradient from r = 1, scaled by the curvature: the gradient is one sum per domain
 over all documents, scaled by each document's tokens, which leaves the projection a plain greatest(0, r).
 
-Only DataFrame functions are used.  What reaches the driver are counts and sums: one per domain, or
+Only DataFrame functions are used; the classifier's numbers are joined to the words.  What reaches the driver are counts and sums: one per domain, or
 per domain and hash bucket.  The classifier sees at most ``ROWS`` labelled rows per domain (its bound).
 
 Null texts count as empty: no tokens, posteriors equal to the shares of the domains.  A row is known by two
@@ -21,7 +21,8 @@ import math
 import warnings
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lumigrid.llm.common import free_name, whole_text, written
@@ -61,11 +62,17 @@ def _sample(labelled: DataFrame, rows: int) -> DataFrame:
 
 
 class Classifier:
-    """Log shares of the domains and of the buckets in each, as literals of a Spark expression."""
+    """Log shares of the domains and of the buckets in each."""
 
     def __init__(self, prior: dict[str, float], weights: dict[str, list[float]]):
         self.prior, self.weights, self.domains = prior, weights, sorted(prior)
 
+    def table(self, spark: SparkSession) -> DataFrame:
+        """(bucket, w0, w1, ...): the log shares of every bucket, by domain.  As literals of an expression they would
+        be spelled out in each of the driver's descriptions of a plan."""
+        return spark.createDataFrame(pa.table({"bucket": pa.array(range(BUCKETS), pa.int32()), **{
+            f"w{i}": pa.array(self.weights[d], pa.float64()) for i, d in enumerate(self.domains)}}))
+
 
 def fit_classifier(docs: DataFrame, labelled: DataFrame, rows: int = ROWS) -> Classifier | None:
     """Counts of words by domain from labelled documents; ``labelled`` has doc_id and domain."""
@@ -93,11 +100,9 @@ def posteriors(rows: DataFrame, classifier: Classifier, row: str) -> DataFrame:
     Words are summed up by row on the map side, where a document lies as a whole.
     """
     k = len(classifier.domains)
-    tables = [F.split(F.lit(",".join(map(repr, classifier.weights[d]))), ",").cast("array<double>")
-              for d in classifier.domains]
-    words = _exploded(rows, row)
+    words = _exploded(rows, row).join(F.broadcast(classifier.table(rows.sparkSession)), "bucket")  # BUCKETS rows
     logs = (words.groupBy(row).agg(F.count(F.lit(1)).alias("n_tokens"), *[
-        F.sum(F.get(t, F.col("bucket"))).alias(f"s{i}") for i, t in enumerate(tables)]))
+        F.sum(f"w{i}").alias(f"s{i}") for i in range(k)]))
     every = (rows.groupBy(row).agg(F.count(F.lit(1)).alias("times")).join(logs, row, "left")
              .withColumn("n_tokens", F.coalesce("n_tokens", F.lit(0))))
     scale = F.sqrt(F.greatest(F.col("n_tokens") / F.col("times"), F.lit(1))) * F.col("times")
@@ -127,12 +132,15 @@ def _scan(members: DataFrame, trials: list[np.ndarray], k: int) -> list[tuple[fl
     """For each of the summed moves ``trials``: half the tokens times rate squared, the expected tokens of each
     domain, and the curvature, which is that of the rows with a rate above zero."""
     sums = []
-    for trial in trials:
-        rate, t = moved(trial.tolist()), F.col("n_tokens")
+    # Rates are columns of their own, so that the sums don't each spell them out.
+    rated = members.select("n_tokens", *[f"p{i}" for i in range(k)],
+                           *[moved(trial.tolist()).alias(f"rate{n}") for n, trial in enumerate(trials)])
+    for n in range(len(trials)):
+        rate, t = F.col(f"rate{n}"), F.col("n_tokens")
         sums.append(F.sum(t * rate * rate / 2))
         sums += [F.sum(t * rate * F.col(f"p{i}")) for i in range(k)]
         sums += [F.sum(F.when(rate > 0, t * F.col(f"p{i}") * F.col(f"p{j}"))) for i in range(k) for j in range(i + 1)]
-    found = np.array([x or 0.0 for x in members.agg(*sums).first()], float).reshape(len(trials), -1)
+    found = np.array([x or 0.0 for x in rated.agg(*sums).first()], float).reshape(len(trials), -1)
     out = []
     for row in found:
         curve = np.zeros((k, k))

@@ -104,6 +104,20 @@ def test_rows_do_not_depend_on_partitions(spark):
     assert mixes[0] == mixes[1]
 
 
+def test_plans_do_not_spell_out_the_classifier(spark, capsys):
+    """Else every description of a plan on the driver holds its thousands of numbers, megabytes each time."""
+    rows, labelled = made(spark)
+    docs, table = frames(spark, rows, labelled)
+    model = mixing.fit_classifier(docs, table)
+    found = mixing.posteriors(docs.select("rate", "text"), model, "rate")
+    found.explain("extended")
+    assert len(capsys.readouterr().out) < mixing.BUCKETS * 10
+    for r in found.collect():
+        words = rows[r["rate"]][1].split()
+        assert r["n_tokens"] == len(words)
+        assert sum(r[f"p{i}"] for i in range(3)) == pytest.approx(1)
+
+
 def test_without_labels_or_rows(spark):
     rows, labelled = made(spark, 12)
     docs, table = frames(spark, rows, labelled)
