@@ -15,6 +15,8 @@ from __future__ import annotations
 import functools
 import json
 import struct
+import weakref
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +28,8 @@ from lumigrid.llm import tokens
 from lumigrid.llm.common import free_name, whole_text
 
 _NONE = 1 << 62
+#: Rows of a batch that are Python objects at once.
+PART = 512
 
 
 class Vocabulary:
@@ -108,6 +112,8 @@ class Forest:
 
     #: Pre-tokens of more bytes are merged alone.
     WIDEST = 64
+    #: Leaves of the trees that are merged at once.
+    LEAVES = 1 << 17
 
     def __init__(self, of_byte: list[int], merges: dict[tuple[int, int], tuple[int, int]]):
         self.of_byte = np.array(of_byte, np.int64)
@@ -215,7 +221,9 @@ class Encoder:
             by_width.setdefault(max(2, 1 << (len(p) - 1).bit_length()), []).append(k)
         for width, places in by_width.items():
             if width <= self.forest.WIDEST:
-                found = self.forest.merge([raw[k] for k in places], width)
+                at_once = Forest.LEAVES // width
+                found = [x for k in range(0, len(places), at_once)
+                         for x in self.forest.merge([raw[i] for i in places[k:k + at_once]], width)]
             else:
                 found = [self._alone(raw[k]) for k in places]
             for k, ids in zip(places, found, strict=True):
@@ -228,22 +236,30 @@ class Encoder:
         return struct.pack(f"<{len(ids)}I", *ids)
 
 
-@functools.cache
-def _encoder(path: str) -> Encoder:
-    return Encoder(path)
-
-
 @functools.cache
 def _spelled(path: str) -> list[bytes]:
     return Vocabulary(path).spelled
 
 
+def _in_parts(values: pa.Array, made: Callable[[pa.Array], pa.Array]) -> pa.Array:
+    """``made`` of ``values``, which turns into Python objects ``PART`` at a time."""
+    return pa.concat_arrays([made(values.slice(k, PART)) for k in range(0, max(1, len(values)), PART)])
+
+
 def ids_column(text: Column, path: str) -> Column:
-    """Ids of a text as little-endian unsigned 32-bit integers."""
+    """Ids of a text as little-endian unsigned 32-bit integers.
+
+    A task has an encoder of its own: workers live on, and what they remember would stay beside other stages.
+    """
+    local: list[Encoder] = []
 
     @F.arrow_udf(T.BinaryType())
     def bpe_ids(texts: pa.Array) -> pa.Array:
-        return pa.array(_encoder(path).texts(t.as_py() for t in texts), pa.binary())
+        if not local:
+            local.append(Encoder(path))
+            weakref.finalize(local[0], pa.default_memory_pool().release_unused)  # the worker collects garbage after a task
+        encode = local[0].texts
+        return _in_parts(texts, lambda part: pa.array(encode(t.as_py() for t in part), pa.binary()))
 
     return bpe_ids(text)
 
@@ -261,7 +277,8 @@ def text_column(ids: Column, path: str) -> Column:
                 numbers = numbers[numbers < len(spelled)]
             return b"".join(map(spelled.__getitem__, numbers.tolist())).decode("utf-8", "replace")
 
-        return pa.array([None if b is None else decode(b) for b in blobs.to_pylist()], pa.string())
+        return _in_parts(blobs, lambda part: pa.array([None if b is None else decode(b) for b in part.to_pylist()],
+                                                      pa.string()))
 
     return bpe_text(ids)
 

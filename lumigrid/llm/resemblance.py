@@ -144,7 +144,7 @@ def _within(block: np.ndarray, others: np.ndarray) -> np.ndarray:
 def _bounded(counts: np.ndarray, size: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Whether the counts allow 9 * common >= 4 * (sizes), that is a value of 0.8."""
     out = np.zeros(len(a), bool)
-    step = max(1, (1 << 22) // counts.shape[1])
+    step = max(1, (1 << 20) // counts.shape[1])
     for k in range(0, len(a), step):
         x, y = a[k:k + step], b[k:k + step]
         apart = np.abs(counts[x].astype(np.int32) - counts[y]).sum(axis=1)

@@ -1,15 +1,18 @@
 """BPE encoding, decoding and token files against the library and exact round trips."""
 
+import gc
 import hashlib
 import random
 import struct
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from lumigrid.llm import bpe, queries, token_files, tokens
@@ -128,6 +131,40 @@ def test_digests_on_odd_rows(spark):
     assert bpe.encode(spark.createDataFrame(ROWS, SCHEMA), PATH).columns == ["doc_id", "text", "ids", "_ids"]
 
 
+def test_workers_keep_no_encoder_after_a_task(spark):
+    def left(batches):
+        for batch in batches:
+            encoders = [x for x in gc.get_objects() if isinstance(x, bpe.Encoder)]
+            yield pa.RecordBatch.from_arrays([pa.array([len(encoders)] * len(batch))], ["n"])
+
+    docs = spark.range(64, numPartitions=16).select(F.concat(F.lit("some words "), "id").alias("text"))
+    assert bpe.encode(docs, PATH).agg(F.count("ids")).first()[0] == 64
+    found = spark.range(64, numPartitions=16).mapInArrow(left, "n long").agg(F.count("n"), F.sum("n")).first()
+    assert tuple(found) == (64, 0)
+
+
+def test_batches_in_parts(monkeypatch):
+    texts = pa.array([*ODD, ODD[4]])
+    monkeypatch.setattr(bpe, "PART", 3)
+    seen = []
+
+    def made(part):
+        seen.append(len(part))
+        return pa.array([t.as_py().encode() for t in part], pa.binary())
+
+    assert bpe._in_parts(texts, made).to_pylist() == [t.encode() for t in texts.to_pylist()]
+    assert max(seen) == 3 and sum(seen) == len(texts)
+    assert len(bpe._in_parts(texts[:0], made)) == 0
+
+
+def test_pieces_merged_in_slices(monkeypatch):
+    encoder = bpe.Encoder(PATH)
+    pieces = [f" {a}{b}" for a in ("word", "x", "internationally", "é漢") for b in range(50)]
+    whole = encoder.pieces(pieces)
+    monkeypatch.setattr(bpe.Forest, "LEAVES", 64)
+    assert encoder.pieces(pieces) == whole
+
+
 def test_decode_of_broken_ids(spark):
     blob = struct.pack("<3I", LIBRARY.token_to_id("Ã"), 10 ** 6, LIBRARY.token_to_id("a"))
     df = spark.createDataFrame([(bytearray(blob),), (None,)], "ids binary")
